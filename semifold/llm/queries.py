@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semifold.llm import licenses, quality, topk, urls
+from semifold.llm import html_extract, licenses, quality, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.UrlModel(urls.labelled_urls(spark)))
 
@@ -27,5 +31,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op5_license_scan, op8_url_filter, op9_quality_rules, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op5_license_scan, op7_main_text, op8_url_filter, op9_quality_rules, op10_exact_top_k)}
 ORACLES: dict[str, str] = {}
