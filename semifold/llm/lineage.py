@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed and written to the checkpoint folder, without its lineage."""
     ensure_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    ensure_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df, written as a Parquet table in the shared folder and read from there: computed once, safe when executors go."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

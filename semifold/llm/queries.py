@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from semifold.llm import html_extract, licenses, quality, topk, urls
+from semifold.llm import html_extract, licenses, packing, quality, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.PackParams(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -31,5 +36,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op5_license_scan, op7_main_text, op8_url_filter, op9_quality_rules, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op5_license_scan, op6_packing, op7_main_text, op8_url_filter, op9_quality_rules, op10_exact_top_k)}
 ORACLES: dict[str, str] = {}
