@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from semifold.llm import html_extract, licenses, packing, quality, simhash, topk, urls
+from semifold.llm import html_extract, licenses, packing, pii, quality, simhash, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op5_license_scan, op6_packing, op7_main_text, op8_url_filter, op9_quality_rules, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_personal_data, op5_license_scan, op6_packing, op7_main_text, op8_url_filter, op9_quality_rules, op10_exact_top_k)}
 ORACLES: dict[str, str] = {}
