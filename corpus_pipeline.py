@@ -1,4 +1,59 @@
-"""The corpus pipeline, stage by stage."""
+"""The corpus pipeline: quality rules, near-duplicates, personal data, source mixture and packing.
 
-STAGES: list = []
+Each stage takes the documents its predecessor kept, as a table written to the cluster's shared folder, and all but the
+last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from semifold.llm import mixing, packing, pii, quality, simhash
+from semifold.llm.lineage import stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the divergence tests."""
+    return quality.keep(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the least doc_id."""
+    return simhash.near_dedup(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data masked."""
+    return pii.redact(docs)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once, and those of sources below their weight again, up to one and a half passes."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of token sequences; a document that the mixture passes twice is packed twice."""
+    return packing.pack(docs, packing.PackParams(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_dedup),
+    ("personal data", personal_data),
+    ("source mixture", source_mixture),
+    ("packing", packed),
+]
+
+#: Fingerprints, the field's spans and packing are beyond SQL; tests hold run() against a plain Python version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, f"stage{k}")
+    return docs

@@ -44,9 +44,10 @@ class QualityParams:
 
 
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of shares of one length; terms with a zero share count as 0."""
+    """Jensen-Shannon distance of two arrays of shares of one length; terms with a zero share count as 0. Null if either is."""
+    both = p.isNotNull() & q.isNotNull()
     term = F.zip_with(p, q, lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0) + F.when(b > 0, b * F.log2(2 * b / (a + b))).otherwise(0.0))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(term, F.lit(0.0), lambda s, x: s + x) / 2))
+    return F.when(both, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(term, F.lit(0.0), lambda s, x: s + x) / 2)))
 
 
 def _with_rest(shares: Column) -> Column:
@@ -126,4 +127,7 @@ def score(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame
 
 def keep(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of docs that pass, with their columns unchanged."""
-    return with_quality(docs, params).where(F.col("_q_")["kept"]).drop("_q_")
+    # A test that is always true but not deterministic keeps the optimiser from moving the filter below the projections
+    # and so from computing the word arrays anew inside each of its expressions.
+    verdict = F.col("_q_")["kept"] & (F.monotonically_increasing_id() >= 0)
+    return with_quality(docs, params).withColumn("_q_", verdict).where("_q_").drop("_q_")
