@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from semifold.llm import html_extract, licenses, mixing, packing, pii, quality, simhash, topk, urls
+from semifold.llm import html_extract, licenses, mixing, packing, pii, quality, simhash, substrings, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return m.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_passes", "mix_epoch", "mix_order")
@@ -50,6 +54,6 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_personal_data, op4_source_mixture, op5_license_scan, op6_packing, op7_main_text, op8_url_filter, op9_quality_rules, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_personal_data, op3_repeated_passages, op4_source_mixture, op5_license_scan, op6_packing, op7_main_text, op8_url_filter, op9_quality_rules, op10_exact_top_k)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}
