@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ensure_dir(spark: SparkSession) -> None:
     """Use spark.checkpoint.dir; only a local master without the setting gets a folder of its own."""
@@ -33,8 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read from there: computed once, safe when executors go."""
+    """df, written as a Parquet table in the shared folder and read from there: computed once, safe when executors go.
+
+    Shuffle files of the write go as soon as it ends: the table takes their place.
+    """
     spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
     path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

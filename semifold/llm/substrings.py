@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semifold.llm.lineage import stored
-from semifold.llm.suffixes import common_prefixes, suffix_array, words_at
+from semifold.llm.suffixes import byte_words, common_prefixes, suffix_array
 
 LAST = 2**63 - 1
 
@@ -56,7 +57,7 @@ class Shard:
     ids: np.ndarray
     starts: np.ndarray
 
-    @property
+    @cached_property
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
 
@@ -71,12 +72,16 @@ def repeated_windows(s: Shard, length: int) -> np.ndarray:
     gone = np.zeros(n, bool)
     if n < length:
         return gone
-    sa, rank = suffix_array(s.data)
-    run = np.cumsum(common_prefixes(s.data, sa, rank) < length) - 1
-    doc = np.where(s.inside(length), s.ids[s.owner], LAST)[sa]
-    least = np.minimum.reduceat(doc, np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])))
-    gone[sa] = least[run] < s.ids[s.owner][sa]
-    return gone & s.inside(length)
+    sa, _, tied = suffix_array(s.data, length)
+    shares = common_prefixes(s.data, sa, tied) >= length
+    at = np.flatnonzero(shares | np.concatenate([shares[1:], [False]]))  # places in runs of two or more
+    if not len(at):
+        return gone
+    inside, doc = s.inside(length)[sa[at]], s.ids[s.owner][sa[at]]
+    heads = np.flatnonzero(~shares[at])
+    least = np.minimum.reduceat(np.where(inside, doc, LAST), heads)
+    gone[sa[at]] = inside & (np.repeat(least, np.diff(np.concatenate([heads, [len(at)]]))) < doc)
+    return gone
 
 
 def anchors(data: np.ndarray, length: int, k: int) -> np.ndarray:
@@ -85,7 +90,7 @@ def anchors(data: np.ndarray, length: int, k: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.int64)
     h = np.zeros(len(data) - k + 1, np.uint64)
-    words = words_at(data, slice(None)).astype(np.uint64)
+    words = byte_words(data).astype(np.uint64)
     with np.errstate(over="ignore"):
         for off in [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]:
             h = (h ^ words[off : off + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
@@ -284,14 +289,14 @@ def digests(s: Shard, keep: np.ndarray) -> pd.DataFrame:
 def repeated_passages(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256: one row for each row of docs."""
     found = stored(shards(docs, p), "shards")
-    shared = shared_anchors(found, p)
-    runs = candidate_windows(found, shared, p)
+    shared = stored(shared_anchors(found, p), "anchors")
+    runs = stored(candidate_windows(found, shared, p), "windows")
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_groups(batches, "anchor", p.merge_rows):
             yield merge(pdf, p.length)
 
-    bits = runs.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(merged, "shard long, first long, bits long")
+    bits = stored(runs.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(merged, "shard long, first long, bits long"), "repeats")
 
     def finish(key, s_rows: pd.DataFrame, b_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(s_rows):

@@ -5,11 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
-def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as one big-endian number; zeros follow the end of data."""
+def byte_words(data: np.ndarray) -> np.ndarray:
+    """A view that holds, for each place, the eight bytes from it as one big-endian number; zeros follow the end."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    view = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))
-    return np.ascontiguousarray(view[at]).view(">u8").ravel()
+    return np.ndarray((len(data),), ">u8", buffer=padded, strides=(1,))
 
 
 def _ordered(*parts: np.ndarray, bits: int) -> np.ndarray:
@@ -27,32 +26,40 @@ def _ordered(*parts: np.ndarray, bits: int) -> np.ndarray:
     return np.lexsort(parts[::-1])
 
 
-def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sa, rank) of a byte array: the suffixes in order, and each suffix's place among them.
+def suffix_array(data: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sa, rank, tied) of a byte array: the suffixes in order, each suffix's place among them, and at which places of
+    sa a suffix may share `depth` bytes or more with its predecessor (they were one group in a round at or above it).
 
     A suffix's rank is the first place of its group. Suffixes are first sorted by a few bytes; each round then sorts
     the groups that are left by the ranks h bytes further on and doubles h. Suffixes alone in their group are done.
     """
     n = len(data)
     if n == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     bits = int(n + 1).bit_length()
-    h = (63 - bits) // 8
-    key = (words_at(data, slice(None)).astype(np.uint64) >> np.uint64(64 - 8 * h)).astype(np.int64)
+    present = np.bincount(data, minlength=256) > 0
+    symbol = np.cumsum(present)  # 0 is left for what lies beyond the end
+    width = max(int(symbol[-1]).bit_length(), 1)
+    h = (63 - bits) // width
+    code = np.concatenate([symbol[data], np.zeros(h, np.int64)])
+    key = code[:n].copy()
+    for k in range(1, h):
+        key = (key << width) | code[k : n + k]
     sa = np.sort((key << bits) | np.arange(n)) & ((1 << bits) - 1)
     sorted_key = key[sa]
     rank = np.full(n + 1, -1, np.int64)  # beyond the end: below all others
     head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    # Zeros stand for what lies beyond the end. If one of the last suffixes ties through them, h restarts at 1.
-    if any((rank == rank[i]).sum() > 1 for i in range(max(0, n - h + 1), n)):
-        h = 1
-    places, group = np.arange(n), rank[sa]
+    places, group, started = np.arange(n), rank[sa], False
     while True:
         same = group[1:] == group[:-1]
         left = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        if h <= depth or not started:
+            tied = np.zeros(n, bool)
+            tied[places[1:][same]] = True
+            started = True
         if not len(left):
-            return sa, rank[:n]
+            return sa, rank[:n], tied
         places, group = places[left], group[left]
         at = sa[places]
         after = rank[np.minimum(at + h, n)] + 1
@@ -65,38 +72,38 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h *= 2
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """lcp[k]: bytes that suffixes sa[k - 1] and sa[k] share from their start (lcp[0] is 0).
+def common_prefixes(data: np.ndarray, sa: np.ndarray, tied: np.ndarray | None = None) -> np.ndarray:
+    """lcp[k]: bytes that suffixes sa[k - 1] and sa[k] share from their start (lcp[0] is 0); 0 where tied is False.
 
     By Kasai's lemma a suffix's common prefix with its predecessor is that of the suffix one byte to its left less one,
-    if the bytes to the left of both agree. Only the other suffixes are compared, eight bytes at a time.
+    if the bytes to the left of both agree (so it is wanted if its right neighbour is). Only the other suffixes are
+    compared, by words of eight bytes.
     """
     n = len(data)
-    if n < 2:
-        return np.zeros(n, np.int64)
-    before = np.zeros(n, np.int64)
-    before[sa[1:]] = sa[:-1]
-    left = np.concatenate([data[:1] ^ 1, data])  # left[i + 1] is data[i]
-    inner = (data[np.arange(n) - 1] == left[before]) & (before > 0)
-    inner[0] = inner[sa[0]] = False
-    if sa[0] + 1 < n:
-        inner[sa[0] + 1] = False
-    a = np.flatnonzero(~inner)
-    b = before[a]
-    words = np.concatenate([words_at(data, slice(None)).astype(np.uint64), np.zeros(9, np.uint64)])
+    lcp = np.zeros(n, np.int64)
+    places = np.arange(1, n) if tied is None else np.flatnonzero(tied)
+    if not len(places):
+        return lcp
+    places = places[np.argsort(sa[places])]  # in text order
+    x, y = sa[places], sa[places - 1]
+    inner = (x > 0) & (y > 0) & (data[x - 1] == data[y - 1])
+    open_ = np.flatnonzero(~inner)
+    a, b = x[open_], y[open_]
     got = np.zeros(len(a), np.int64)
-    live, x, y = np.arange(len(a)), a, b
+    words = byte_words(np.concatenate([data, np.zeros(8, np.uint8)]))
+    live, reach = np.arange(len(a)), 1
     while len(live):
-        diff = words[x] ^ words[y]
-        got[live] += sum((diff < np.uint64(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8)) + (diff == 0)
-        on = (diff == 0) & (np.maximum(x, y) + 8 < n)
-        live, x, y = live[on], x[on] + 8, y[on] + 8
-    own = np.zeros(n, np.int64)
-    own[a] = np.minimum(got, n - np.maximum(a, b))
-    own[sa[0]] = 0
+        ahead = got[live][:, None] + 8 * np.arange(reach)  # a few words at first, more for the long prefixes
+        diff = words[np.minimum(a[live][:, None] + ahead, n)].astype(np.uint64) ^ words[np.minimum(b[live][:, None] + ahead, n)].astype(np.uint64)
+        first = (diff != 0).argmax(axis=1)
+        at = diff[np.arange(len(live)), first]
+        some = sum((at < np.uint64(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8))
+        got[live] += np.where(at != 0, 8 * first + some, 8 * reach)
+        live = live[(at == 0) & (np.maximum(a[live], b[live]) + got[live] < n)]
+        reach = min(2 * reach, 256)
+    own = np.zeros(len(x), np.int64)
+    own[open_] = np.minimum(got, n - np.maximum(a, b))
     # An inner suffix has the value of the nearest compared one to its left, less the distance.
-    source = np.maximum.accumulate(np.where(inner, 0, np.arange(n)))
-    own = np.where(inner, own[source] - (np.arange(n) - source), own)
-    lcp = np.empty(n, np.int64)
-    lcp[rank] = own
+    source = np.maximum.accumulate(np.where(inner, 0, np.arange(len(x))))
+    lcp[places] = own[source] - (x - x[source])
     return lcp
