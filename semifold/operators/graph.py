@@ -1,6 +1,6 @@
 """Graphs as edge tables (src, dst): degrees, reachability, components, spanning forests, order and moral graphs.
 
-Iterative operators write each round to the cluster's checkpoint folder where one is set, and otherwise cache it.
+Iterative operators write each round to the cluster's checkpoint folder, so plans do not grow with the rounds.
 """
 
 from __future__ import annotations
@@ -8,13 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None and folder:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc.getCheckpointDir() is not None else df.persist()
+from semifold.operators.lineage import kept as _kept
 
 
 def undirected(edges: DataFrame) -> DataFrame:

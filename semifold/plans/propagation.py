@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semifold.operators.graph import _kept
+from semifold.operators.lineage import kept as _kept
 
 
 def _directed(edges: DataFrame) -> DataFrame:

@@ -444,7 +444,7 @@ def subset_pairs(spark, d):
     return graph.subsets(names, "names", 2, 2).select(F.get("subset", F.lit(0)).alias("a"), F.get("subset", F.lit(1)).alias("b"))
 
 
-@query("SELECT p_partkey, list_filter(string_split_regex(p_name, '[ _#]+'), x -> x <> '')[1] AS first_part, upper(trim(p_brand)) AS brand, regexp_replace(p_type, '[^A-Za-z0-9]', '_', 'g') AS kind, translate(p_name, 'ae', 'xx') AS swapped FROM part")
+@query("SELECT p_partkey, list_filter(string_split_regex(p_name, '[ _#]+'), lambda x: x <> '')[1] AS first_part, upper(trim(p_brand)) AS brand, regexp_replace(p_type, '[^A-Za-z0-9]', '_', 'g') AS kind, translate(p_name, 'ae', 'xx') AS swapped FROM part")
 def string_functions(spark, d):
     p = t(spark, d, "part")
     return p.select("p_partkey", F.get(scalar.split_any(F.col("p_name"), " _#"), F.lit(0)).alias("first_part"), F.upper(F.trim("p_brand")).alias("brand"), scalar.non_alnum_to(F.col("p_type"), "_").alias("kind"), scalar.swap_chars(F.col("p_name"), "ae", "x").alias("swapped"))
@@ -483,7 +483,7 @@ DAG = "e AS (SELECT CAST(floor(p_partkey / 2) AS BIGINT) AS src, CAST(p_partkey
 
 @query(f"WITH RECURSIVE {DAG}, a(id) AS (SELECT src FROM e WHERE dst IN (60, 77) UNION SELECT e.src FROM e JOIN a ON e.dst = a.id) SELECT id FROM a")
 def graph_ancestors(spark, d):
-    roots = spark.range(1).select(F.explode(F.array(F.lit(60), F.lit(77))).cast("long").alias("id"))
+    roots = spark.range(1).select(F.explode(F.array(F.lit(60).cast("long"), F.lit(77).cast("long"))).alias("id"))
     return graph.ancestors(_dag(spark, d), roots).select("id")
 
 
