@@ -1,19 +1,25 @@
-"""Cutting the plan of an iterative operator: each round is written to the cluster's shared checkpoint folder."""
+"""Cutting the plan of an iterative operator: each round is written as a table to the cluster's shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once, as a scan of the folder in spark.checkpoint.dir. A local session without that setting gets a
-    folder of its own; on a cluster the setting is required."""
+    """df computed once and read back from the folder in spark.checkpoint.dir. A local session without that setting gets
+    a folder of its own; on a cluster the setting is required.
+
+    A table, not a checkpoint: a checkpoint computes df twice and carries its plan's constraints on, which in an
+    iteration grow from round to round until planning no longer ends."""
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir().rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
