@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semifold.llm.lineage import cut
+from semifold.llm.lineage import stored
 
 
 def _least_neighbours(pairs: DataFrame) -> DataFrame:
@@ -16,18 +16,19 @@ def _least_neighbours(pairs: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node and root (the least node reachable) for every node of links; links are undirected and may repeat.
 
-    Each round writes its links to the checkpoint folder; there are about as many rounds as the logarithm of the
+    Each round writes its links as a table to the shared folder (a checkpoint would carry on its plan's constraints, which
+    pile up over the rounds); there are about as many rounds as the logarithm of the
     largest component's diameter. Links with a null end are left out.
     """
     u, v = F.greatest(a, b), F.least(a, b)
-    pairs = cut(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(u.alias("u"), v.alias("v")).distinct())
+    pairs = stored(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(u.alias("u"), v.alias("v")).distinct(), "links")
     state = None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbours(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         small = _least_neighbours(large)
         kept = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        pairs = cut(kept.where(F.col("u") != F.col("v")).distinct())
+        pairs = stored(kept.where(F.col("u") != F.col("v")).distinct(), "links")
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == tuple(now):
             break

@@ -23,12 +23,6 @@ def ensure_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to the checkpoint folder, without its lineage."""
-    ensure_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
     ensure_dir(spark)
     return spark.sparkContext.getCheckpointDir()

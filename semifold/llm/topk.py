@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semifold.llm.lineage import cut
+from semifold.llm.lineage import stored
 
 
 @dataclass(frozen=True)
@@ -159,7 +159,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", par
     q = q.withColumn("qb", (salt % n_q).cast("int"))
     first = _meet(q.withColumn("floor", F.lit(float("-inf"))), c, [0], n_q, rot, p)
     if cuts:
-        first = cut(first)
+        first = stored(first, "longest")
         floors = first.groupBy("query_id").agg(F.when(F.count("*") >= p.k, F.min("score")).alias("f"))
         seeded = q.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", "norm", "qb", F.coalesce(F.col("f").cast("double"), F.lit(float("-inf"))).alias("floor"))
         first = first.union(_meet(seeded, c, list(range(1, len(cuts) + 1)), n_q, rot, p))
