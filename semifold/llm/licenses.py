@@ -88,7 +88,9 @@ def scan(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
         scored = F.transform(starts, _scored(words, notice, weights, total, label))
         k = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
         hits.append(_verified(scored, words, key, k, params.limit))
-    a = a.withColumn("_l_hits", F.when(F.size(at) > 0, F.flatten(F.array(*hits))))
+    # Not deterministic, though always true: later filters stay above and do not compute the word arrays anew.
+    some = (F.size(at) > 0) & (F.monotonically_increasing_id() >= 0)
+    a = a.withColumn("_l_hits", F.when(some, F.flatten(F.array(*hits))))
     found = F.col("_l_base")
     starts = F.transform(found, lambda x: x["start"])
     labels = F.concat(F.transform(found, lambda x: x["label"]), F.coalesce(F.transform("_l_hits", lambda x: x["label"]), F.array().cast("array<string>")))

@@ -7,7 +7,7 @@ scan: no shuffle, no Python, and no state that grows with the data.
 
 Defined results: a null text counts as no words (n_words 0, so base_failed). A null or unknown lang has no common-word
 reference; only the character classes are judged. Repeated rows are judged one by one. Extra columns are passed over by
-score() and kept by keep(); working columns carry the prefix _q_ and are dropped.
+score() and kept by keep(); no name of docs clashes with a working column.
 """
 
 from __future__ import annotations
@@ -115,7 +115,10 @@ def with_quality(docs: DataFrame, params: QualityParams = QualityParams()) -> Da
     )
     q = F.col("_q_")
     failed = (q["n_words"] < params.min_words) | (q["n_repeat_words"] > params.max_repeat_share * q["n_words"])
-    kept = ~failed & ~((q["n_words"] >= params.class_min_words) & (q["class_distance"] > params.class_limit)) & (F.coalesce(q["word_distance"], F.lit(0.0)) <= params.word_limit)
+    # A test that is always true but not deterministic keeps the optimiser from moving later filters below the projections
+    # and so from computing the word arrays anew inside each of their expressions.
+    fence = F.monotonically_increasing_id() >= 0
+    kept = fence & ~failed & ~((q["n_words"] >= params.class_min_words) & (q["class_distance"] > params.class_limit)) & (F.coalesce(q["word_distance"], F.lit(0.0)) <= params.word_limit)
     a = a.withColumn("_q_", q.withField("base_failed", failed).withField("kept", kept))
     return a.drop("_q_words", "_q_windows", "_q_sorted", "_q_at", "_q_lines", "_q_class", "_q_hits", "_q_shares", "_q_common")
 
@@ -127,7 +130,5 @@ def score(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame
 
 def keep(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of docs that pass, with their columns unchanged."""
-    # A test that is always true but not deterministic keeps the optimiser from moving the filter below the projections
-    # and so from computing the word arrays anew inside each of its expressions.
-    verdict = F.col("_q_")["kept"] & (F.monotonically_increasing_id() >= 0)
-    return with_quality(docs, params).withColumn("_q_", verdict).where("_q_").drop("_q_")
+    whole = docs.select(F.struct("*").alias("_q_row"), "text", "lang")  # so that no column of docs clashes with a working one
+    return with_quality(whole, params).where(F.col("_q_")["kept"]).select("_q_row.*")
