@@ -63,8 +63,7 @@ def scan(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and the hits (label, start, score)."""
     weights = template_weights(params.templates)
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.select("doc_id", F.filter(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "").alias("_l_cased"))
-    a = a.withColumn("_l_words", F.transform("_l_cased", F.lower))
+    a = docs.select("doc_id", F.array_remove(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "").alias("_l_words"))
     words, n = F.col("_l_words"), F.size("_l_words")
 
     templates = [(label, notice.split(), key.split()) for label, notice, key in params.templates]
@@ -72,7 +71,8 @@ def scan(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
     phrases = {tuple(p.split()): label for p, label in params.base_phrases.items()}
     rare = sorted({t[q] for (_, t, _), at in zip(templates, anchors, strict=True) for q in at} | {p[-1] for p in phrases})
     # Places of the anchor words: everything below works on these few places, not on all words.
-    a = a.withColumn("_l_at", F.filter(F.transform(words, lambda w, i: F.when(w.isin(rare), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull()))
+    places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(rare), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    a = a.withColumn("_l_at", F.when(F.arrays_overlap(words, F.array(*map(F.lit, rare))), places).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
     at = F.col("_l_at")
 
     base = []
