@@ -66,41 +66,45 @@ def with_quality(docs: DataFrame, params: QualityParams = QualityParams()) -> Da
     """docs with the struct _q_ of all measures and the verdict; every other column stays as it is."""
     text = F.coalesce(F.col("text"), F.lit(""))
     space = r"[\x20\x09-\x0D]+"
-    some = lambda c: F.filter(c, lambda x: x != "")
+    some = lambda c: F.array_remove(c, "")
     a = docs.withColumn("_q_words", some(F.split(text, space)))
     words, n = F.col("_q_words"), F.size("_q_words")
-    gone = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-    # A word array is named twice in each expression over it: Spark then keeps it as a column and does not split the text anew for each element.
-    a = a.withColumn(
-        "_q_windows",
-        F.when(n >= 3, F.transform(words, lambda w, i: F.when(i < n - 2, F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))).otherwise(F.array().cast("array<bigint>")),
-    )
-    a = a.withColumn("_q_windows", F.slice("_q_windows", 1, F.greatest(F.lit(0), n - 2)))
+    # White space goes with the join of the words and small letters with one pattern; the other classes are few signs.
+    without = lambda pattern: F.regexp_replace("_q_rest", pattern, "")
+    gone = lambda pattern: F.length("_q_rest") - F.length(without(pattern))
+    # Array functions with a lambda are interpreted element by element: those without one do what they can.
+    a = a.withColumn("_q_windows", F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(n, F.lit(0))).alias("b"), F.slice(words, 3, F.greatest(n, F.lit(0))).alias("c")))
+    a = a.withColumn("_q_windows", F.transform(F.slice("_q_windows", 1, F.greatest(F.lit(0), n - 2)), lambda x: F.xxhash64(x)))
     win = F.col("_q_windows")
     a = a.withColumn(
         "_q_sorted",
         F.when(
             F.size(F.array_distinct(win)) < F.size(win),
-            F.array_sort(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
     )
     srt = F.col("_q_sorted")
     same = lambda x, k: F.get(srt, k)["h"].eqNullSafe(x["h"])
-    a = a.withColumn("_q_at", F.array_sort(F.transform(F.filter(srt, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
+    a = a.withColumn("_q_at", F.sort_array(F.transform(F.filter(srt, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
     at = F.col("_q_at")
     repeat = F.coalesce(
         F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - x, F.lit(3)))), F.lit(0), lambda s, x: s + x), F.lit(0)
     )
     lines = some(F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), x).otherwise("")))
-    a = a.withColumn("_q_lines", lines).withColumn("_q_class", F.array(*(gone(p) for p in (r"\p{Ll}+", r"\p{Lu}+", "[0-9]+", space, r"[.,;:!?'\"()-]+"))))
-    frequent = sorted({w for ref in params.common_words.values() for w in ref})
-    a = a.withColumn("_q_hits", F.filter(F.transform(words, F.lower), lambda w: w.isin(frequent)))
+    a = a.withColumn("_q_lines", lines)
+    a = a.withColumn("_q_joined", F.array_join(words, "")).withColumn("_q_rest", F.regexp_replace("_q_joined", r"\p{Ll}+", ""))
+    inner, total = F.length("_q_joined"), F.length(text)
+    a = a.withColumn("_q_class", F.array(inner - F.length("_q_rest"), gone(r"\p{Lu}+"), gone("[0-9]+"), total - inner, gone(r"[.,;:!?'\"()-]+")))
+    frequent = F.array(*map(F.lit, sorted({w for ref in params.common_words.values() for w in ref})))
+    low = F.split(F.lower(F.array_join(words, " ")), " ")
+    a = a.withColumn("_q_low", F.when(n >= params.word_min_words, low))
+    a = a.withColumn("_q_hits", F.when(F.arrays_overlap("_q_low", frequent), F.col("_q_low")))
     long = lambda c: c.cast("long")
     chars, cls = F.length(text), F.col("_q_class")
     common = _by_language(F.col("lang"), {k: list(v) for k, v in params.common_words.items()})
     reference = _by_language(F.col("lang"), {k: [*v.values(), 1 - sum(v.values())] for k, v in params.common_words.items()})
     a = a.withColumn("_q_shares", F.transform(cls, lambda x: x / F.greatest(chars, F.lit(1))))
-    a = a.withColumn("_q_common", F.when(n >= params.word_min_words, F.transform(common, lambda c: F.size(F.filter(F.col("_q_hits"), lambda w: w == c)) / n)))
+    a = a.withColumn("_q_common", F.when(n >= params.word_min_words, F.transform(common, lambda c: F.coalesce(F.size("_q_hits") - F.size(F.array_remove("_q_hits", c)), F.lit(0)) / n)))
     a = a.withColumn(
         "_q_",
         F.struct(
@@ -120,7 +124,7 @@ def with_quality(docs: DataFrame, params: QualityParams = QualityParams()) -> Da
     fence = F.monotonically_increasing_id() >= 0
     kept = fence & ~failed & ~((q["n_words"] >= params.class_min_words) & (q["class_distance"] > params.class_limit)) & (F.coalesce(q["word_distance"], F.lit(0.0)) <= params.word_limit)
     a = a.withColumn("_q_", q.withField("base_failed", failed).withField("kept", kept))
-    return a.drop("_q_words", "_q_windows", "_q_sorted", "_q_at", "_q_lines", "_q_class", "_q_hits", "_q_shares", "_q_common")
+    return a.drop("_q_words", "_q_windows", "_q_sorted", "_q_at", "_q_lines", "_q_joined", "_q_rest", "_q_class", "_q_low", "_q_hits", "_q_shares", "_q_common")
 
 
 def score(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
