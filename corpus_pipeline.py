@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from semifold.llm import mixing, packing, pii, quality, simhash
+from semifold.llm import mixing, neardup, packing, pii, quality
 from semifold.llm.lineage import stored
 
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id."""
-    return simhash.near_dedup(docs)
+    """One document of each group linked by five-word similarity of 0.8 or more: the one with the least doc_id."""
+    return neardup.near_dedup(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
