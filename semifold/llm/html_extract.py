@@ -8,7 +8,9 @@ whole batch of pages, and give each node's marginal of being content. Text under
 kept, block by block in page order.
 
 Pages are independent: one mapInPandas over the scan, no shuffle. Broken markup is tolerated: stray end tags are
-ignored, p and li close their open namesakes, and everything open ends with the page. Defined results: null or empty
+ignored, p and li close their open namesakes, and everything open ends with the page; an element whose content is not
+text is empty if it ends in a slash, and skips only its own tag if no end tag follows (but script, style, textarea and
+title run to the page's end). Defined results: null or empty
 html gives an empty text; a page without any tag is one text block and is judged at its root; repeated rows are
 extracted one by one; extra columns are not read.
 """
@@ -29,6 +31,11 @@ ATTR = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([
 #: Elements without content, elements whose content is not text, and inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea svg math iframe object select title xmp".split())
+#: Of these, the ones whose content runs to the end of the page if no end tag follows.
+TO_END = frozenset("script style textarea title".split())
+END_TAGS = {t: re.compile(rf"</{t}(?![^\s/>])", re.I | re.A) for t in RAW}
+#: A trailing slash closes an element, unless it belongs to an attribute's value without quotes.
+CLOSED = re.compile(r"(?<!\S)/\Z|[\"']/\Z|(?<!\S)[^\s=]+/\Z")
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 #: Elements that an open tag of the key closes, up to the nearest scope.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -74,7 +81,7 @@ class Tree:
         stack: list[tuple[str, int]] = [("html", root)]  # open elements; an inline one shares the node of its block
         links = at = 0
         raw = ""
-        lower = None
+        missing: set[str] = set()  # elements without an end tag in the rest of the page
         while at < len(source):
             m = TAG.search(source, at)
             end = m.start() if m else len(source)
@@ -103,9 +110,14 @@ class Tree:
                     self.pieces.append((page, stack[-1][1], None))
                 continue
             if tag in RAW:  # skip to its end tag; its content is not text
-                lower = lower or source.lower()
-                k = lower.find(f"</{tag}", at)
-                at = len(source) if k < 0 else k
+                if CLOSED.search(m[3] or m[6] or ""):
+                    continue
+                shut = None if tag in missing else END_TAGS[tag].search(source, at)
+                if not shut:
+                    missing.add(tag)
+                    if tag not in TO_END:
+                        continue
+                at = shut.start() if shut else len(source)
                 stack.append((tag, self.node(page, stack[-1][1], tag, "")))
                 continue
             if shut := CLOSES.get(tag):
