@@ -1,8 +1,9 @@
 """Exact top-k inner products by norm-sorted candidates and SVD-rotated partial sums.
 
 Vectors become integers, floor(scale * x). Candidates are range-partitioned by descending length, so a block holds
-vectors of similar length; queries, a stated subset, are cut into blocks, and each task meets one block of queries with
-one block of candidates. In a task the candidates pass by descending length in chunks: a query is done once its k-th
+vectors of similar length, and lengths that more rows share than a block holds are dealt to several blocks by a hash of
+id and vector (only rows equal in both stay together); queries, a stated subset, are cut into blocks, and each task
+meets one block of queries with one block of candidates. In a task the candidates pass by descending length in chunks: a query is done once its k-th
 score exceeds |q| |c| (Cauchy-Schwarz). Vectors are rotated to the eigenvectors of the candidates' second moments, so
 the first few coordinates carry most of the length: partial sum + |q rest| |c rest| bounds the score, and only
 candidates that may still reach the k-th score are scored exactly, in integers. Each task returns k rows a query at
@@ -137,6 +138,24 @@ def _meet(queries: DataFrame, candidates: DataFrame, c_blocks: list[int], n_q_bl
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(lambda a, b: search_block(a, b, rot, p), RESULT)
 
 
+def in_blocks(v: DataFrame, n: int, p: TopKParams) -> tuple[DataFrame, int]:
+    """v (of n rows) with cb, the number of its block, and how many blocks there are. Block 0 holds the longest vectors."""
+    # Quantiles of the length, few numbers, aim below the largest size, as they are not exact.
+    n_cuts = -(-n // max(int(0.8 * p.candidate_block), 1)) if n > p.candidate_block else 1
+    cuts = sorted(set(v.approxQuantile("norm", [k / n_cuts for k in range(1, n_cuts)], 0.1 / n_cuts)), reverse=True) if n_cuts > 1 else []
+    if not cuts:
+        return v.withColumn("cb", F.lit(0)), 1
+    c = v.withColumn("cb", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.col("norm") < cut)))
+    # A length that many share fills one block: what is too large is dealt by hash, six deviations below the limit.
+    rows = {r["cb"]: r["count"] for r in c.groupBy("cb").count().collect()}
+    aim = max(p.candidate_block / 2, p.candidate_block - 6 * p.candidate_block**0.5)
+    parts = [1 if rows.get(k, 0) <= p.candidate_block else -int(-rows[k] // aim) for k in range(len(cuts) + 1)]
+    starts = [sum(parts[:k]) for k in range(len(parts))]
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cb") + 1)
+    own = F.when(at(parts) > 1, F.pmod(F.xxhash64(F.lit("block"), "vec_id", "v"), at(parts))).otherwise(0)
+    return c.withColumn("cb", (at(starts) + own).cast("int")), sum(parts)
+
+
 def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", params: TopKParams = TopKParams()) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by query_every, its k best others."""
     p = params
@@ -146,23 +165,17 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", par
     if not size["n"] or not size["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rot = rotation(v, size["dim"])
-    n_c = -(-size["n"] // p.candidate_block)
     n_q = -(-size["q"] // p.query_block)
-    # Blocks by quantiles of the length: block 0 holds the longest vectors. The quantiles are few numbers.
-    cuts = sorted(set(v.approxQuantile("norm", [k / n_c for k in range(1, n_c)], 0.25 / n_c)), reverse=True) if n_c > 1 else []
-    block = F.lit(0)
-    if cuts:
-        block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.col("norm") < cut))
-    c = v.withColumn("cb", block)
+    c, n_c = in_blocks(v, size["n"], p)
     salt = F.abs(F.xxhash64("vec_id"))
     q = v.where(F.col("vec_id") % p.query_every == 0).groupBy("vec_id").agg(F.max(F.struct("v", "norm")).alias("x")).select("vec_id", "x.*")
     q = q.withColumn("qb", (salt % n_q).cast("int"))
     first = _meet(q.withColumn("floor", F.lit(float("-inf"))), c, [0], n_q, rot, p)
-    if cuts:
+    if n_c > 1:
         first = stored(first, "longest")
         floors = first.groupBy("query_id").agg(F.when(F.count("*") >= p.k, F.min("score")).alias("f"))
         seeded = q.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", "norm", "qb", F.coalesce(F.col("f").cast("double"), F.lit(float("-inf"))).alias("floor"))
-        first = first.union(_meet(seeded, c, list(range(1, len(cuts) + 1)), n_q, rot, p))
+        first = first.union(_meet(seeded, c, list(range(1, n_c)), n_q, rot, p))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
