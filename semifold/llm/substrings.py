@@ -30,6 +30,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +42,14 @@ LAST = 2**63 - 1
 
 @dataclass(frozen=True)
 class SubstringParams:
-    """shard_bytes: below 2**21, so that sort keys and row numbers fit one machine word."""
+    """shard_bytes: below 2**21, so that sort keys and row numbers fit one machine word. merge_rows: runs merged at once;
+    hot_runs: anchors with more runs than this are merged window by window. length is at least 50, anchor at least 8."""
 
     length: int = 50
     anchor: int = 16
     shard_bytes: int = 1_900_000
     merge_rows: int = 20_000
+    hot_runs: int = 20_000
 
 
 @dataclass
@@ -84,129 +87,162 @@ def repeated_windows(s: Shard, length: int) -> np.ndarray:
     return gone
 
 
-def anchors(data: np.ndarray, length: int, k: int) -> np.ndarray:
-    """The least hash of the k-byte strings in the window from each byte (windows within data only)."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    h = np.zeros(len(data) - k + 1, np.uint64)
-    words = byte_words(data).astype(np.uint64)
+def string_hashes(words: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the k-byte strings that start at the given places (default: at all), k at least 8; words: of byte_words."""
+    n = len(words) - k + 1 if at is None else len(at)
+    h = np.zeros(max(n, 0), np.uint64)
     with np.errstate(over="ignore"):
         for off in [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]:
-            h = (h ^ words[off : off + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (words[off : off + len(h)] if at is None else words[at + off]).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         h = h * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    span, size, low = length - k + 1, 1, h
+    return h
+
+
+def least_in_windows(h: np.ndarray, span: int) -> np.ndarray:
+    """The least of each span values side by side."""
+    if len(h) < span:
+        return h[:0]
+    size, low = 1, h
     while 2 * size <= span:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
-    if size < span:
-        low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
-    return low[:n].astype(np.int64)
+    return np.minimum(low[: len(low) - (span - size)], low[span - size :]) if size < span else low
 
 
 def window_runs(s: Shard, gone: np.ndarray, p: SubstringParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first, count) of runs of windows that are left, lie side by side in one document and share an anchor;
-    at most 64 windows a run."""
-    low = anchors(s.data, p.length, p.anchor)
-    left = (~gone & s.inside(p.length))[: len(low)]
-    at = np.flatnonzero(left)
+    """(first, count, where) of runs of windows that are left, lie side by side in one document and share an anchor; at
+    most 64 windows a run. where: how far after the first window's start the anchor's string starts."""
+    h = string_hashes(byte_words(s.data), p.anchor)
+    span = p.length - p.anchor + 1
+    low = least_in_windows(h, span)
+    at = np.flatnonzero((~gone & s.inside(p.length))[: len(low)])
     if not len(at):
-        return low[:0], at, at
-    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (low[at[1:]] != low[at[:-1]]) | (s.owner[at[1:]] != s.owner[at[:-1]])])
+        return at, at, at
+    low = low[at]
+    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1]) | (s.owner[at[1:]] != s.owner[at[:-1]])])
     head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
     new |= (np.arange(len(at)) - head) % 64 == 0
     heads = np.flatnonzero(new)
-    return low[at[heads]], at[heads], np.diff(np.concatenate([heads, [len(at)]]))
+    first = at[heads]
+    where = np.concatenate([(h[part[:, None] + np.arange(span)] == low[heads[k : k + 65536], None]).argmax(axis=1) for k in range(0, len(first), 65536) for part in [first[k : k + 65536]]])
+    return first, np.diff(np.concatenate([heads, [len(at)]])), where
+
 
+#: runs: the compressed byte planes of (distance from the run before as 32 bits, count, where) of window_runs.
+SHARD = "shard long, text binary, ids array<long>, nulls array<int>, sizes array<int>, gone binary, runs binary, n_runs int"
 
-SHARD = "shard long, text binary, ids array<long>, sizes array<int>, gone binary"
 
+def _planes(first: np.ndarray, count: np.ndarray, where: np.ndarray) -> bytes:
+    steps = np.diff(np.concatenate([[0], first])).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return np.vstack([steps.T, count[None].astype(np.uint8), where[None].astype(np.uint8)]).tobytes()
 
-def _open(row, level=None) -> tuple[Shard, np.ndarray]:
+
+def _unpacked(blob: bytes, size: int) -> np.ndarray:
     import zstandard
 
-    unpack = zstandard.ZstdDecompressor()
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(size, 1)), np.uint8)[:size]
+
+
+def _open(row) -> Shard:
     starts = np.concatenate([[0], np.cumsum(np.asarray(row["sizes"], np.int64))]).astype(np.int64)
-    n = int(starts[-1])
-    data = np.frombuffer(unpack.decompress(row["text"], max_output_size=max(n, 1)), np.uint8)[:n]
-    gone = np.unpackbits(np.frombuffer(unpack.decompress(row["gone"], max_output_size=n // 8 + 1), np.uint8))[:n].astype(bool)
-    return Shard(data, np.asarray(row["ids"], np.int64), starts), gone
+    return Shard(_unpacked(row["text"], int(starts[-1])), np.asarray(row["ids"], np.int64), starts)
+
+
+def _open_runs(row, words: np.ndarray, p: SubstringParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first, count) of the shard's runs."""
+    n = int(row["n_runs"])
+    planes = _unpacked(row["runs"], 6 * n).reshape(6, n)
+    first = np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel().astype(np.int64))
+    return string_hashes(words, p.anchor, first + planes[5]).view(np.int64), first, planes[4].astype(np.int64)
 
 
 def shards(docs: DataFrame, p: SubstringParams) -> DataFrame:
-    """One row for each shard, with the bits of the windows that repeat within it."""
+    """One row for each shard, with the bits of the windows that repeat within it and the runs of those left."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def closed(number: int, texts: list[bytes], ids: list) -> pd.DataFrame:
         import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        sizes = [len(t) for t in texts]
+        nulls = np.array([k for k, i in enumerate(ids) if i is None], np.int32)
+        named = np.array([LAST if i is None else i for i in ids], np.int64)
+        s = Shard(np.frombuffer(b"".join(texts), np.uint8), named, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+        gone = repeated_windows(s, p.length)
+        runs = window_runs(s, gone, p)
+        row = {"shard": number, "text": pack(s.data.tobytes()), "ids": named, "nulls": nulls, "sizes": np.array(sizes, np.int32), "gone": pack(np.packbits(gone).tobytes()), "runs": pack(_planes(*runs)), "n_runs": len(runs[0])}
+        return pd.DataFrame({k: [v] for k, v in row.items()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        pack = zstandard.ZstdCompressor(level=3)
         number = TaskContext.get().partitionId() << 32
         texts, ids, size = [], [], 0
-
-        def closed() -> pd.DataFrame:
-            nonlocal number, texts, ids, size
-            sizes = [len(t) for t in texts]
-            s = Shard(np.frombuffer(b"".join(texts), np.uint8), np.array(ids, np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
-            gone = repeated_windows(s, p.length)
-            row = pd.DataFrame({"shard": [number], "text": [pack.compress(s.data.tobytes())], "ids": [s.ids], "sizes": [np.array(sizes, np.int32)], "gone": [pack.compress(np.packbits(gone).tobytes())]})
-            number, texts, ids, size = number + 1, [], [], 0
-            return row
-
         for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc, text in zip(pdf["doc_id"].astype(object), pdf["text"], strict=True):
                 t = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
                 if texts and size + len(t) > p.shard_bytes:
-                    yield closed()
+                    yield closed(number, texts, ids)
+                    number, texts, ids, size = number + 1, [], [], 0
                 texts.append(t)
-                ids.append(doc)
+                ids.append(None if doc is None or doc != doc else int(doc))
                 size += len(t)
         if texts:
-            yield closed()
+            yield closed(number, texts, ids)
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string")).mapInPandas(run, SHARD)
+    # The id goes as text beside its null flag: a nullable long would reach pandas as a rounded double.
+    own = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string"))
+    return own.mapInPandas(run, SHARD)
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame], key: str, least: int) -> Iterator[pd.DataFrame]:
-    """Sorted batches again, cut so that rows of one key stay together; at least `least` rows each but the last."""
-    held: list[pd.DataFrame] = []
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Batches sorted by key again, cut so that rows of one key stay together; at least `least` rows each but the last."""
+    held: list[pa.RecordBatch] = []
     rows = 0
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        held.append(pdf)
-        rows += len(pdf)
-        if rows < least:
-            continue
-        both = pd.concat(held, ignore_index=True)
-        last = int(np.searchsorted(both[key].to_numpy(), both[key].iloc[-1]))
-        if last:
-            yield both.iloc[:last]
-        held, rows = [both.iloc[last:]], len(both) - last
+    for batch in batches:
+        if rows >= least and batch.num_rows:
+            k = batch.column(key).to_numpy()
+            old = held[-1].column(key)[-1].as_py()
+            more = int(np.searchsorted(k, old, "right"))  # how far the last key goes on
+            if more < len(k):
+                yield pa.Table.from_batches([*held, batch.slice(0, more)]).combine_chunks()
+                held, rows, batch = [], 0, batch.slice(more)
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def shared_anchors(found: DataFrame, p: SubstringParams) -> DataFrame:
     """anchor and shard for the anchors of windows left in two shards or more."""
 
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                low = np.unique(window_runs(*_open(row), p)[0])
-                yield pd.DataFrame({"anchor": low, "shard": np.full(len(low), row["shard"])})
-
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_groups(batches, "anchor", 10_000):
-            a = pdf["anchor"].to_numpy()
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                low = np.unique(_open_runs(row, byte_words(_open(row).data), p)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(np.full(len(low), row["shard"]))], ["anchor", "shard"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the sorted rows those whose anchor the row before or after has, too; one row is held back, not a group."""
+        held, seen = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            a = both.column("anchor").to_numpy()
             more = np.concatenate([a[1:] == a[:-1], [False]])
-            yield pdf[more | np.concatenate([[False], more[:-1]])]
+            keep = more | np.concatenate([[seen], more[:-1]])
+            seen = bool(keep[-1])
+            yield from both.slice(0, len(a) - 1).filter(pa.array(keep[:-1])).to_batches()
+            held = both.slice(len(a) - 1).to_batches()[0]
+        if held is not None and seen:
+            yield held
 
     # A shard lists an anchor once, so an anchor listed twice is in two shards.
-    rows = found.select("shard", "text", "ids", "sizes", "gone").mapInPandas(listed, "anchor long, shard long")
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(met, "anchor long, shard long")
+    rows = found.select("shard", "text", "ids", "sizes", "runs", "n_runs").mapInArrow(listed, "anchor long, shard long")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(met, "anchor long, shard long")
 
 
 def candidate_windows(found: DataFrame, shared: DataFrame, p: SubstringParams) -> DataFrame:
@@ -216,47 +252,91 @@ def candidate_windows(found: DataFrame, shared: DataFrame, p: SubstringParams) -
         if not len(s_rows) or not len(a_rows):
             return pd.DataFrame({"anchor": [], "shard": [], "first": [], "doc": [], "bytes": []})
         row = s_rows.iloc[0]
-        s, gone = _open(row)
-        low, first, count = window_runs(s, gone, p)
+        s = _open(row)
+        low, first, count = _open_runs(row, byte_words(s.data), p)
         wanted = np.sort(a_rows["anchor"].to_numpy())
         at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low)
         data = s.data.tobytes()
         return pd.DataFrame({"anchor": low[at], "shard": row["shard"], "first": first[at], "doc": s.ids[s.owner[first[at]]], "bytes": [data[f : f + c + p.length - 1] for f, c in zip(first[at].tolist(), count[at].tolist(), strict=True)]})
 
-    return found.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(cut, "anchor long, shard long, first long, doc long, bytes binary")
+    own = found.select("shard", "text", "ids", "sizes", "runs", "n_runs")
+    return own.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(cut, "anchor long, shard long, first long, doc long, bytes binary")
 
 
-def merge(runs: pd.DataFrame, length: int) -> pd.DataFrame:
-    """For runs of windows of whole anchors: shard, first and the bits of the windows that a smaller document has."""
-    blocks = pd.DataFrame({"bytes": runs["bytes"], "doc": runs["doc"]})
-    least = blocks.groupby("bytes")["doc"].transform("min").to_numpy()
-    doc = runs["doc"].to_numpy()
-    gone = least < doc  # an equal run of a smaller document: all its windows go
-    size = runs["bytes"].map(len).to_numpy() - length + 1
-    full = np.array([(1 << int(c)) - 1 for c in size], dtype=np.uint64)
+def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of words: each row's place in the sorted list of distinct rows, found by binary search over their hashes,
+    and one row of each. Rows are compared in full: if two that differ had one hash, they would be sorted by themselves."""
+    h = np.zeros(len(rows), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(rows.shape[1]):
+            h = (h ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(31)
+    merged, one = np.unique(h, return_index=True)
+    place = np.searchsorted(merged, h)
+    if (rows == rows[one[place]]).all():
+        return place, one
+    _, one, place = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return place.ravel(), one
+
+
+def _least_by(place: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, LAST)
+    np.minimum.at(out, place, doc)
+    return out
+
+
+def merge(anchor: np.ndarray, doc: np.ndarray, data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """For runs of windows of whole anchors (run k is data[starts[k]:starts[k + 1]], below 65 windows): the bits of each
+    run's windows that a smaller document has."""
+    size = np.diff(starts) - length + 1
+    words = byte_words(data)
+    offsets = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+    at = lambda w: np.column_stack([words[w + o] for o in offsets]).astype(np.uint64)
+    # Equal runs first: the first, middle and last window hold every byte of a run.
+    base = starts[:-1]
+    place, one = _classes(np.column_stack([*(at(base + x) for x in (0, (size - 1) // 2, size - 1)), size.astype(np.uint64)]))
+    gone = _least_by(place, doc, len(one))[place] < doc  # an equal run of a smaller document: all its windows go
+    full = (np.uint64(2) << (size - 1).astype(np.uint64)) - np.uint64(1)
     bits = np.where(gone, full, np.uint64(0))
     # Distinct runs that share an anchor may agree in part: their windows are merged one by one.
-    anchor = runs["anchor"].to_numpy()
-    first_of = ~gone & ~blocks.duplicated(["bytes", "doc"]).to_numpy()
-    per = np.unique(anchor[first_of], return_counts=True)
-    crowded = np.isin(anchor, per[0][per[1] > 1]) & ~gone
-    at = np.flatnonzero(crowded)
-    if len(at):
-        data = np.frombuffer(b"".join(runs["bytes"].iloc[at]), np.uint8)
-        lens = size[at] + length - 1
-        base = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        which = np.repeat(np.arange(len(at)), size[at])
-        offset = np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(size[at])[:-1]]), size[at])
-        view = np.lib.stride_tricks.as_strided(data, (len(data) - length + 1, length), (1, 1))
-        window = np.ascontiguousarray(view[base[which] + offset]).view(f"S{length}").ravel()
-        merged = np.unique(window)
-        place = np.searchsorted(merged, window)
-        least_doc = np.full(len(merged), LAST)
-        np.minimum.at(least_doc, place, doc[at][which])
-        hit = least_doc[place] < doc[at][which]
-        np.bitwise_or.at(bits, at[which[hit]], np.uint64(1) << offset[hit].astype(np.uint64))
-    some = bits != 0
-    return pd.DataFrame({"shard": runs["shard"].to_numpy()[some], "first": runs["first"].to_numpy()[some], "bits": bits[some].astype(np.int64)})
+    which, n = np.unique(anchor[one], return_counts=True)
+    own = np.flatnonzero(np.isin(anchor, which[n > 1]) & ~gone)
+    if len(own):
+        run = np.repeat(own, size[own])
+        offset = np.arange(len(run)) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
+        place, one = _classes(at(base[run] + offset))
+        hit = _least_by(place, doc[run], len(one))[place] < doc[run]
+        np.bitwise_or.at(bits, run[hit], np.uint64(1) << offset[hit].astype(np.uint64))
+    return bits
+
+
+def repeated_runs(runs: DataFrame, p: SubstringParams) -> DataFrame:
+    """shard, first and bits: the windows of runs that a smaller document has, too.
+
+    Runs meet by anchor. An anchor of more than hot_runs runs (a string shorter than a window that is everywhere) is no
+    group: its windows are taken one by one, their least documents combine before the shuffle, and a join by the window,
+    whose large side may be split, gives them back.
+    """
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, "anchor", p.merge_rows):
+            blob = t.column("bytes").combine_chunks()
+            blob = blob.chunk(0) if isinstance(blob, pa.ChunkedArray) else blob
+            _, ends, data = blob.buffers()
+            starts = np.frombuffer(ends, np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64)
+            data = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]]
+            bits = merge(t.column("anchor").to_numpy(), t.column("doc").to_numpy(), data, starts - starts[0], p.length)
+            some = bits != 0
+            yield pa.RecordBatch.from_arrays([pa.array(t.column("shard").to_numpy()[some]), pa.array(t.column("first").to_numpy()[some]), pa.array(bits[some].view(np.int64))], ["shard", "first", "bits"])
+
+    hot = stored(runs.groupBy("anchor").count().where(F.col("count") > p.hot_runs).select("anchor"), "hot")
+    grouped = runs.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    cold = grouped.mapInArrow(merged, "shard long, first long, bits long")
+    step = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - p.length)).alias("step")
+    lone = runs.join(hot, "anchor", "left_semi").select("shard", "first", "doc", "bytes", step)
+    lone = lone.select("shard", (F.col("first") + F.col("step")).alias("first"), "doc", F.substring("bytes", F.col("step") + 1, F.lit(p.length)).alias("window"))
+    least = lone.groupBy("window").agg(F.min("doc").alias("least"))
+    return cold.union(lone.join(least, "window").where(F.col("least") < F.col("doc")).select("shard", "first", F.lit(1).cast("long").alias("bits")))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -271,18 +351,18 @@ def kept_bytes(s: Shard, gone: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge)[: len(s.data)] == 0
 
 
-def digests(s: Shard, keep: np.ndarray) -> pd.DataFrame:
+def digests(s: Shard, keep: np.ndarray, nulls) -> pd.DataFrame:
     cut = ~keep
     inner = np.concatenate([[False], cut[:-1]]) if len(cut) else cut
     inner[s.starts[:-1][s.starts[:-1] < len(cut)]] = False  # a span ends with its document
     heads = cut & ~inner
-    out = []
+    out, unnamed = [], set(np.asarray(nulls).tolist())
     for k, doc in enumerate(s.ids.tolist()):
         a, b = int(s.starts[k]), int(s.starts[k + 1])
         part = keep[a:b]
         n = int(part.sum())
         raw = s.data[a:b] if n == b - a else s.data[a:b][part]
-        out.append((doc if doc != LAST else None, b - a, b - a - n, int(heads[a:b].sum()), hashlib.sha256(raw.tobytes()).hexdigest()))
+        out.append((None if k in unnamed else doc, b - a, b - a - n, int(heads[a:b].sum()), hashlib.sha256(raw.tobytes()).hexdigest()))
     return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
 
 
@@ -292,20 +372,17 @@ def repeated_passages(docs: DataFrame, p: SubstringParams = SubstringParams()) -
     shared = stored(shared_anchors(found, p), "anchors")
     runs = stored(candidate_windows(found, shared, p), "windows")
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_groups(batches, "anchor", p.merge_rows):
-            yield merge(pdf, p.length)
-
-    bits = stored(runs.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(merged, "shard long, first long, bits long"), "repeats")
+    bits = stored(repeated_runs(runs, p), "repeats")
 
     def finish(key, s_rows: pd.DataFrame, b_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(s_rows):
             return pd.DataFrame({c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")})
-        s, gone = _open(s_rows.iloc[0])
-        gone = gone.copy()
+        row = s_rows.iloc[0]
+        s = _open(row)
+        gone = np.unpackbits(_unpacked(row["gone"], -(-len(s.data) // 8)))[: len(s.data)].astype(bool)
         first, mask = b_rows["first"].to_numpy(np.int64), b_rows["bits"].to_numpy(np.int64).view(np.uint64)
         for j in range(64):
             gone[first[(mask >> np.uint64(j)) & np.uint64(1) == 1] + j] = True
-        return digests(s, kept_bytes(s, gone, p.length))
+        return digests(s, kept_bytes(s, gone, p.length), row["nulls"])
 
-    return found.groupBy("shard").cogroup(bits.groupBy("shard")).applyInPandas(finish, RESULT)
+    return found.select("shard", "text", "ids", "nulls", "sizes", "gone").groupBy("shard").cogroup(bits.groupBy("shard")).applyInPandas(finish, RESULT)

@@ -31,7 +31,8 @@ def suffix_array(data: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarr
     sa a suffix may share `depth` bytes or more with its predecessor (they were one group in a round at or above it).
 
     A suffix's rank is the first place of its group. Suffixes are first sorted by a few bytes; each round then sorts
-    the groups that are left by the ranks h bytes further on and doubles h. Suffixes alone in their group are done.
+    the groups that are left by the ranks h bytes further on and doubles h. Suffixes alone in their group are done. With
+    a depth the rounds end once h reaches it: suffixes that agree in h bytes then stay in text order.
     """
     n = len(data)
     if n == 0:
@@ -40,7 +41,7 @@ def suffix_array(data: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarr
     present = np.bincount(data, minlength=256) > 0
     symbol = np.cumsum(present)  # 0 is left for what lies beyond the end
     width = max(int(symbol[-1]).bit_length(), 1)
-    h = (63 - bits) // width
+    h = min((63 - bits) // width, depth or 64)
     code = np.concatenate([symbol[data], np.zeros(h, np.int64)])
     key = code[:n].copy()
     for k in range(1, h):
@@ -58,7 +59,7 @@ def suffix_array(data: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarr
             tied = np.zeros(n, bool)
             tied[places[1:][same]] = True
             started = True
-        if not len(left):
+        if not len(left) or (depth and h >= depth):
             return sa, rank[:n], tied
         places, group = places[left], group[left]
         at = sa[places]
@@ -76,17 +77,19 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, tied: np.ndarray | None =
     """lcp[k]: bytes that suffixes sa[k - 1] and sa[k] share from their start (lcp[0] is 0); 0 where tied is False.
 
     By Kasai's lemma a suffix's common prefix with its predecessor is that of the suffix one byte to its left less one,
-    if the bytes to the left of both agree (so it is wanted if its right neighbour is). Only the other suffixes are
-    compared, by words of eight bytes.
+    if that one's predecessor is the predecessor's left neighbour and both have the same first byte. Only the other
+    suffixes are compared, by words of eight bytes. The suffixes may be sorted to some depth only.
     """
     n = len(data)
     lcp = np.zeros(n, np.int64)
     places = np.arange(1, n) if tied is None else np.flatnonzero(tied)
     if not len(places):
         return lcp
-    places = places[np.argsort(sa[places])]  # in text order
-    x, y = sa[places], sa[places - 1]
-    inner = (x > 0) & (y > 0) & (data[x - 1] == data[y - 1])
+    before = np.full(n + 1, -2, np.int64)  # a suffix's predecessor; the last entry stands for the suffix left of the first
+    before[sa[places]] = sa[places - 1]
+    x = np.flatnonzero(before[:n] >= 0)  # in text order
+    y = before[x]
+    inner = (before[x - 1] == y - 1) & (y > 0) & (data[x - 1] == data[y - 1])
     open_ = np.flatnonzero(~inner)
     a, b = x[open_], y[open_]
     got = np.zeros(len(a), np.int64)
@@ -105,5 +108,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, tied: np.ndarray | None =
     own[open_] = np.minimum(got, n - np.maximum(a, b))
     # An inner suffix has the value of the nearest compared one to its left, less the distance.
     source = np.maximum.accumulate(np.where(inner, 0, np.arange(len(x))))
-    lcp[places] = own[source] - (x - x[source])
+    out = np.zeros(n, np.int64)
+    out[x] = own[source] - (x - x[source])
+    lcp[places] = out[sa[places]]
     return lcp

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from semifold.llm import licenses, mixing, packing, pii, quality, simhash, substrings, topk, urls
+from semifold.llm import licenses, mixing, packing, pii, quality, simhash, substrings, suffixes, topk, urls
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, _q_ int, fp int, n int, key int, value string, row int, tokens int"
@@ -161,12 +161,43 @@ def plain_passages(rows: list[tuple], length: int = 50) -> list[tuple]:
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("shard_bytes", [3_000, 1_900_000])
-def test_repeated_passages(docs, shard_bytes):
-    got = substrings.repeated_passages(docs, substrings.SubstringParams(shard_bytes=shard_bytes, merge_rows=200))
+@pytest.mark.parametrize("shard_bytes, hot", [(3_000, 20_000), (3_000, 3), (1_900_000, 20_000)])
+def test_repeated_passages(docs, shard_bytes, hot):
+    got = substrings.repeated_passages(docs, substrings.SubstringParams(shard_bytes=shard_bytes, merge_rows=200, hot_runs=hot))
     assert sorted(map(tuple, got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=repr) == plain_passages(pairs(docs))
 
 
+@pytest.mark.parametrize("hot", [5, 20_000])
+def test_passage_and_line_in_every_shard(spark, hot):
+    """A passage longer than a window and a line shorter than one stand in every document, one document a shard."""
+    rng = np.random.default_rng(2)
+    passage, line = "a passage that is longer than a window of fifty bytes by far, in all", "a line below the window "
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 900, n))
+    rows = [(i, f"{words(20)} {passage} {words(9)} {line}{words(9)}") for i in [*range(40), 2**63 - 1]] + [(None, passage * 2), (None, None), (3, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.repeated_passages(docs, substrings.SubstringParams(shard_bytes=100, merge_rows=10, hot_runs=hot))
+    want = plain_passages([(2**62 if i == 2**63 - 1 else i, t or "") for i, t in rows])
+    want = sorted([(2**63 - 1, *r[1:]) if r[0] == 2**62 else r for r in want], key=repr)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("alphabet", [1, 2, 5, 200])
+def test_suffix_arrays_to_a_depth(alphabet):
+    rng = np.random.default_rng(alphabet)
+    data = rng.integers(0, alphabet, 3000).astype(np.uint8)
+    data[2000:2600] = data[300:900]
+    raw = data.tobytes()
+    for depth in (0, 50):
+        sa, _, tied = suffixes.suffix_array(data, depth)
+        whole = sorted(range(len(raw)), key=lambda k: raw[k:])
+        assert sa.tolist() == whole if not depth else all(raw[a : a + 50] <= raw[b : b + 50] for a, b in zip(sa, sa[1:]))
+        lcp = suffixes.common_prefixes(data, sa, tied if depth else None)
+        for k in range(1, len(sa)):
+            a, b = raw[sa[k - 1] :], raw[sa[k] :]
+            n = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
+            assert lcp[k] == n if tied[k] or not depth else n < depth
+
+
 def test_mixture(docs):
     m = dicts(mixing.mix(docs.select("doc_id", "text", "source")))
     count = Counter(repr(r["doc_id"]) for r in m)
