@@ -46,8 +46,9 @@ def suffix_array(data: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarr
     key = code[:n].copy()
     for k in range(1, h):
         key = (key << width) | code[k : n + k]
-    sa = np.sort((key << bits) | np.arange(n)) & ((1 << bits) - 1)
-    sorted_key = key[sa]
+    sorted_key = np.sort((key << bits) | np.arange(n))
+    sa = sorted_key & ((1 << bits) - 1)
+    sorted_key >>= bits
     rank = np.full(n + 1, -1, np.int64)  # beyond the end: below all others
     head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
