@@ -1,24 +1,29 @@
 """Main-text extraction by a tree-structured graphical model over the DOM.
 
-A page is cut into tags and text by one regular expression; open elements form a tree whose nodes are labelled content
-or not. A node's own potential is a logistic function of its features (tag kind, class and id words, text length, link
+A page is cut into tags and text in one pass over its characters; open elements form a tree whose nodes are labelled
+content or not. A node's own potential is a logistic function of its features (tag kind, class and id words, text length, link
 density, depth); parent-child potentials are log ratios of label pairs. Both are trained from a small table of labelled
 pages (labelled_pages(), made by rule). Sum-product messages pass upward and downward by tree level, in numpy over a
 whole batch of pages, and give each node's marginal of being content. Text under a node of marginal above the limit is
 kept, block by block in page order.
 
-Pages are independent: one mapInPandas over the scan, no shuffle. Broken markup is tolerated: stray end tags are
-ignored, p and li close their open namesakes, and everything open ends with the page; an element whose content is not
-text is empty if it ends in a slash, and skips only its own tag if no end tag follows (but script, style, textarea and
-title run to the page's end). Defined results: null or empty
-html gives an empty text; a page without any tag is one text block and is judged at its root; repeated rows are
-extracted one by one; extra columns are not read.
+Pages are independent: one mapInPandas over the scan, no shuffle; the time is linear in a page's length. Broken markup is
+tolerated: stray end tags are ignored, p, li and table cells close their open namesakes, and everything open ends with the
+page; an element whose content is not text is empty if it ends in a slash, and skips only its own tag if no end tag follows
+(but script, style, textarea and title run to the page's end). Formulas (math) are part of their block's text, drawings
+(svg) and embedded objects are blocks like any other, so their words stay where they stand in an article.
+
+Defined results: null or empty html gives an empty text; a page without any tag is one text block and is judged at its
+root; a header element is no content, also inside an article, but a heading outside of one is; a tag that never ends is
+text if no > follows it, and else ends at the next >; elements nested below max_depth share their ancestor's node;
+repeated rows are extracted one by one; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,24 +31,29 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: In a tag: a value in quotes begins, or the tag ends.
+IN_TAG = re.compile(r"=\s*([\"'])|>")
 ATTR = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements without content, elements whose content is not text, and inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg math iframe object select title xmp".split())
+RAW = frozenset("script style noscript template textarea iframe select title annotation annotation-xml".split())
 #: Of these, the ones whose content runs to the end of the page if no end tag follows.
 TO_END = frozenset("script style textarea title".split())
 END_TAGS = {t: re.compile(rf"</{t}(?![^\s/>])", re.I | re.A) for t in RAW}
+#: Elements of other languages, which a trailing slash closes.
+EMPTY_IF_CLOSED = frozenset("svg object path g rect circle line use text image".split())
 #: A trailing slash closes an element, unless it belongs to an attribute's value without quotes.
 CLOSED = re.compile(r"(?<!\S)/\Z|[\"']/\Z|(?<!\S)[^\s=]+/\Z")
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
+INLINE = frozenset(("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label "
+    "math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics tspan").split())
 #: Elements that an open tag of the key closes, up to the nearest scope.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES |= {t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 SCOPE = frozenset("html body article aside section main div nav header footer form table ul ol dl blockquote figure fieldset td th".split())
 
 #: Tag groups and the words in class and id that speak for or against content.
-TAG_GROUPS = (("article", "main"), ("p", "pre", "blockquote", "dd", "dt", "td", "figcaption"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "button", "input", "fieldset", "dialog"), ("head", "script", "style", "noscript", "template", "iframe"), ("ul", "ol", "li", "dl"), ("div", "section", "body", "html"))
+TAG_GROUPS = (("article", "main"), ("p", "pre", "blockquote", "dd", "dt", "td", "figcaption"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "button", "input", "fieldset", "dialog"), ("head", "script", "style", "noscript", "template", "iframe"), ("ul", "ol", "li", "dl"), ("table", "thead", "tbody", "tfoot", "tr", "caption", "figure", "svg", "g", "text", "object", "details", "summary"), ("div", "section", "body", "html"))
 BAD_WORDS = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "consent", "disqus", "footer", "form", "header", "legal", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "reply", "replies", "responses", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget")
 GOOD_WORDS = ("article", "articlebody", "body", "content", "entry", "main", "post", "story", "text")
 WORD = re.compile(r"[a-z]+")
@@ -52,19 +62,64 @@ SPACE = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class HtmlParams:
+    """limit: least marginal of content; batch_pages: pages whose trees are joined in one pass."""
+
     limit: float = 0.5
     batch_pages: int = 256
 
 
+def markup(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, kind, name, attributes) of each piece of markup of a page; what lies between is text.
+
+    kind is open, close, cdata or skip. Each character is passed over once, but for one second look at a page whose
+    quotes never end. A caller that sends a place goes on from there.
+    """
+    at, last, quotes = 0, source.rfind(">"), True
+    while (start := source.find("<", at)) >= 0:
+        at, kind, name, attrs = start + 1, "", "", ""
+        if source.startswith("!--", at):
+            end = source.find("-->", at + 3)
+            at, kind = end + 3 if end >= 0 else len(source), "skip"
+        elif source.startswith("![CDATA[", at):
+            end = source.find("]]>", at)
+            at, kind = end + 3 if end >= 0 else len(source), "cdata"
+        elif at > last:
+            return
+        elif source[at] in "!?":
+            at, kind = source.find(">", at) + 1, "skip"
+        elif m := NAME.match(source, at + (source[at] == "/")):
+            kind, name, inner = "close" if source[at] == "/" else "open", m[0].lower(), m.end()
+            at = inner
+            while quotes and at >= 0:
+                if not (m := IN_TAG.search(source, at)):
+                    quotes, at = False, inner
+                elif m[0] == ">":
+                    at = m.end()
+                    break
+                else:
+                    end = source.find(m[1], m.end())
+                    quotes, at = (False, inner) if end < 0 else (True, end + 1)
+            if not quotes:
+                at = source.find(">", inner) + 1
+                if not at:
+                    return
+            attrs = source[inner : at - 1]
+        if kind:
+            at = (yield start, at, kind, name, attrs) or at
+
+
 class Tree:
     """Nodes of many pages as flat lists: parent (-1 for a root), tag group bits, text pieces in page order."""
 
-    def __init__(self):
+    def __init__(self, max_depth: int = 512):
+        self.max_depth = max_depth
         self.page, self.parent, self.depth, self.features = [], [], [], []
         self.text_len, self.link_len = [], []
         self.pieces: list[tuple[int, int, str | None]] = []  # (page, node, text; None: a block's edge)
 
     def node(self, page: int, parent: int, tag: str, attrs: str) -> int:
+        if parent >= 0 and self.depth[parent] >= self.max_depth:
+            return parent
         f = [float(tag in group) for group in TAG_GROUPS]
         words = {w for m in ATTR.finditer(attrs) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())} if attrs else ()
         f += [float(any(w in words for w in BAD_WORDS)), float(any(w in words for w in GOOD_WORDS))]
@@ -77,64 +132,79 @@ class Tree:
         return len(self.parent) - 1
 
     def parse(self, page: int, source: str) -> None:
-        root = self.node(page, -1, "html", "")
-        stack: list[tuple[str, int]] = [("html", root)]  # open elements; an inline one shares the node of its block
-        links = at = 0
-        raw = ""
-        missing: set[str] = set()  # elements without an end tag in the rest of the page
-        while at < len(source):
-            m = TAG.search(source, at)
-            end = m.start() if m else len(source)
-            if end > at:
-                self._text(page, stack[-1][1], source[at:end], links > 0)
-            if not m:
-                break
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
-                if m[0].startswith("<![CDATA["):
-                    self._text(page, stack[-1][1], m[0][9:].removesuffix("]]>"), links > 0)
-                continue
-            if m[1] or m[4]:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag or tag not in SCOPE and stack[k][0] in SCOPE), 0)
-                if k and stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
+        stack: list[tuple[str, int]] = [("html", self.node(page, -1, "html", ""))]  # an inline element shares its block's node
+        scopes: list[Counter] = [Counter(html=1)]  # open elements by tag, from each scope to the next
+        whole: Counter = Counter(html=1)
+
+        def push(tag: str, node: int) -> None:
+            if tag in SCOPE:
+                scopes.append(Counter())
+            scopes[-1][tag] += 1
+            whole[tag] += 1
+            stack.append((tag, node))
+
+        def pop_to(tags) -> int:
+            """Closes open elements up to the nearest of tags; its node."""
+            while True:
+                tag, node = stack.pop()
+                whole[tag] -= 1
+                if tag in SCOPE:
+                    scopes.pop()
+                else:
+                    scopes[-1][tag] -= 1
+                if tag in tags:
+                    return node
+
+        at, missing = 0, set()  # missing: elements without an end tag in the rest of the page
+        pieces = markup(source)
+        here = next(pieces, None)
+        while here:
+            start, end, kind, tag, attrs = here
+            if start > at:
+                self._text(page, stack[-1][1], source[at:start], whole["a"] > 0)
+            at = end
+            if kind == "cdata":
+                self._text(page, stack[-1][1], html.escape(source[start + 9 : end].removesuffix("]]>")), whole["a"] > 0)
+            elif kind == "close":
+                if (whole if tag in SCOPE else scopes[-1])[tag] > 0 and (tag != "html" or whole["html"] > 1):
+                    node = pop_to((tag,))
                     if tag not in INLINE:
-                        self.pieces.append((page, stack[k][1], None))
-                    del stack[k:]
-                continue
-            if tag in VOID:
-                if tag == "br":
-                    self.pieces.append((page, stack[-1][1], " "))
-                elif tag == "hr":
-                    self.pieces.append((page, stack[-1][1], None))
-                continue
-            if tag in RAW:  # skip to its end tag; its content is not text
-                if CLOSED.search(m[3] or m[6] or ""):
-                    continue
-                shut = None if tag in missing else END_TAGS[tag].search(source, at)
-                if not shut:
-                    missing.add(tag)
-                    if tag not in TO_END:
+                        self.pieces.append((page, node, None))
+            elif kind == "open" and tag in VOID:
+                if tag in ("br", "hr"):
+                    self.pieces.append((page, stack[-1][1], " " if tag == "br" else None))
+            elif kind == "open" and tag in RAW:  # skip to its end tag; its content is not text
+                if not CLOSED.search(attrs):
+                    shut = None if tag in missing else END_TAGS[tag].search(source, at)
+                    if not shut:
+                        missing.add(tag)
+                    if shut or tag in TO_END:
+                        at = shut.start() if shut else len(source)
+                        push(tag, self.node(page, stack[-1][1], tag, ""))
+                        here = self._next(pieces, at)
                         continue
-                at = shut.start() if shut else len(source)
-                stack.append((tag, self.node(page, stack[-1][1], tag, "")))
-                continue
-            if shut := CLOSES.get(tag):
-                k = len(stack) - 1
-                while k > 0 and stack[k][0] not in SCOPE:
-                    if stack[k][0] in shut:
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        break
-                    k -= 1
-            if tag in INLINE:
-                links += tag == "a"
-                stack.append((tag, stack[-1][1]))
-            else:
-                node = self.node(page, stack[-1][1], tag, m[3] or m[6] or "")
-                self.pieces.append((page, node, None))
-                stack.append((tag, node))
+            elif kind == "open":
+                shut = CLOSES.get(tag, ())
+                while any(scopes[-1][t] > 0 for t in shut) and len(stack) > 1:
+                    pop_to(shut)
+                if tag in INLINE:
+                    push(tag, stack[-1][1])
+                else:
+                    node = self.node(page, stack[-1][1], tag, attrs)
+                    self.pieces.append((page, node, None))
+                    push(tag, node)
+                    if tag in EMPTY_IF_CLOSED and CLOSED.search(attrs):
+                        pop_to((tag,))
+            here = next(pieces, None)
+        if at < len(source):
+            self._text(page, stack[-1][1], source[at:], whole["a"] > 0)
+
+    @staticmethod
+    def _next(pieces, at: int):
+        try:
+            return pieces.send(at)
+        except StopIteration:
+            return None
 
     def _text(self, page: int, node: int, text: str, linked: bool) -> None:
         self.pieces.append((page, node, text))
@@ -163,7 +233,8 @@ class TreeModel:
         n = len(parent)
         score = x @ self.weights
         node = np.column_stack([np.zeros(n), score])
-        by_level = [np.flatnonzero(depth == d) for d in range(depth.max(initial=-1) + 1)]
+        order = np.argsort(depth, kind="stable")
+        by_level = np.split(order, np.searchsorted(depth[order], np.arange(1, depth.max(initial=0) + 1)))
         inside, up = node.copy(), np.zeros((n, 2))
         for at in reversed(by_level[1:]):
             both = self.pair[None] + inside[at][:, None, :]  # node, parent label, own label
@@ -177,6 +248,22 @@ class TreeModel:
         return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -700, 700)))
 
 
+#: Bodies of labelled articles besides headings, paragraphs and lists.
+OTHER_BODIES = (
+    "<table><caption>%s</caption><tr><th>%s</th><td>%s</td></tr><tr><th>%s</th><td>%s</td></tr></table>",
+    "<figure><img src='f'><figcaption>%s</figcaption></figure><p>%s</p>",
+    "<blockquote><p>%s</p></blockquote>",
+    "<table><tbody><tr><td>%s<td>%s<tr><td>%s</table>",
+    "<pre>%s</pre>",
+    "<dl><dt>%s</dt><dd>%s</dd></dl>",
+    "<section><h2>%s</h2><p>%s</p></section>",
+    "<div><p>%s <a href='/in'>with a link</a></p></div>",
+    "<svg><g><text>%s</text></g></svg><object data='o'>%s</object>",
+    "<details><summary>%s</summary><p>%s</p></details>",
+    "<div>%s</div>",
+)
+
+
 def labelled_pages() -> list[tuple[str, list[str]]]:
     """A small labelled table made by rule: (html, the phrases that are content); every other text is not."""
     rows = []
@@ -209,6 +296,11 @@ def labelled_pages() -> list[tuple[str, list[str]]]:
         if k % 5 == 0:
             body.append(f"<ul><li>{para[(at + 9) % 40]}</li><li>{para[(at + 10) % 40]}</li></ul>")
             kept += [para[(at + 9) % 40], para[(at + 10) % 40]]
+        other = OTHER_BODIES[k % len(OTHER_BODIES)]
+        if other and k % 2:
+            own = [f"{para[(at + 11 + j) % 40]}" for j in range(other.count("%s"))]
+            body.append(other % tuple(own))
+            kept += own
         parts = [c % "".join(item % noise[(k + j) % 40] for j in range(n)) for c, item, n in (chrome[(k + i * 3) % len(chrome)] for i in range(5))]
         inside = parts.pop() if k % 6 == 0 else ""
         page = "".join(parts[:2]) + frames[k % len(frames)] % ("".join(body) + inside) + "".join(parts[2:])
@@ -227,7 +319,7 @@ def train(pages: list[tuple[str, list[str]]], steps: int = 300, l2: float = 0.02
         if text and text.strip() in wanted[page]:
             y[node] = 1
     parent, depth, x = tree.arrays()
-    frame = {n for n in range(len(parent)) if tree.features[n][0] or tree.features[n][12]}
+    frame = {n for n in range(len(parent)) if tree.features[n][0] or tree.features[n][len(TAG_GROUPS) + 1]}
     for n in reversed(range(len(parent))):  # a frame is content if something in it is; plain wrappers are too
         if y[n] and parent[n] >= 0 and not (parent[n] not in frame and depth[parent[n]] <= 1):
             y[parent[n]] = 1
@@ -253,20 +345,17 @@ def extract_batch(sources: list[str], model: TreeModel, limit: float) -> list[st
     for k, s in enumerate(sources):
         tree.parse(k, s)
     good = model.marginals(*tree.arrays()) > limit if tree.parent else np.empty(0, bool)
-    out: list[list[str]] = [[] for _ in sources]
+    out: list[list[list[str]]] = [[] for _ in sources]  # page, block, pieces
     open_block: tuple[int, int] = (-1, -1)
     for page, node, text in tree.pieces:
-        if text is None:
+        if text is None or not good[node]:
             open_block = (-1, -1)
-        elif good[node]:
-            if open_block == (page, node):
-                out[page][-1] += text
-            else:
-                out[page].append(text)
-                open_block = (page, node)
         else:
-            open_block = (-1, -1)
-    return [" ".join(t for b in blocks if (t := SPACE.sub(" ", html.unescape(b)).strip())) for blocks in out]
+            if open_block != (page, node):
+                out[page].append([])
+                open_block = (page, node)
+            out[page][-1].append(html.unescape(text))
+    return [" ".join(t for b in blocks if (t := SPACE.sub(" ", "".join(b)).strip())) for blocks in out]
 
 
 def extract(pages: DataFrame, model: TreeModel | None = None, params: HtmlParams = HtmlParams()) -> DataFrame:
