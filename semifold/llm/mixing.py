@@ -11,8 +11,9 @@ Without a budget the mixture takes the fewest tokens that pass every source at l
 sources below their target weight repeat. With a budget, a source may be passed by less than once.
 
 Defined results: a null source is a source of its own; null, empty and blank texts count 0 tokens and are passed as
-often as their block's whole passes; repeated rows are dealt each for itself; one source alone has weight 1; an empty
-table gives no rows. Extra columns stay; the added columns carry the prefix mix_.
+often as their block's whole passes; repeated rows are dealt each for itself, by their place in the table (read the table
+itself, or a stored one: a place must not change when a task runs again); one source alone has weight 1; an empty table
+gives no rows. Extra columns stay; the added columns carry the prefix mix_.
 """
 
 from __future__ import annotations
@@ -97,22 +98,25 @@ def source_plan(docs: DataFrame, source: str, p: MixParams) -> DataFrame:
 def mix(docs: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id", p: MixParams = MixParams()) -> DataFrame:
     """One row for each pass of each document, with mix_tokens, mix_weight, mix_passes, mix_epoch and mix_order.
 
-    Rows ordered by mix_order are the mixture: passes follow each other, blocks of all sources are interleaved by hash.
+    Rows ordered by mix_epoch and mix_order are the mixture: passes follow each other, blocks of all sources come in an
+    order drawn for the pass, and within a block documents keep its seeded order, begun at another place in each whole pass.
     """
     counted = docs.withColumn("mix_tokens", tokens(F.col(text)))
     plan = source_plan(counted.select(source, "mix_tokens"), source, p)
-    row = F.xxhash64(F.lit(p.seed), id_col, text)
-    dealt = counted.join(plan, counted[source].eqNullSafe(plan["_m_source"])).withColumn("_m_block", F.pmod(F.xxhash64(row, F.lit("block")), F.col("_m_blocks")))
+    dealt = counted.withColumn("_m_row", F.xxhash64(F.lit(p.seed), id_col, text, F.monotonically_increasing_id()))
+    dealt = dealt.join(plan, dealt[source].eqNullSafe(plan["_m_source"])).withColumn("_m_block", F.pmod(F.xxhash64("_m_row", F.lit("block")), F.col("_m_blocks")))
     block = Window.partitionBy("_m_source", "_m_block")
-    order = block.orderBy(row, F.col(id_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = block.orderBy("_m_row", F.col(id_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_of_it = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     whole = F.floor("mix_passes")
     middle = F.sum("mix_tokens").over(order) - F.col("mix_tokens") / 2
-    more = (F.col("mix_tokens") > 0) & (middle <= (F.col("mix_passes") - whole) * F.sum("mix_tokens").over(block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    copies = dealt.withColumn("_m_copies", (whole + more.cast("int")).cast("int")).where(F.col("_m_copies") > 0)
-    passed = copies.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_m_copies") - 1)))
-    turn = F.pmod(F.xxhash64(F.lit(p.seed), "mix_epoch", "_m_source", "_m_block"), F.lit(1 << 40))
-    passed = passed.withColumn("mix_order", F.col("mix_epoch").cast("long") * (1 << 40) + turn)
-    return passed.drop("_m_source", "_m_blocks", "_m_block", "_m_copies")
+    more = (F.col("mix_tokens") > 0) & (middle <= (F.col("mix_passes") - whole) * F.sum("mix_tokens").over(all_of_it))
+    ranked = dealt.withColumns({"_m_copies": (whole + more.cast("int")).cast("int"), "_m_rank": F.count(F.lit(1)).over(order) - 1, "_m_size": F.count(F.lit(1)).over(all_of_it)})
+    passed = ranked.where(F.col("_m_copies") > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_m_copies") - 1)))
+    drawn = F.xxhash64(F.lit(p.seed), "mix_epoch", "_m_source", "_m_block")
+    rank = F.when(F.col("mix_epoch") < whole, F.pmod(F.col("_m_rank") + F.pmod(drawn, F.lit(1 << 20)), F.col("_m_size"))).otherwise(F.col("_m_rank"))
+    passed = passed.withColumn("mix_order", F.shiftleft(F.pmod(F.xxhash64(drawn), F.lit(1 << 36)), 26) + rank)
+    return passed.drop("_m_source", "_m_blocks", "_m_block", "_m_copies", "_m_row", "_m_rank", "_m_size")
 
 
 def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:

@@ -1,13 +1,19 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, for pipelines (op1 keeps its own contract values).
-
-1. Each text becomes its set of five-word shingles; equal sets count once. Of each set, bands of min-hashes are keys:
-   two sets of similarity x miss each other in all bands with odds (1 - x**rows)**bands, 7e-5 at 0.8 and 3e-16 at 0.95.
-2. Sets that share a key meet. A short sketch (one byte of each min-hash) leaves out pairs that agree in too few places:
-   a pair of similarity 0.8 agrees in fewer than sketch_share of 120 places with odds below 1e-6. Keys that many share
-   are cut into blocks, and each pair of blocks is a group of its own, so no group grows with the data.
-3. Pairs left are verified on the texts themselves: the shingles, not their hashes, must reach the limit. The first
-   round verifies each set's likeliest partner in each group, the second every other pair whose ends are not yet in one
-   component, so large groups of near copies do not give all their pairs.
+"""Near-duplicates by SimHash with verified similarity, for pipelines (op1 keeps its own contract values).
+
+A pair whose five-word shingle sets have similarity 0.8 differs in about 15 bits of 100, too many for 64-bit fingerprints
+to be searched. So fingerprints here have `words` words of 64 bits, each the SimHash of the set under its own hash, and the
+generalised pigeonhole principle is applied to all their bits: correlated bits of a word are grouped into parts, and
+dynamic programming over estimated candidate counts allocates unequal thresholds e - 1 whose e add up to five times
+`words`. A pair within 5 * words - 1 bits (8 of 100) is found for certain. Others are found if any part agrees: with 80
+parts of 12 or 13 bits a pair of similarity 0.8 is missed with odds of 3e-5, one of 0.85 with 3e-7. Longer parts, which
+pay for more documents, are probed at flipped bits, too.
+
+1. Each text becomes its set of shingles; equal sets count once (a group of exact copies is one row from here on).
+2. Each set is filed under its part values. Values that many share are cut into blocks, and each pair of blocks is a group
+   of its own, so no group grows with the data. A sketch of 128 bits leaves out pairs that cannot be similar.
+3. In the first two rounds each set offers its likeliest partner only; the last round takes every pair that met and is not
+   in one component yet. So large groups of near copies do not give all their pairs. Each pair must be near by the whole
+   fingerprint, and then by the shingles themselves, not their hashes, of the two texts.
 
 A component of verified links is a group of near-duplicates. Defined results: a null text is empty; texts without words
 have the empty set and are copies of each other; texts of up to five words are one shingle.
@@ -17,27 +23,39 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semifold.llm.components import connected_components
-from semifold.llm.lineage import stored
+from semifold.llm.lineage import release, stored
+from semifold.llm.simhash import BITS, allocate, group_bits, mask_of
 
 
 @dataclass(frozen=True)
 class NearParams:
-    """block: largest group compared whole."""
+    """words: of a fingerprint; layouts: numbers of parts that a word may be cut into; block: largest group compared whole;
+    deviations: how far beyond the expected distance of a pair at the limit a pair still counts as near; probe_cost: what
+    filing one row costs, in comparisons of two sketches."""
 
     shingle: int = 5
     similarity: float = 0.8
     seed: int = 42
-    bands: int = 24
-    rows: int = 5
-    sketch_share: float = 0.6
-    block: int = 256
+    words: int = 16
+    layouts: tuple = (5, 4, 3, 2)
+    probe_cost: float = 1000.0
+    block: int = 4096
+    deviations: float = 4.6
+
+    def limit(self, bits: int) -> int:
+        """Most bits of so many in which a similar pair may differ."""
+        odds = acos(2 * self.similarity / (1 + self.similarity)) / pi
+        return int(bits * odds + self.deviations * sqrt(bits * odds * (1 - odds)))
 
 
 def shingles(text: str | None, k: int) -> set[bytes]:
@@ -55,134 +73,231 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
-def signature(text: str | None, p: NearParams) -> tuple[bytes, bytes, list[int]]:
-    """The set's name (128 bits of its sorted hashes), its sketch and its keys, one for each band."""
-    import xxhash
-
-    h = np.unique(np.array([xxhash.xxh64_intdigest(s, p.seed) for s in shingles(text, p.shingle)], dtype="<u8"))
-    name = xxhash.xxh3_128_digest(h.tobytes(), p.seed)
-    if not len(h):
-        return name, b"", []
-    rng = np.random.default_rng(p.seed)
-    n = p.bands * p.rows
-    mul, add = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
-    least = np.full(n, 2**64 - 1, dtype=np.uint64)
-    for lo in range(0, len(h), 4096):
-        least = np.minimum(least, (h[lo : lo + 4096, None] * mul + add).min(axis=0))
-    least = least.astype("<u8")
-    keys = [xxhash.xxh64_intdigest(least[b * p.rows : (b + 1) * p.rows].tobytes(), b) for b in range(p.bands)]
-    return name, ((least >> np.uint64(56)) ^ (least >> np.uint64(32)) & np.uint64(255)).astype(np.uint8).tobytes(), np.array(keys, dtype=np.uint64).astype(np.int64).tolist()
+def wide_fingerprint(h: np.ndarray, p: NearParams) -> np.ndarray:
+    """The words of the fingerprint of a set of hashes: a bit is 1 if set in over half the word's hashes."""
+    salt = np.random.default_rng(p.seed).integers(0, 2**63, p.words, dtype=np.uint64)
+    ones = np.zeros(p.words * BITS, np.int64)
+    for lo in range(0, len(h), 255):
+        x = h[lo : lo + 255, None] ^ salt
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8").astype(np.int64)
 
 
 def signatures(docs: DataFrame, p: NearParams) -> DataFrame:
-    """doc_id, t (hash of the text, to find the row again), s (the set's name), sketch and keys."""
+    """doc_id, t (hash of the text, to find the row again), s (128 bits of the set's sorted hashes, its name) and fp."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         for pdf in batches:
-            rows = [signature(x, p) for x in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "t": pdf["t"], "s": [r[0] for r in rows], "sketch": [r[1] for r in rows], "keys": [r[2] for r in rows]})
+            names, prints = [], []
+            for text in pdf["text"]:
+                h = np.unique(np.array([xxhash.xxh64_intdigest(s, p.seed) for s in shingles(text, p.shingle)], dtype="<u8"))
+                names.append(xxhash.xxh3_128_digest(h.tobytes(), p.seed))
+                prints.append(wide_fingerprint(h.astype(np.uint64), p))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "t": pdf["t"], "s": names, "fp": prints})
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("t")).mapInPandas(run, "doc_id long, t long, s binary, sketch binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("t")).mapInPandas(run, "doc_id long, t long, s binary, fp array<long>")
 
 
-def meeting(sets: DataFrame, p: NearParams) -> DataFrame:
-    """g, own, other and s: each set under the keys it shares with others; keys that many share, in pairs of blocks."""
-    under = sets.select("s", F.explode("keys").alias("g"))
-    shared = under.groupBy("g").count().where(F.col("count") > 1).select("g", F.ceil(F.col("count") / p.block).cast("int").alias("blocks"))
-    dealt = under.join(shared, "g").withColumn("own", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "s")
-
-
-def _alike(sketch: np.ndarray, label: np.ndarray, share: float, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (later, earlier) of one group that may be similar and differ in label; of forest, each set's likeliest."""
-    n = len(sketch)
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    least = share * sketch.shape[1]
-    for i in range(1, n):
-        same = (sketch[:i] == sketch[i]).sum(axis=1)
-        same[label[:i] == label[i]] = -1
-        at = np.flatnonzero(same >= least)
-        if forest and len(at):
-            at = at[[same[at].argmax()]]
-        left.append(np.full(len(at), i))
-        right.append(at)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def candidates(met: DataFrame, sketches: DataFrame, p: NearParams, forest: bool) -> DataFrame:
-    """a and b (a < b): pairs of sets to verify. sketches: s, sketch and label; ends of one label are left out."""
-
-    def pairs(g: np.ndarray, s: np.ndarray, sketch: np.ndarray, label: np.ndarray) -> pd.DataFrame:
-        cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]) if len(g) else np.zeros(1, int)
-        out = []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi - lo > 1:
-                names = np.unique(label[lo:hi], return_inverse=True)[1]
-                i, j = _alike(np.stack(sketch[lo:hi]), names, p.sketch_share, forest)
-                out += [(min(s[lo + x], s[lo + y]), max(s[lo + x], s[lo + y])) for x, y in zip(i, j, strict=True)]
-        return pd.DataFrame({"a": [x[0] for x in out], "b": [x[1] for x in out]})
+def word_moments(sets: DataFrame, words: int) -> np.ndarray:
+    """m[w, i, j]: in how many fingerprints bits i and j of word w are both set; m[w, 64, 64] is their number. A number of
+    fixed size for each partition, added up by Spark."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ("g", "s", "sketch", "label")
-        held = None
+        total = np.zeros((words, BITS + 1, BITS + 1))
         for pdf in batches:
-            pdf = pdf.assign(s=pdf["s"].map(bytes), label=pdf["label"].map(bytes), sketch=[np.frombuffer(x, np.uint8) for x in pdf["sketch"]])
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = int(np.searchsorted(held["g"].to_numpy(), held["g"].iloc[-1]))  # the last group may go on in the next batch
-            yield pairs(*(held[c].to_numpy()[:last] for c in columns))
-            held = held.iloc[last:].reset_index(drop=True)
-        if held is not None:
-            yield pairs(*(held[c].to_numpy() for c in columns))
-
-    rows = met.join(sketches, "s").select("g", "s", "sketch", "label")
-    return rows.repartition("g").sortWithinPartitions("g", "s").mapInPandas(run, "a binary, b binary").distinct()
+            if not len(pdf):
+                continue
+            fp = np.stack(pdf["fp"]).astype("<i8")
+            bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little").reshape(len(fp), words, BITS)
+            x = np.concatenate([bits, np.ones((len(fp), words, 1), np.uint8)], axis=2).astype(np.float32).transpose(1, 0, 2)
+            total += x.transpose(0, 2, 1) @ x
+        w, i, j = np.nonzero(total)
+        yield pd.DataFrame({"w": w, "i": i, "j": j, "n": total[w, i, j]})
+
+    m = np.zeros((words, BITS + 1, BITS + 1))
+    for r in sets.select("fp").mapInPandas(run, "w int, i int, j int, n double").groupBy("w", "i", "j").agg(F.sum("n").alias("n")).collect():
+        m[r["w"], r["i"], r["j"]] = r["n"]
+    return m
+
+
+def plan_parts(m: np.ndarray, p: NearParams) -> list[tuple[int, list[int], int]]:
+    """(word, bits, e) of the parts to probe, from the moments of all fingerprints: part values must agree up to e - 1
+    bits, and the e of all parts add up to 5 * words."""
+    n = max(m[0, -1, -1], 1.0)
+    share = m[:, -1, :BITS] / n
+    agree = np.maximum(share**2 + (1 - share) ** 2, 1e-9)
+    choices = []
+    for layout in p.layouts:
+        parts = [(w, bits) for w in range(p.words) for bits in group_bits(m[w], layout)]
+        costs = []
+        for w, bits in parts:
+            pairs = n * n / 2 * agree[w, bits].prod()  # estimate of the pairs that agree in the whole part
+            odds = float(((1 - agree[w, bits]) / agree[w, bits]).mean())
+            cost = [0.0]
+            for e in (1, 2, 3):
+                probes = sum(comb(len(bits), f) for f in range(e))
+                cost.append(n * probes * p.probe_cost + pairs * sum(comb(len(bits), f) * odds**f for f in range(2 * e - 1)))
+            costs.append(cost)
+        choices.append((*allocate(costs, 5 * p.words), parts))
+    _, chosen, parts = min(choices, key=lambda c: c[0])
+    return [(w, bits, e) for (w, bits), e in zip(parts, chosen, strict=True) if e]
+
+
+def _keys(fp: np.ndarray, parts: list[tuple[int, list[int], int]]) -> np.ndarray:
+    """For fingerprints (n x words) the values under which each is filed: those of its parts, and those at up to e - 1
+    flipped bits."""
+    out = []
+    with np.errstate(over="ignore"):
+        for k, (w, bits, e) in enumerate(parts):
+            own = fp[:, w] & np.int64(mask_of(bits))
+            for flip in [0, *(mask_of(c) for f in range(1, e) for c in combinations(bits, f))]:
+                x = ((own ^ np.int64(flip)).view(np.uint64) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+                x = (x ^ (x >> np.uint64(31)) ^ np.uint64(k << 32)) * np.uint64(0xBF58476D1CE4E5B9)
+                out.append(x ^ (x >> np.uint64(30)))
+    return np.column_stack(out).view(np.int64)
+
+
+UNDER = "g long, sid long, x long, y long, label long"
+
+
+def filed(sets: DataFrame, parts: list, p: NearParams) -> DataFrame:
+    """g, sid, x, y (the sketch) and label: each set under its values; values that many share, in pairs of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                fp = batch.column("fp").flatten().to_numpy().reshape(batch.num_rows, p.words)
+                g = _keys(fp, parts)
+                each = lambda v, n=g.shape[1]: pa.array(np.repeat(v, n))
+                yield pa.RecordBatch.from_arrays([pa.array(g.ravel()), each(batch.column("sid").to_numpy()), each(fp[:, 0]), each(fp[:, 1]), each(batch.column("label").to_numpy())], ["g", "sid", "x", "y", "label"])
+
+    under = sets.select("sid", "fp", "label").mapInArrow(run, UNDER)
+    crowded = stored(under.groupBy("g").count().where(F.col("count") > p.block).select("g", F.ceil(F.col("count") / p.block).cast("int").alias("blocks")), "crowded")
+    lone = under.join(crowded, "g", "left_anti")
+    dealt = under.join(crowded, "g").withColumn("own", F.pmod(F.xxhash64("sid", F.lit("block")), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))
+    return lone.select("g", "sid", "x", "y", "label").union(dealt.select(pair.alias("g"), "sid", "x", "y", "label"))
+
+
+def _meetings(g: np.ndarray, x: np.ndarray, y: np.ndarray, label: np.ndarray, limit: int, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one, other, distance) of rows of one group (g is sorted) whose sketches are near and whose labels differ; of
+    best, each row with the nearest other row only, whichever comes first."""
+    out = []
+    least, partner = np.full(len(g), limit + 1), np.zeros(len(g), np.int64)
+    at, d = np.arange(len(g)), 1
+    while True:
+        at = at[at + d < len(g)]
+        at = at[g[at] == g[at + d]]
+        if not len(at):
+            break
+        far = np.bitwise_count((x[at] ^ x[at + d]).view(np.uint64)).astype(np.int64) + np.bitwise_count((y[at] ^ y[at + d]).view(np.uint64))
+        near = (far <= limit) & (label[at] != label[at + d])
+        i, j, far = at[near] + d, at[near], far[near]
+        if best:
+            for a, b in ((i, j), (j, i)):  # no row is twice in a, so plain assignment does
+                closer = far < least[a]
+                least[a[closer]], partner[a[closer]] = far[closer], b[closer]
+        else:
+            out.append((i, j, far))
+        d += 1
+    if best:
+        i = np.flatnonzero(least <= limit)
+        return i, partner[i], least[i]
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate([none, *(o[k] for o in out)]) for k in range(3))
+
+
+def candidates(sets: DataFrame, parts: list, p: NearParams, best: bool) -> DataFrame:
+    """a and b: pairs of sets to verify. sets: sid, fp and label; ends of one label are left out."""
+    limit = p.limit(2 * BITS)
+    names = ("g", "sid", "x", "y", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(g, sid, x, y, label) -> pa.RecordBatch:
+            i, j, far = _meetings(g, x, y, label, limit, best)
+            return pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.array(sid[j]), pa.array(far.astype(np.int32))], ["a", "b", "far"])
+
+        held = [np.empty(0, np.int64)] * len(names)
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(n).to_numpy()]) for h, n in zip(held, names, strict=True)]
+            if len(held[0]) < 4096:
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on in the next batch
+            yield met(*(h[:last] for h in held))
+            held = [h[last:] for h in held]
+        yield met(*held)
+
+    pairs = filed(sets, parts, p).repartition("g").sortWithinPartitions("g", "sid").mapInArrow(run, "a long, b long, far int")
+    if best:
+        pairs = pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("n")).select("a", F.col("n.b").alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def near(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
+    """The pairs whose whole fingerprints are near."""
+    far = F.aggregate(F.zip_with("u", "v", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
+    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("fp").alias("u")), "a").join(sets.select(F.col("sid").alias("b"), F.col("fp").alias("v")), "b")
+    return both.where(far <= p.limit(p.words * BITS)).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
-    """The pairs whose texts have at least the similarity. texts: s and text, one row for each set."""
+    """The pairs whose texts have at least the similarity. texts: sid and text, one row for each set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = [jaccard(shingles(x, p.shingle), shingles(y, p.shingle)) >= p.similarity for x, y in zip(pdf["x"], pdf["y"], strict=True)]
             yield pdf.loc[at, ["a", "b"]]
 
-    both = pairs.join(texts.select(F.col("s").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("s").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
-
-
-def links(docs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
-    """a and b: verified links between sets, whose components are those of all pairs that met and are similar."""
-    met = stored(meeting(sets, p), "met")
-
-    def named(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            yield pd.DataFrame({"s": [signature(x, p)[0] for x in pdf["text"]], "text": pdf["text"]})
-
-    involved = met.select("s").distinct()
-    ids = sets.join(involved, "s", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
-    texts = stored(some.select("text").mapInPandas(named, "s binary, text string").join(involved, "s", "left_semi").dropDuplicates(["s"]), "texts")
-    bare = sets.select("s", "sketch", F.col("s").alias("label"))
-    first = stored(verified(candidates(met, bare, p, True), texts, p), "likeliest")
-    roots = connected_components(first, "a", "b").withColumnRenamed("node", "s")
-    labelled = sets.join(roots, "s", "left").select("s", "sketch", F.coalesce("root", "s").alias("label"))
-    return first.union(verified(candidates(met, labelled, p, False), texts, p))
+    both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+
+
+def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """sets with label, the least sid of their component."""
+    roots = connected_components(links, "a", "b").withColumnsRenamed({"node": "sid", "root": "_r_"})
+    return sets.join(roots, "sid", "left").withColumn("label", F.coalesce("_r_", "sid")).drop("_r_")
+
+
+def components(docs: DataFrame, prints: DataFrame, p: NearParams) -> tuple[DataFrame, DataFrame]:
+    """The sets (s, sid) of prints, and their components (sid, label): those of all pairs that met and are similar."""
+    grouped = prints.groupBy("s").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.first("fp").alias("fp"))
+    sets = stored(grouped.withColumn("sid", F.monotonically_increasing_id()), "sets").withColumn("label", F.col("sid"))  # numbered once: a table
+    parts = plan_parts(word_moments(sets, p.words), p)
+    pairs = stored(candidates(sets, parts, p, True), "likeliest")
+    some = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()  # a set that never met a near one takes no part in later rounds
+    active = stored(sets.drop("label").join(some, "sid", "left_semi"), "active")
+    found = active.select("sid", F.col("first.doc_id").alias("_d"), F.col("first.t").alias("_t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("text")).withColumn("_t", F.xxhash64("text"))
+    texts = stored(rows.join(found, ["_d", "_t"]).select("sid", "text").dropDuplicates(["sid"]), "texts")
+    links = stored(verified(near(pairs, active, p), texts, p), "verified")
+    for best in (True, False):
+        labelled = stored(_labelled(active, links), "labels")
+        more = stored(verified(near(candidates(labelled, parts, p, best), labelled, p), texts, p), "verified")
+        release(labelled)
+        links = links.union(more)
+    release(pairs, active, texts)
+    return sets.select("s", "sid"), _labelled(sets.select("sid"), links)
 
 
 def near_dedup(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the least doc_id stays, once.
+    """docs without near-duplicates: of each component the row with the least doc_id stays, once.
 
-    Rows without a doc_id stay, since nothing names them. Columns are unchanged."""
+    Rows go by their own text: two texts under one doc_id are two rows. Rows without a doc_id stay, since nothing names
+    them. Columns are unchanged."""
     prints = stored(signatures(docs.where(F.col("doc_id").isNotNull()), p), "signatures")
-    sets = stored(prints.groupBy("s").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "sets")
-    comps = connected_components(stored(links(docs, sets, p), "verified"), "a", "b").withColumnRenamed("node", "s")
-    rooted = sets.join(comps, "s", "left").select("s", "least", F.coalesce("root", "s").alias("root"))
-    stay = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("kept")), "root").where(F.col("least") == F.col("kept")).select("s", "kept")
-    keep = prints.select("doc_id", "t", "s").join(stay, "s").where(F.col("doc_id") == F.col("kept")).groupBy("doc_id").agg(F.min("t").alias("_t_"))
-    rows = docs.withColumns({"_t_": F.xxhash64(F.col("text").cast("string")), "_d_": F.col("doc_id").cast("long")})
-    rows = rows.join(keep.withColumnRenamed("doc_id", "_d_"), ["_d_", "_t_"], "left_semi")
-    once = Window.partitionBy("_d_").orderBy("_t_")
-    left = rows.withColumn("_s_", F.row_number().over(once)).where(F.col("_s_") == 1).drop("_s_", "_t_", "_d_")
-    return left.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    sets, comps = components(docs, prints, p)
+    named = prints.select("doc_id", "t", "s").join(sets, "s").join(comps, "sid")
+    keep = named.groupBy("label").agg(F.min(F.struct("doc_id", "t")).alias("k")).select(F.col("k.doc_id").alias("_d_"), F.col("k.t").alias("_t_"))
+    rows = docs.select(F.struct("*").alias("_row_"), F.xxhash64(F.col("text").cast("string")).alias("_t_"), F.col("doc_id").cast("long").alias("_d_"))
+    once = Window.partitionBy("_d_", "_t_").orderBy(F.lit(0))
+    left = rows.join(keep, ["_d_", "_t_"], "left_semi").withColumn("_s_", F.row_number().over(once)).where(F.col("_s_") == 1)
+    return left.select("_row_.*").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -119,7 +119,7 @@ def group_bits(m: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def _mask(bits) -> int:
+def mask_of(bits) -> int:
     """Bits as a signed long."""
     value = sum(1 << b for b in bits)
     return value - (1 << 64) if value >= 1 << 63 else value
@@ -146,7 +146,7 @@ def plan_parts(fps: DataFrame, p: SimHashParams) -> list[tuple[list[int], int]]:
     agree = np.maximum(share**2 + (1 - share) ** 2, 1e-9)
     layouts = [group_bits(m, k) for k in p.part_counts]
     flat = [bits for layout in layouts for bits in layout]
-    value = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("value")) for k, bits in enumerate(flat))))
+    value = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(mask_of(bits))).alias("value")) for k, bits in enumerate(flat))))
     met = fps.select(value.alias("x")).groupBy("x.part", "x.value").count().groupBy("part").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs"))
     pairs = {r["part"]: r["pairs"] for r in met.collect()}
     choices, k = [], 0
@@ -170,8 +170,8 @@ def filed(fps: DataFrame, parts: list[tuple[list[int], int]], p: SimHashParams)
     """g and fp: each fingerprint under its part values and their neighbours; values that many share, in pairs of blocks."""
     rows = []
     for k, (bits, e) in enumerate(parts):
-        flips = [_mask(c) for f in range(e) for c in combinations(bits, f)]
-        own = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
+        flips = [mask_of(c) for f in range(e) for c in combinations(bits, f)]
+        own = F.col("fp").bitwiseAND(F.lit(mask_of(bits)))
         rows.append(F.transform(F.array(*map(F.lit, flips)), _under(k, own)))
     under = fps.select("fp", F.explode(F.flatten(F.array(*rows))).alias("g"))
     crowded = under.groupBy("g").count().where(F.col("count") > p.block).select("g", F.ceil(F.col("count") / p.block).cast("int").alias("blocks"))
@@ -236,11 +236,12 @@ def links(fps: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
 
 
 def with_components(prints: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
-    """prints (doc_id, fp) with component_id, the least doc_id reachable over links."""
+    """prints (doc_id, fp) with root (a fingerprint that names the component) and component_id, the least doc_id reachable
+    over links."""
     fps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     comps = connected_components(links(fps.select("fp"), p), "a", "b").withColumnRenamed("node", "fp")
     rooted = fps.join(comps, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
     return prints.join(named, "fp", "left")
 
 
@@ -248,16 +249,3 @@ def components(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame
     """doc_id, fingerprint (16 hex digits) and component_id, one row for each row of docs."""
     found = with_components(stored(fingerprints(docs, p), "simhash"), p)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_dedup(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the least doc_id stays, once.
-
-    Rows without a doc_id stay, since nothing names them. Columns are unchanged."""
-    from pyspark.sql import Window
-
-    found = with_components(stored(fingerprints(docs, p), "simhash"), p)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    stay = docs.join(keep, "doc_id", "left_semi").withColumn("_s_", F.row_number().over(once)).where(F.col("_s_") == 1).drop("_s_")
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semifold.llm.lineage import stored
+from semifold.llm.lineage import release, stored
 from semifold.llm.suffixes import byte_words, common_prefixes, suffix_array
 
 LAST = 2**63 - 1
@@ -372,7 +372,9 @@ def repeated_passages(docs: DataFrame, p: SubstringParams = SubstringParams()) -
     shared = stored(shared_anchors(found, p), "anchors")
     runs = stored(candidate_windows(found, shared, p), "windows")
 
+    release(shared)
     bits = stored(repeated_runs(runs, p), "repeats")
+    release(runs)
 
     def finish(key, s_rows: pd.DataFrame, b_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(s_rows):

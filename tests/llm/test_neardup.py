@@ -1,9 +1,10 @@
-"""The pipeline's near-duplicate stage against brute force on planted edits."""
+"""The pipeline's near-duplicate stage against brute force on planted edits, and its fingerprints' parts."""
 
 from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from semifold.llm import neardup
@@ -63,8 +64,43 @@ def test_finds_planted_edits(spark, block):
 
 
 def test_stage_of_the_pipeline(spark):
+    """Two texts under one doc_id are two rows: one that nothing resembles stays."""
     base = [f"w{k}" for k in range(200)]
     edited = " ".join([*base[:50], "new", *base[51:140], "other", *base[141:]])
-    rows = [(1, " ".join(base)), (2, edited), (3, "quite another text of a few words"), (None, edited), (3, edited), (4, edited.upper())]
-    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
-    assert sorted(got.collect(), key=repr) == sorted([(1, rows[0][1]), (3, rows[2][1]), (None, edited)], key=repr)
+    alone = "quite another text of a few words"
+    rows = [(1, " ".join(base)), (2, edited), (3, alone), (None, edited), (3, edited), (4, edited.upper()), (5, alone + " x y"), (6, "last"), (6, alone + " x y"), (6, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit(1), "_t_": F.lit("clash"), "sid": F.lit(2)})
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=repr) == sorted([(1, rows[0][1]), (3, alone), (None, edited), (5, alone + " x y"), (6, "last")], key=repr)
+
+
+def test_empty(spark):
+    assert neardup.near_dedup(spark.createDataFrame([], "doc_id long, text string, n int")).count() == 0
+
+
+def test_plan_keeps_the_pigeonhole_sum():
+    """Whatever the number of fingerprints, the thresholds add up; more fingerprints take longer parts and more probes."""
+    rng = np.random.default_rng(1)
+    for n in (10, 10**5, 10**10, 10**12):
+        m = np.full((16, 65, 65), n / 4.0)
+        m[:, range(64), range(64)] = m[:, 64, :64] = m[:, :64, 64] = n / 2 * (1 + 0.01 * rng.standard_normal((16, 64)))
+        m[:, 64, 64] = n
+        parts = neardup.plan_parts(m, neardup.NearParams())
+        assert sum(e for _, _, e in parts) == 80
+        assert all(len(set(bits)) == len(bits) for _, bits, _ in parts)
+        longest = max(len(bits) for _, bits, _ in parts)
+        assert longest == 13 if n <= 10**5 else longest > 13
+
+
+@pytest.mark.parametrize("share, most", [(0.8, 0.001), (0.9, 0.0)])
+def test_odds_of_missing_a_pair(share, most):
+    """Pairs of sets of the given similarity agree in one of 80 parts of 12 or 13 bits but for a few in a hundred thousand."""
+    p, rng, missed, n = neardup.NearParams(), np.random.default_rng(4), 0, 3000
+    for _ in range(n):
+        h = rng.integers(0, 2**64 - 1, 180, dtype=np.uint64)
+        both = int(round(2 * share / (1 + share) * 100))
+        a, b = h[:100], np.concatenate([h[:both], h[100 : 200 - both]])
+        far = neardup.wide_fingerprint(a, p) ^ neardup.wide_fingerprint(b, p)
+        missed += all(w & neardup.mask_of(range(lo, hi)) for w in far.tolist() for lo, hi in ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64)))
+    assert missed / n <= most
