@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NEG_INF, POS_INF = float("-inf"), float("inf")
+#: Fixed value: the logarithm that stands for that of zero in relative entropies.
+LEAST_LOG = -700.0
 
 
 def safe_divide(a: Column, b: Column) -> Column:
@@ -38,14 +40,23 @@ def log_add(a: Column, b: Column) -> Column:
     return F.when(top == NEG_INF, F.lit(NEG_INF)).otherwise(top + F.log1p(F.exp(F.least(a, b) - top)))
 
 
+def log_subtract(a: Column, b: Column) -> Column:
+    """log(exp(a) - exp(b)), -inf where they are equal; an error where b is larger."""
+    return F.when(a == b, F.lit(NEG_INF)).when(b > a, F.raise_error(F.lit("logarithm of a negative difference"))).otherwise(a + F.log1p(-F.exp(b - a)))
+
+
+def sign(x: Column) -> Column:
+    return F.when(x > 0, 1).when(x < 0, -1).otherwise(0)
+
+
 def entropy_term(p: Column) -> Column:
     """-p log p, 0 at 0."""
     return F.when(p > 0, -p * F.ln(p)).when(p == 0, F.lit(0.0)).otherwise(F.raise_error(F.lit("entropy of a negative value")))
 
 
 def kl_term(p: Column, q: Column) -> Column:
-    """p (log p - log q), with log q held at -700 where q is 0 and 0 where p is 0."""
-    held = F.when(q > 0, F.greatest(F.ln(q), F.lit(-700.0))).otherwise(F.lit(-700.0))
+    """p (log p - log q), with log q held at LEAST_LOG where q is 0 and 0 where p is 0."""
+    held = F.when(q > 0, F.greatest(F.ln(q), F.lit(LEAST_LOG))).otherwise(F.lit(LEAST_LOG))
     return F.when(p > 0, p * (F.ln(p) - held)).otherwise(0.0)
 
 

@@ -2,22 +2,101 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from semifold.operators.lineage import kept
+
 
 def with_row_index(df: DataFrame, *order: str, name: str = "row_idx") -> DataFrame:
     """df with consecutive numbers from 0 in the given order, without a global window: rows are range-sorted, numbered
-    within their partition, and shifted by the counts of the partitions before (one number a partition)."""
+    as they pass within their partition, stored, and shifted by the counts of the partitions before (one number each)."""
+    fields = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for b in batches:
+            places = pa.array(range(before, before + b.num_rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, places], [*b.schema.names, "_local"])
+            before += b.num_rows
+
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = placed.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    counts = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = kept(placed.mapInArrow(numbered, f"{fields}, _part int, _local long"))
+    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(base.select("_part", "_base"), "_part").withColumn(name, (F.col("_base") + F.col("_local")).cast("long")).drop("_part", "_local", "_base")
 
 
+def row_at(df: DataFrame, u: float, *order: str) -> DataFrame:
+    """The row at share u in [0, 1) of the rows in order: a uniform row for a uniform u."""
+    indexed = kept(with_row_index(df, *order))
+    n = indexed.agg(F.count("*").alias("_n"))
+    return indexed.join(n, F.col("row_idx") == F.floor(F.col("_n") * u)).drop("_n", "row_idx")
+
+
+def uniform(*key: Column | str, seed: int = 0) -> Column:
+    """A number in [0, 1) drawn from the key and the seed: the same on every run and cluster."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """df with position: the place of each row in a seeded permutation, by the keys' digests."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return with_row_index(df.withColumn("_digest", digest), "_digest", key, name="position").drop("_digest")
+
+
+def inserted(df: DataFrame, records: DataFrame) -> DataFrame:
+    """df and more records; columns that they lack are missing."""
+    return df.unionByName(records, allowMissingColumns=True)
+
+
+def updated(df: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
+    """df with the given columns overwritten where the condition holds."""
+    return df.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def restricted(df: DataFrame, assignment: dict[str, object]) -> DataFrame:
+    """The rows that agree with assignment: an equality filter that reaches the scan."""
+    return reduce(lambda x, kv: x.where(F.col(kv[0]) == F.lit(kv[1])), assignment.items(), df)
+
+
+def weighted(df: DataFrame, weight: Column | float) -> DataFrame:
+    """df with weight: a column's value or one number for all rows."""
+    return df.withColumn("weight", (weight if isinstance(weight, Column) else F.lit(weight)).cast("double"))
+
+
+def value_matrix(df: DataFrame, columns: list[str], ones: bool = False) -> DataFrame:
+    """df with x, the row of the design matrix: the columns as one array, after a 1 if wanted."""
+    return df.withColumn("x", F.array(*([F.lit(1.0)] if ones else []), *(F.col(c).cast("double") for c in columns)))
+
+
+def assignments(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Records as assignments: (key, variable, value), one row for each column that is not missing."""
+    pairs = F.inline(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in columns)))
+    return df.select(key, pairs).where(F.col("value").isNotNull())
+
+
+def records(assigned: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """Assignments back to records: one row for each key, columns by name and type."""
+    wide = assigned.groupBy(key).agg(*(F.max(F.when(F.col("variable") == c, F.col("value"))).cast(kind).alias(c) for c, kind in columns.items()))
+    return wide
+
+
+def held_out(df: DataFrame, fold: int, test: bool, column: str = "fold") -> DataFrame:
+    """Of a dataset with folds, the fold itself or the rest."""
+    return df.where(F.col(column) == fold if test else F.col(column) != fold)
+
+
+def scored_filter(df: DataFrame, score: Column, least: float, keep_above: bool = True) -> DataFrame:
+    """Rows whose raw score is above (or not above) a threshold."""
+    return df.where(score > least if keep_above else score <= least)
+
+
 def row_slices(df: DataFrame, slices: list[tuple[int, int]], index: str = "row_idx") -> DataFrame:
     """Union of half-open row ranges; rows of overlapping ranges repeat."""
     return reduce(DataFrame.unionAll, [df.where((F.col(index) >= a) & (F.col(index) < b)) for a, b in slices])

@@ -141,6 +141,37 @@ class Factor:
             df, radix = df.withColumn(a, F.pmod(F.floor(F.col(self.args[0]) / radix), F.lit(k)).cast("int")), radix * k
         return Factor(df, tuple(arities))
 
+    def is_conditional(self, tail: tuple[str, ...], tol: float = 1e-9) -> DataFrame:
+        """Whether the values add up to 1 for every assignment of tail: one row, value 1 or 0."""
+        sums = self.df.groupBy(*tail).agg(F.sum("value").alias("_z"))
+        return sums.agg(F.min((F.abs(F.col("_z") - 1) <= tol).cast("int")).alias("value"))
+
+    def lookup(self, points: DataFrame, default: float = 0.0) -> DataFrame:
+        """points (the arguments, and other columns) with value, the factor's value there."""
+        found = self.df.withColumnRenamed("value", "_v")
+        return points.join(found, list(self.args), "left").withColumn("value", F.coalesce("_v", F.lit(default))).drop("_v")
+
+    def assign(self, points: DataFrame) -> Factor:
+        """The factor with the values of points (the arguments and value) written over its own, new rows included."""
+        new = points.select(*self.args, F.col("value").cast("double").alias("_v"))
+        both = self.df.join(new, list(self.args), "full")
+        return Factor(both.withColumn("value", F.coalesce("_v", "value")), self.args)
+
+    def fold_ordered(self, step: Callable[[Column, Column], Column], start: float, right: bool = False) -> DataFrame:
+        """Ordered fold of all values in storage order (last argument most significant), from the left or the right. The
+        factor is gathered as one array: for small factors only, as the fold is no aggregate."""
+        rows = F.sort_array(F.collect_list(F.struct(*reversed(self.args), F.col("value"))), asc=not right)
+        return self.df.agg(F.aggregate(rows, F.lit(float(start)), lambda acc, x: step(acc, x["value"])).alias("value"))
+
+    def message_derivative_bound(self, x: str, y: str) -> DataFrame:
+        """tanh of a quarter of the largest log ratio f(a,c) f(b,d) / (f(a,d) f(b,c)): how much a message from x to y can
+        turn with the one that x receives."""
+        logs = self.df.groupBy(x, y).agg(F.ln(F.sum("value")).alias("l"))
+        pair = logs.alias("p").join(logs.alias("q"), F.col(f"p.{y}") == F.col(f"q.{y}")).where(F.col(f"p.{x}") < F.col(f"q.{x}"))
+        ratio = pair.select(F.col(f"p.{x}").alias("a"), F.col(f"q.{x}").alias("b"), (F.col("p.l") - F.col("q.l")).alias("d"))
+        spread = ratio.groupBy("a", "b").agg((F.max("d") - F.min("d")).alias("s"))
+        return spread.agg(F.tanh(F.max("s") / 4).alias("value"))
+
     # scalar queries: one-row DataFrames
 
     def norm_constant(self) -> DataFrame:

@@ -135,3 +135,100 @@ def running_intersection(cliques: DataFrame) -> DataFrame:
 
 def peer_rank(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def is_connected(edges: DataFrame) -> DataFrame:
+    """One row: whether all vertices of the undirected graph are in one component (a graph without edges is)."""
+    return components(edges).agg((F.countDistinct("component") <= 1).alias("value"))
+
+
+def is_tree(edges: DataFrame) -> DataFrame:
+    """One row: whether the undirected graph is connected and has one edge less than vertices."""
+    e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().agg(F.count("*").alias("_e"))
+    c = components(edges).agg(F.countDistinct("component").alias("_c"), F.count("*").alias("_v"))
+    return c.crossJoin(e).select(((F.col("_c") <= 1) & ((F.col("_e") == F.col("_v") - 1) | (F.col("_v") == 0))).alias("value"))
+
+
+def acyclic_part(edges: DataFrame) -> DataFrame:
+    """The edges left when vertices without incoming edges are taken away until there is none: empty if there is no
+    directed cycle."""
+    left = _kept(edges.select("src", "dst").distinct())
+    while True:
+        more = left.join(left.select(F.col("dst").alias("_d")).distinct(), F.col("src") == F.col("_d"), "left_semi")
+        after = _kept(more)
+        if after.count() == left.count():
+            return after
+        left = after
+
+
+def is_cyclic(edges: DataFrame) -> bool:
+    return not acyclic_part(edges).isEmpty()
+
+
+def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The edges whose ends are both among vertices (id)."""
+    v = vertices.select("id").distinct()
+    return edges.join(v.withColumnRenamed("id", "src"), "src", "left_semi").join(v.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
+def neighbours(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """id and neighbour, over the undirected edges of the given vertices."""
+    return undirected(edges).join(vertices.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("neighbour")).distinct()
+
+
+def tree_order(edges: DataFrame, root: DataFrame) -> DataFrame:
+    """id, parent and depth of a tree seen from its root (id): parents come before children in order of depth (pre-order by
+    levels), children before parents in reverse."""
+    depth = reachable(undirected(edges), root)
+    up = undirected(edges).join(depth.withColumnsRenamed({"id": "src", "depth": "_p"}), "src").join(depth.withColumnsRenamed({"id": "dst", "depth": "_c"}), "dst").where(F.col("_c") == F.col("_p") + 1)
+    parent = up.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+    return depth.join(parent, "id", "left").select("id", "parent", "depth")
+
+
+def separated(edges: DataFrame, a: DataFrame, b: DataFrame, given: DataFrame) -> DataFrame:
+    """d-separation in a directed graph, as tables of id: one row, whether given cuts a from b in the moral graph of the
+    ancestors of all three."""
+    asked = a.select("id").union(b.select("id")).union(given.select("id")).distinct()
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    own = _kept(reachable(back, asked).select("id"))
+    moral = moral_graph(induced(edges, own))
+    open_ = own.join(given.select("id"), "id", "left_anti")
+    met = reachable(undirected(induced(moral, open_)), a.join(given.select("id"), "id", "left_anti"))
+    return met.join(b.select("id"), "id", "left_semi").agg((F.count("*") == 0).alias("value"))
+
+
+def set_cover_least(sets: DataFrame, query: DataFrame) -> DataFrame:
+    """set_id of the smallest set that holds every element of query (the least id on ties)."""
+    own = set_supersets(sets, query)
+    sizes = sets.distinct().join(own, "set_id", "left_semi").groupBy("set_id").agg(F.count("*").alias("n"))
+    return sizes.agg(F.min(F.struct("n", "set_id")).alias("s")).select("s.set_id", "s.n")
+
+
+def set_meets_most(sets: DataFrame, query: DataFrame) -> DataFrame:
+    """set_id and overlap of the set that shares most with query (the least id on ties)."""
+    return set_intersecting(sets, query).agg(F.min(F.struct((-F.col("overlap")).alias("o"), "set_id")).alias("s")).select("s.set_id", (-F.col("s.o")).alias("overlap"))
+
+
+def counting_numbers(regions: DataFrame) -> DataFrame:
+    """Bethe counting numbers for factor scopes (region, variable): 1 for each factor, 1 - degree for each variable."""
+    big = regions.select(F.col("region").cast("string").alias("region")).distinct().withColumn("number", F.lit(1).cast("long"))
+    small = regions.distinct().groupBy(F.col("variable").cast("string").alias("region")).agg((1 - F.count("*")).alias("number"))
+    return big.withColumn("kind", F.lit("factor")).unionByName(small.withColumn("kind", F.lit("variable")))
+
+
+def balanced_parts(edges: DataFrame, k: int) -> DataFrame:
+    """id and part: vertices in breadth-first order from the least vertex of each component, cut into k runs of one size, so
+    neighbours tend to share a part."""
+    from semifold.operators.dataset import with_row_index
+
+    roots = components(edges).select(F.col("component").alias("id")).distinct()
+    order = reachable(undirected(edges), roots)
+    indexed = _kept(with_row_index(order, "depth", "id"))
+    n = indexed.agg(F.count("*").alias("_n"))
+    return indexed.crossJoin(n).select("id", F.floor(F.col("row_idx") * k / F.col("_n")).cast("int").alias("part"))
+
+
+def cut_size(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row: the number of edges between parts."""
+    ends = edges.join(parts.select(F.col("id").alias("src"), F.col("part").alias("_a")), "src").join(parts.select(F.col("id").alias("dst"), F.col("part").alias("_b")), "dst")
+    return ends.agg(F.sum((F.col("_a") != F.col("_b")).cast("long")).alias("value"))

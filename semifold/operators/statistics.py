@@ -8,7 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from semifold.operators.dataset import with_row_index
 from semifold.operators.factor import Factor
+from semifold.operators.lineage import kept
 
 
 def domain(spark_df: DataFrame, args: tuple[str, ...]) -> DataFrame:
@@ -64,15 +66,75 @@ def expected_value(df: DataFrame, f: Column, weight: Column | None = None) -> Da
 
 
 def order_statistics(df: DataFrame, column: str, tie: str, keys: tuple[str, ...]) -> DataFrame:
-    """Rank from 0 of each row's value within its key."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(column, tie)) - 1)
+    """Rank from 0 of each row's value within its key.
+
+    Rows are range-sorted by key and value and numbered, so a key with most of the rows is spread over many tasks; a key's
+    first number is then taken off."""
+    indexed = kept(with_row_index(df, *keys, column, tie, name="_row"))
+    starts = indexed.groupBy(*keys).agg(F.min("_row").alias("_first"))
+    joined = indexed.join(starts, list(keys)) if keys else indexed.crossJoin(starts)
+    return joined.withColumn("rank", (F.col("_row") - F.col("_first")).cast("int")).drop("_row", "_first")
+
+
+def quantile_at(df: DataFrame, column: str, keys: tuple[str, ...], place) -> DataFrame:
+    """For each key the value at a place (a Column of _n, the key's number of values) of the sorted values."""
+    indexed = kept(with_row_index(df.select(*keys, column).where(F.col(column).isNotNull()), *keys, column, name="_row"))
+    spans = indexed.groupBy(*keys).agg(F.min("_row").alias("_first"), F.count("*").alias("_n")).withColumn("_row", (F.col("_first") + place).cast("long")).select("_row")
+    return indexed.join(spans, "_row").select(*keys, F.col(column).alias("value"))
 
 
 def upper_median(df: DataFrame, column: str, keys: tuple[str, ...]) -> DataFrame:
     """For each key the value at place floor(n / 2) of the sorted values."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"_k": F.row_number().over(w.orderBy(column)) - 1, "_n": F.count("*").over(w)})
-    return ranked.where(F.col("_k") == F.floor(F.col("_n") / 2)).select(*keys, F.col(column).alias("median"))
+    return quantile_at(df, column, keys, F.floor(F.col("_n") / 2)).withColumnRenamed("value", "median")
+
+
+def median_deviation(df: DataFrame, column: str, keys: tuple[str, ...]) -> DataFrame:
+    """For each key the upper median and the upper median of the distances from it."""
+    m = kept(upper_median(df, column, keys))
+    far = (df.join(m, list(keys)) if keys else df.crossJoin(m)).withColumn("_far", F.abs(F.col(column) - F.col("median")))
+    mad = upper_median(far, "_far", keys).withColumnRenamed("median", "mad")
+    return m.join(mad, list(keys)) if keys else m.crossJoin(mad)
+
+
+def generalized_mean(df: DataFrame, column: str, keys: tuple[str, ...], kind: str) -> DataFrame:
+    """center and spread: mean and its standard error (MEAN), or median and median absolute deviation (MEDIAN)."""
+    if kind == "MEDIAN":
+        return median_deviation(df, column, keys).select(*keys, F.col("median").alias("center"), F.col("mad").alias("spread"))
+    return accumulator(df, column, keys).select(*keys, F.col("mean").alias("center"), F.col("stderr").alias("spread"))
+
+
+def soft_counts(df: DataFrame, args: tuple[str, ...], probabilities: dict[object, Column], weight: Column | None = None, name: str = "state") -> Factor:
+    """Expected counts where one argument is known only as a distribution for each row: the estimator's soft update."""
+    w = weight if weight is not None else F.lit(1.0)
+    cells = F.inline(F.array(*(F.struct(F.lit(s).alias(name), (w * p).alias("value")) for s, p in probabilities.items())))
+    return Factor(df.select(*args, cells).groupBy(*args, name).agg(F.sum("value").alias("value")), (*args, name))
+
+
+def mean_covariance(df: DataFrame, a: str, b: str) -> DataFrame:
+    """mean_a, mean_b and the sample covariance (n - 1) of two columns."""
+    return df.agg(F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.covar_samp(a, b).alias("cov"))
+
+
+def extremes(df: DataFrame, column: str, key: str, by: str) -> DataFrame:
+    """least and most of a column, and the key of the row with the largest by (the smallest key on ties)."""
+    return df.agg(F.min(column).alias("least"), F.max(column).alias("most"), F.max_by(key, F.struct(by, -F.col(key))).alias("at_most"))
+
+
+def errors(df: DataFrame, truth: str, predicted: str, kind: str) -> DataFrame:
+    """Mean error: squared for reals (sse: their sum), 0/1 for labels, with its standard error."""
+    x = (F.col(truth) != F.col(predicted)).cast("double") if kind == "finite" else (F.col(truth) - F.col(predicted)) ** 2
+    return df.agg(F.avg(x).alias("mean"), (F.stddev_pop(x) / F.sqrt(F.count(x))).alias("stderr"), F.sum(x).alias("total"))
+
+
+def label_accuracy(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """For each truth column, the share of rows whose predicted column agrees, and the share of rows where all agree."""
+    same = {t: (F.col(t) == F.col(p)).cast("double") for t, p in pairs.items()}
+    return df.agg(*(F.avg(c).alias(f"{t}_accuracy") for t, c in same.items()), F.avg(reduce(lambda a, b: a * b, same.values())).alias("all_accuracy"))
+
+
+def result_set(df: DataFrame, keys: tuple[str, ...], measure: str) -> DataFrame:
+    """Repeated results of one measure by parameter keys: mean and sample deviation (0 for one result)."""
+    return df.groupBy(*keys).agg(F.count(measure).alias("n"), F.avg(measure).alias("mean"), F.coalesce(F.stddev_samp(measure), F.lit(0.0)).alias("dev"))
 
 
 def accumulator(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -82,17 +144,24 @@ def accumulator(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataF
 
 
 def pairwise_information(df: DataFrame, columns: list[str], smoothing: float = 0.0) -> DataFrame:
-    """Mutual information of every pair of columns (a, b, mi), all pairs from one scan by grouping sets.
+    """Mutual information of every pair of columns (a, b, mi), all pairs from one scan.
 
-    Smoothing is added to every seen cell of a pair.
+    Each row gives its cell of every pair to one combining group-by, so what is shuffled are cells of pairs, not of the
+    full joint. Smoothing is added to every cell of a pair's domain (the values of a times those of b), seen or not.
     """
     pairs = list(combinations(columns, 2))
-    sets = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")) for a, b in pairs)))
-    cells = df.groupBy(*columns).count().select(sets.alias("p"), "count").groupBy("p.a", "p.b", "p.x", "p.y").agg((F.sum("count") + smoothing).alias("n"))
-    over = lambda *k: F.sum("n").over(Window.partitionBy("a", "b", *k))
-    joint = cells.select("a", "b", F.col("n").cast("double").alias("n"), over().alias("t"), over("x").alias("nx"), over("y").alias("ny"))
-    term = F.when(F.col("n") > 0, F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))).otherwise(0.0)
-    return joint.groupBy("a", "b").agg(F.sum(term).alias("mi"))
+    at = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")) for a, b in pairs)))
+    seen = kept(df.select(at.alias("p")).where("p.x is not null and p.y is not null").groupBy("p.a", "p.b", "p.x", "p.y").agg(F.count("*").cast("double").alias("n")))
+    rows, columns_ = seen.groupBy("a", "b", "x").agg(F.sum("n").alias("nx")), seen.groupBy("a", "b", "y").agg(F.sum("n").alias("ny"))
+    if smoothing:
+        full = rows.join(columns_, ["a", "b"]).select("a", "b", "x", "y")
+        cells = full.join(seen, ["a", "b", "x", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)) + smoothing)
+        rows, columns_ = cells.groupBy("a", "b", "x").agg(F.sum("n").alias("nx")), cells.groupBy("a", "b", "y").agg(F.sum("n").alias("ny"))
+    else:
+        cells = seen
+    total = rows.groupBy("a", "b").agg(F.sum("nx").alias("t"))
+    joint = cells.join(rows, ["a", "b", "x"]).join(columns_, ["a", "b", "y"]).join(total, ["a", "b"])
+    return joint.groupBy("a", "b").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))).alias("mi"))
 
 
 def precision_recall(df: DataFrame, truth: str, predicted: str) -> DataFrame:

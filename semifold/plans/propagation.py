@@ -21,34 +21,55 @@ def _normalised(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.withColumn(value, F.col(value) / F.sum(value).over(Window.partitionBy(*keys)))
 
 
-def belief_propagation(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.0, maximise: bool = False, tolerance: float = 0.0) -> DataFrame:
-    """Node beliefs (v, s, belief) after the given rounds of synchronous updates, fewer if no message moves by tolerance.
-
-    maximise: max-product messages. damping: share of the old message that is kept. Exact on trees of smaller diameter.
-    """
+def _messages(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float, maximise: bool, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Both directions of the edges, and the messages (u, v, sv, m) after the rounds."""
     both = _kept(_directed(edges))
-    messages = _kept(both.select("u", "v", "sv").distinct().withColumn("m", F.lit(1.0)))
+    messages = both.select("u", "v", "sv").distinct().withColumn("m", F.lit(1.0))
     messages = _kept(_normalised(messages, ["u", "v"], "m"))
     fold = F.max if maximise else F.sum
-    for _ in range(rounds):
-        total = messages.groupBy(F.col("v").alias("tv"), F.col("sv").alias("ts")).agg(F.sum(F.ln("m")).alias("log_total"))
-        base = nodes.join(total, (nodes["v"] == total["tv"]) & (nodes["s"] == total["ts"]), "left").select(F.col("v").alias("u"), F.col("s").alias("su"), (F.ln("value") + F.coalesce("log_total", F.lit(0.0))).alias("log_belief"))
+    for step in range(rounds):
+        base = _log_beliefs(nodes, messages).select(F.col("v").alias("u"), F.col("s").alias("su"), "log_belief")
         reverse = messages.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("sv").alias("su"), F.ln("m").alias("log_back"))
         cavity = both.join(base, ["u", "su"]).join(reverse, ["u", "v", "su"])
         top = F.max(F.col("log_belief") - F.col("log_back")).over(Window.partitionBy("u", "v"))
         sent = cavity.withColumn("x", F.exp(F.col("log_belief") - F.col("log_back") - top) * F.col("value")).groupBy("u", "v", "sv").agg(fold("x").alias("new"))
         sent = _normalised(sent, ["u", "v"], "new")
         stepped = _kept(sent.join(messages, ["u", "v", "sv"]).select("u", "v", "sv", ((1 - damping) * F.col("new") + damping * F.col("m")).alias("m"), F.abs(F.col("new") - F.col("m")).alias("moved")))
-        residual = stepped.agg(F.max("moved")).first()[0]
         messages = stepped.drop("moved")
-        if residual is None or residual <= tolerance:
+        if step % 2 and (stepped.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:  # looked at in every other round
             break
-    total = messages.groupBy("v", F.col("sv").alias("s")).agg(F.sum(F.ln("m")).alias("log_total"))
-    joined = nodes.join(total, ["v", "s"], "left").withColumn("log_belief", F.ln("value") + F.coalesce("log_total", F.lit(0.0)))
+    return both, messages
+
+
+def _log_beliefs(nodes: DataFrame, messages: DataFrame) -> DataFrame:
+    """nodes with log_belief: their potential and all messages to them. Messages combine before the shuffle."""
+    total = messages.groupBy("v", F.col("sv").alias("s")).agg(F.sum(F.ln("m")).alias("_in"))
+    return nodes.join(total, ["v", "s"], "left").withColumn("log_belief", F.ln("value") + F.coalesce("_in", F.lit(0.0))).drop("_in")
+
+
+def belief_propagation(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.0, maximise: bool = False, tolerance: float = 0.0) -> DataFrame:
+    """Node beliefs (v, s, belief) after the given rounds of synchronous updates, fewer if no message moves by tolerance.
+
+    maximise: max-product messages. damping: share of the old message that is kept. Exact on trees of smaller diameter.
+    """
+    joined = _log_beliefs(nodes, _messages(nodes, edges, rounds, damping, maximise, tolerance)[1])
     top = F.max("log_belief").over(Window.partitionBy("v"))
     return _normalised(joined.withColumn("belief", F.exp(F.col("log_belief") - top)), ["v"], "belief").select("v", "s", "belief")
 
 
+def edge_beliefs(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.0, tolerance: float = 0.0) -> DataFrame:
+    """Beliefs of the edges (u, v, su, sv, belief), as edges are given: the potential times what either end holds without the
+    other's message."""
+    messages = _messages(nodes, edges, rounds, damping, False, tolerance)[1]
+    held = _log_beliefs(nodes, messages)
+    side = lambda a, b, s: held.select(F.col("v").alias(a), F.col("s").alias(s), F.col("log_belief").alias(f"_b_{a}"))
+    back = lambda a, b, s: messages.select(F.col("u").alias(b), F.col("v").alias(a), F.col("sv").alias(s), F.ln("m").alias(f"_m_{a}"))
+    e = edges.join(side("u", "v", "su"), ["u", "su"]).join(side("v", "u", "sv"), ["v", "sv"]).join(back("u", "v", "su"), ["u", "v", "su"]).join(back("v", "u", "sv"), ["u", "v", "sv"])
+    log = F.ln("value") + F.col("_b_u") - F.col("_m_u") + F.col("_b_v") - F.col("_m_v")
+    e = e.withColumn("_l", log).withColumn("belief", F.exp(F.col("_l") - F.max("_l").over(Window.partitionBy("u", "v"))))
+    return _normalised(e, ["u", "v"], "belief").select("u", "v", "su", "sv", "belief")
+
+
 def map_states(beliefs: DataFrame) -> DataFrame:
     """Each node's state of largest belief, the least state on ties."""
     w = Window.partitionBy("v").orderBy(F.desc("belief"), "s")

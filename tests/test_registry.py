@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
-from semifold.plans import registry
+from semifold.plans import catalog as registry
 from tests.compare import alike, duck, rows
 
 SF = "/root/testdata/sf0.001"
