@@ -10,10 +10,11 @@ pay for more documents, are probed at flipped bits, too.
 
 1. Each text becomes its set of shingles; equal sets count once (a group of exact copies is one row from here on).
 2. Each set is filed under its part values. Values that many share are cut into blocks, and each pair of blocks is a group
-   of its own, so no group grows with the data. A sketch of 128 bits leaves out pairs that cannot be similar.
-3. In the first two rounds each set offers its likeliest partner only; the last round takes every pair that met and is not
-   in one component yet. So large groups of near copies do not give all their pairs. Each pair must be near by the whole
-   fingerprint, and then by the shingles themselves, not their hashes, of the two texts.
+   of its own, so no group grows with the data. A sketch of 128 bits tells which sets have a near one at all; only those
+   are filed again with their whole fingerprints, and each group gives a spanning forest of its near pairs. Components of
+   these are crowds: similar sets are in one crowd.
+3. Within a crowd all pairs are compared exactly, by the shingles themselves, not their hashes: large crowds are cut into
+   blocks, each pair of blocks is a group, and a group gives a spanning forest of the pairs that reach the limit.
 
 A component of verified links is a group of near-duplicates. Defined results: a null text is empty; texts without words
 have the empty set and are copies of each other; texts of up to five words are one shingle.
@@ -21,6 +22,7 @@ have the empty set and are copies of each other; texts of up to five words are o
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -39,8 +41,8 @@ from semifold.llm.simhash import BITS, allocate, group_bits, mask_of
 
 @dataclass(frozen=True)
 class NearParams:
-    """words: of a fingerprint; layouts: numbers of parts that a word may be cut into; block: largest group compared whole;
-    deviations: how far beyond the expected distance of a pair at the limit a pair still counts as near; probe_cost: what
+    """words: of a fingerprint; layouts: numbers of parts that a word may be cut into; block: largest group of fingerprints
+    compared whole; texts: largest crowd compared whole; deviations: how far beyond the expected distance of a pair at the limit a pair still counts as near; probe_cost: what
     filing one row costs, in comparisons of two sketches."""
 
     shingle: int = 5
@@ -50,6 +52,7 @@ class NearParams:
     layouts: tuple = (5, 4, 3, 2)
     probe_cost: float = 1000.0
     block: int = 4096
+    texts: int = 512
     deviations: float = 4.6
 
     def limit(self, bits: int) -> int:
@@ -164,11 +167,8 @@ def _keys(fp: np.ndarray, parts: list[tuple[int, list[int], int]]) -> np.ndarray
     return np.column_stack(out).view(np.int64)
 
 
-UNDER = "g long, sid long, x long, y long, label long"
-
-
-def filed(sets: DataFrame, parts: list, p: NearParams) -> DataFrame:
-    """g, sid, x, y (the sketch) and label: each set under its values; values that many share, in pairs of blocks."""
+def filed(sets: DataFrame, parts: list, p: NearParams, words: int) -> DataFrame:
+    """g, sid and fp, its first words: each set under its values; values that many share, in pairs of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -176,116 +176,157 @@ def filed(sets: DataFrame, parts: list, p: NearParams) -> DataFrame:
                 batch = whole.slice(lo, 1024)
                 fp = batch.column("fp").flatten().to_numpy().reshape(batch.num_rows, p.words)
                 g = _keys(fp, parts)
-                each = lambda v, n=g.shape[1]: pa.array(np.repeat(v, n))
-                yield pa.RecordBatch.from_arrays([pa.array(g.ravel()), each(batch.column("sid").to_numpy()), each(fp[:, 0]), each(fp[:, 1]), each(batch.column("label").to_numpy())], ["g", "sid", "x", "y", "label"])
+                some = np.repeat(np.ascontiguousarray(fp[:, :words]), g.shape[1], axis=0)
+                short = pa.ListArray.from_arrays(np.arange(0, some.size + 1, words, dtype=np.int32), pa.array(some.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(g.ravel()), pa.array(np.repeat(batch.column("sid").to_numpy(), g.shape[1])), short], ["g", "sid", "fp"])
 
-    under = sets.select("sid", "fp", "label").mapInArrow(run, UNDER)
+    under = sets.select("sid", "fp").mapInArrow(run, "g long, sid long, fp array<long>")
     crowded = stored(under.groupBy("g").count().where(F.col("count") > p.block).select("g", F.ceil(F.col("count") / p.block).cast("int").alias("blocks")), "crowded")
     lone = under.join(crowded, "g", "left_anti")
     dealt = under.join(crowded, "g").withColumn("own", F.pmod(F.xxhash64("sid", F.lit("block")), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))
-    return lone.select("g", "sid", "x", "y", "label").union(dealt.select(pair.alias("g"), "sid", "x", "y", "label"))
+    return lone.select("g", "sid", "fp").union(dealt.select(pair.alias("g"), "sid", "fp"))
 
 
-def _meetings(g: np.ndarray, x: np.ndarray, y: np.ndarray, label: np.ndarray, limit: int, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(one, other, distance) of rows of one group (g is sorted) whose sketches are near and whose labels differ; of
-    best, each row with the nearest other row only, whichever comes first."""
-    out = []
-    least, partner = np.full(len(g), limit + 1), np.zeros(len(g), np.int64)
+def _near_pairs(g: np.ndarray, fp: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows of one group (g is sorted) within limit bits."""
     at, d = np.arange(len(g)), 1
     while True:
         at = at[at + d < len(g)]
         at = at[g[at] == g[at + d]]
         if not len(at):
-            break
-        far = np.bitwise_count((x[at] ^ x[at + d]).view(np.uint64)).astype(np.int64) + np.bitwise_count((y[at] ^ y[at + d]).view(np.uint64))
-        near = (far <= limit) & (label[at] != label[at + d])
-        i, j, far = at[near] + d, at[near], far[near]
-        if best:
-            for a, b in ((i, j), (j, i)):  # no row is twice in a, so plain assignment does
-                closer = far < least[a]
-                least[a[closer]], partner[a[closer]] = far[closer], b[closer]
-        else:
-            out.append((i, j, far))
+            return
+        for lo in range(0, len(at), 1 << 20):
+            i = at[lo : lo + (1 << 20)]
+            far = np.zeros(len(i), np.int64)
+            for w in range(fp.shape[1]):
+                far += np.bitwise_count((fp[i, w] ^ fp[i + d, w]).view(np.uint64))
+            i = i[far <= limit]
+            if len(i):
+                yield i, i + d
         d += 1
-    if best:
-        i = np.flatnonzero(least <= limit)
-        return i, partner[i], least[i]
-    none = np.empty(0, np.int64)
-    return tuple(np.concatenate([none, *(o[k] for o in out)]) for k in range(3))
-
-
-def candidates(sets: DataFrame, parts: list, p: NearParams, best: bool) -> DataFrame:
-    """a and b: pairs of sets to verify. sets: sid, fp and label; ends of one label are left out."""
-    limit = p.limit(2 * BITS)
-    names = ("g", "sid", "x", "y", "label")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def met(g, sid, x, y, label) -> pa.RecordBatch:
-            i, j, far = _meetings(g, x, y, label, limit, best)
-            return pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.array(sid[j]), pa.array(far.astype(np.int32))], ["a", "b", "far"])
-
-        held = [np.empty(0, np.int64)] * len(names)
-        for batch in batches:
-            held = [np.concatenate([h, batch.column(n).to_numpy()]) for h, n in zip(held, names, strict=True)]
-            if len(held[0]) < 4096:
-                continue
-            last = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on in the next batch
-            yield met(*(h[:last] for h in held))
-            held = [h[last:] for h in held]
-        yield met(*held)
 
-    pairs = filed(sets, parts, p).repartition("g").sortWithinPartitions("g", "sid").mapInArrow(run, "a long, b long, far int")
-    if best:
-        pairs = pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("n")).select("a", F.col("n.b").alias("b"))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-
-def near(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
-    """The pairs whose whole fingerprints are near."""
-    far = F.aggregate(F.zip_with("u", "v", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("fp").alias("u")), "a").join(sets.select(F.col("sid").alias("b"), F.col("fp").alias("v")), "b")
-    return both.where(far <= p.limit(p.words * BITS)).select("a", "b")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
-    """The pairs whose texts have at least the similarity. texts: sid and text, one row for each set."""
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least place reachable from each of n places over the links i - j."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, root[i], least)
+        np.minimum.at(root, root[j], least)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], words: int, found) -> Iterator[pa.RecordBatch]:
+    """found(g, sid, fp) for batches sorted by g, cut so that groups stay whole."""
+    g, sid, fp = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, words), np.int64)
+    for batch in batches:
+        g, sid = np.concatenate([g, batch.column("g").to_numpy()]), np.concatenate([sid, batch.column("sid").to_numpy()])
+        fp = np.concatenate([fp, batch.column("fp").flatten().to_numpy().reshape(-1, words)])
+        if len(g) < 4096:
+            continue
+        last = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
+        yield found(g[:last], sid[:last], fp[:last])
+        g, sid, fp = g[last:], sid[last:], fp[last:]
+    yield found(g, sid, fp)
+
+
+def with_near_one(sets: DataFrame, parts: list, p: NearParams) -> DataFrame:
+    """sid of the sets that meet another whose sketch is near."""
+
+    def found(g: np.ndarray, sid: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        some = np.zeros(len(g), bool)
+        for i, j in _near_pairs(g, fp, p.limit(2 * BITS)):
+            some[i] = some[j] = True
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(sid[some]))], ["sid"])
+
+    met = filed(sets, parts, p, 2).repartition("g").sortWithinPartitions("g", "sid").mapInArrow(lambda b: _in_groups(b, 2, found), "sid long")
+    return met.distinct()
+
+
+def near_links(sets: DataFrame, parts: list, p: NearParams) -> DataFrame:
+    """a and b: a spanning forest of the near pairs of each group."""
+
+    def found(g: np.ndarray, sid: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        pairs = list(_near_pairs(g, fp, p.limit(p.words * BITS)))
+        i, j = (np.concatenate([np.empty(0, np.int64), *(x[k] for x in pairs)]) for k in (0, 1))
+        root = _roots(len(g), i, j)
+        at = np.flatnonzero(root != np.arange(len(g)))
+        return pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array(sid[root[at]])], ["a", "b"])
+
+    met = filed(sets, parts, p, p.words).repartition("g").sortWithinPartitions("g", "sid")
+    return met.mapInArrow(lambda b: _in_groups(b, p.words, found), "a long, b long").distinct()
+
+
+def similar_pairs(texts: list[str], p: NearParams) -> tuple[np.ndarray, np.ndarray]:
+    """Places (later, earlier) of all pairs whose shingle sets reach the similarity, compared exactly."""
+    sets = [shingles(t, p.shingle) for t in texts]
+    if len(sets) == 2:
+        hit = jaccard(*sets) >= p.similarity
+        return np.ones(int(hit), np.int64), np.zeros(int(hit), np.int64)
+    seen = Counter(x for s in sets for x in s)
+    column = {x: k for k, x in enumerate(x for x, n in seen.items() if n > 1)}  # a shingle of one set is in no intersection
+    size, both = np.array([len(s) for s in sets]), np.zeros((len(sets), len(sets)))
+    held = [np.array(sorted(column[x] for x in s if x in column), np.int64) for s in sets]
+    for lo in range(0, len(column), 4096):
+        x = np.zeros((len(sets), min(4096, len(column) - lo)), np.float32)
+        for k, h in enumerate(held):
+            x[k, h[np.searchsorted(h, lo) : np.searchsorted(h, lo + 4096)] - lo] = 1
+        both += x @ x.T
+    union = size[:, None] + size[None] - both
+    hit = (np.divide(both, union, out=np.ones_like(both), where=union > 0) >= p.similarity) & (np.arange(len(sets))[:, None] > np.arange(len(sets))[None])
+    return np.nonzero(hit)
+
+
+def verified(crowds: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
+    """a and b: spanning forests of the similar pairs of each crowd (sid, crowd). texts: sid and text."""
+
+    def linked(sid: np.ndarray, texts: list[str]) -> pd.DataFrame:
+        i, j = similar_pairs(texts, p)
+        root = _roots(len(sid), i, j)
+        at = np.flatnonzero(root != np.arange(len(sid)))
+        return pd.DataFrame({"a": sid[at], "b": sid[root[at]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []  # rows of the group that may go on
+        key = None
         for pdf in batches:
-            at = [jaccard(shingles(x, p.shingle), shingles(y, p.shingle)) >= p.similarity for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-            yield pdf.loc[at, ["a", "b"]]
-
-    both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
-
-
-def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """sets with label, the least sid of their component."""
-    roots = connected_components(links, "a", "b").withColumnsRenamed({"node": "sid", "root": "_r_"})
-    return sets.join(roots, "sid", "left").withColumn("label", F.coalesce("_r_", "sid")).drop("_r_")
+            out = []
+            for k, sid, text in zip(pdf["k"], pdf["sid"], pdf["text"], strict=True):
+                if k != key and held:
+                    out.append(linked(np.array([h[0] for h in held]), [h[1] for h in held]))
+                    held = []
+                key = k
+                held.append((sid, text))
+            yield pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        if held:
+            yield linked(np.array([h[0] for h in held]), [h[1] for h in held])
+
+    sized = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / p.texts).cast("int").alias("blocks"))
+    dealt = crowds.join(sized, "crowd").withColumn("own", F.pmod(F.xxhash64("sid", F.lit("text")), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    grouped = dealt.select("sid", F.xxhash64("crowd", F.least("own", "other"), F.greatest("own", "other")).alias("k"))
+    return grouped.join(texts, "sid").repartition("k").sortWithinPartitions("k").mapInPandas(run, "a long, b long")
 
 
 def components(docs: DataFrame, prints: DataFrame, p: NearParams) -> tuple[DataFrame, DataFrame]:
-    """The sets (s, sid) of prints, and their components (sid, label): those of all pairs that met and are similar."""
+    """The sets (s, sid) of prints, and the components (sid, root) of all similar pairs that are in one crowd."""
     grouped = prints.groupBy("s").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.first("fp").alias("fp"))
-    sets = stored(grouped.withColumn("sid", F.monotonically_increasing_id()), "sets").withColumn("label", F.col("sid"))  # numbered once: a table
+    sets = stored(grouped.withColumn("sid", F.monotonically_increasing_id()), "sets")  # numbered once: a table
     parts = plan_parts(word_moments(sets, p.words), p)
-    pairs = stored(candidates(sets, parts, p, True), "likeliest")
-    some = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()  # a set that never met a near one takes no part in later rounds
-    active = stored(sets.drop("label").join(some, "sid", "left_semi"), "active")
-    found = active.select("sid", F.col("first.doc_id").alias("_d"), F.col("first.t").alias("_t"))
+    active = stored(sets.join(with_near_one(sets, parts, p), "sid", "left_semi"), "active")
+    crowds = connected_components(near_links(active, parts, p), "a", "b").withColumnsRenamed({"node": "sid", "root": "crowd"})
+    found = active.join(crowds, "sid", "left_semi").select("sid", F.col("first.doc_id").alias("_d"), F.col("first.t").alias("_t"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("text")).withColumn("_t", F.xxhash64("text"))
     texts = stored(rows.join(found, ["_d", "_t"]).select("sid", "text").dropDuplicates(["sid"]), "texts")
-    links = stored(verified(near(pairs, active, p), texts, p), "verified")
-    for best in (True, False):
-        labelled = stored(_labelled(active, links), "labels")
-        more = stored(verified(near(candidates(labelled, parts, p, best), labelled, p), texts, p), "verified")
-        release(labelled)
-        links = links.union(more)
-    release(pairs, active, texts)
-    return sets.select("s", "sid"), _labelled(sets.select("sid"), links)
+    links = stored(verified(crowds, texts, p), "verified")
+    release(active, texts)
+    roots = connected_components(links, "a", "b").withColumnRenamed("node", "sid")
+    return sets.select("s", "sid"), sets.select("sid").join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"))
 
 
 def near_dedup(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
@@ -296,7 +337,7 @@ def near_dedup(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     prints = stored(signatures(docs.where(F.col("doc_id").isNotNull()), p), "signatures")
     sets, comps = components(docs, prints, p)
     named = prints.select("doc_id", "t", "s").join(sets, "s").join(comps, "sid")
-    keep = named.groupBy("label").agg(F.min(F.struct("doc_id", "t")).alias("k")).select(F.col("k.doc_id").alias("_d_"), F.col("k.t").alias("_t_"))
+    keep = named.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("k")).select(F.col("k.doc_id").alias("_d_"), F.col("k.t").alias("_t_"))
     rows = docs.select(F.struct("*").alias("_row_"), F.xxhash64(F.col("text").cast("string")).alias("_t_"), F.col("doc_id").cast("long").alias("_d_"))
     once = Window.partitionBy("_d_", "_t_").orderBy(F.lit(0))
     left = rows.join(keep, ["_d_", "_t_"], "left_semi").withColumn("_s_", F.row_number().over(once)).where(F.col("_s_") == 1)

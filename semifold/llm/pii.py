@@ -4,8 +4,9 @@ Base spans come from four patterns read leftmost and without overlap, each in ti
 white-space tokens with O or a kind, from features of the token's shape and of its neighbours' shapes. It is trained
 from a small labelled table (labelled_tokens(), made by rule) by gradient ascent on the penalised likelihood, and decoded
 by Viterbi in numpy over many runs of tokens at once. A token without digit, @ or + can only be O, so a text falls into
-runs of tokens that may be personal data, each decoded exactly between its O neighbours. Spans of the field that touch no
-base span are added; base spans stay.
+runs of tokens that may be personal data, each decoded exactly between its O neighbours, whose shapes count as they do in
+training. Tokens of over 40 characters are cut at commas, semicolons and bars; no token is left out. Spans of the field
+that touch no base span are added; base spans stay.
 
 Texts are independent: one mapInPandas over the scan, no shuffle. Defined results: a null text is empty (no spans, the
 hash of the empty string); repeated rows are searched one by one; redact() keeps all columns, find() passes over extra
@@ -18,7 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@+]")
 TOKEN = re.compile(r"\S+")
+#: Tokens longer than this are cut at separators: lists written without spaces.
+LONG = 40
+SEPARATOR = re.compile(r"[,;|]")
+PART = re.compile(r"[^,;|]+")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 Span = tuple[int, int, str]
@@ -43,9 +48,8 @@ Span = tuple[int, int, str]
 
 @dataclass(frozen=True)
 class PiiParams:
-    """longest: tokens longer than this can only be O (no kind has such tokens)."""
+    """mask: what redact() writes for a span of the kind."""
 
-    longest: int = 80
     mask: str = "[{}]"
 
 
@@ -89,27 +93,28 @@ def shape(token: str) -> str:
     return re.sub(r"9+", "9", re.sub(r"a+", "a", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", token))))
 
 
-N_OWN = 20
+N_OWN = 23
 
 
-def _own(token: str) -> list[float]:
+@lru_cache(maxsize=65536)
+def _own(token: str) -> tuple[float, ...]:
     """Word-shape features of one token."""
     s, n = shape(token.strip(".,;:!?\"'")), len(NOT_DIGIT.sub("", token))
     core = s.strip("()[]<>")
     parts = core.split("9")
-    return [
+    return (
         1.0, float("@" in s), float(bool(re.search(r"@[a9.-]*\.a", s))), float(s.startswith("+9")), float(s.startswith("(")),
         float(core == "9"), float(core == "9.9.9.9"), float(bool(re.fullmatch(r"9(-9)+", core))), float(bool(re.fullmatch(r"9(\.9)+", core))),
         float("a" in s), float("=" in s), float(":" in s), float("/" in s), float("%" in s or "$" in s or "€" in s),
-        float(n == 0), float(1 <= n <= 2), float(n == 3), float(n == 4), float(5 <= n <= 9), float(n >= 10 and len(parts) > 0),
-    ]
+        float(n == 0), float(1 <= n <= 2), float(n == 3), float(n == 4), float(5 <= n <= 9), float(10 <= n <= 11), float(n >= 12), float(len(parts) == 4), float(len(parts) == 5),
+    )
 
 
-def features(tokens: list[str]) -> np.ndarray:
-    """One row for each token: its own shape features, and those of the token before and after it."""
+def features(tokens: list[str], before: str = "", after: str = "") -> np.ndarray:
+    """One row for each token: its own shape features, and those of the token before and after it (zeros: none)."""
     own = np.array([_own(t) for t in tokens]).reshape(len(tokens), N_OWN)
-    side = np.zeros((1, N_OWN))
-    return np.hstack([own, np.vstack([side, own[:-1]]), np.vstack([own[1:], side])])
+    side = lambda t: np.array([_own(t)]) if t else np.zeros((1, N_OWN))
+    return np.hstack([own, np.vstack([side(before), own[:-1]]), np.vstack([own[1:], side(after)])])
 
 
 @dataclass
@@ -220,23 +225,54 @@ def _plausible(kind: str, piece: str) -> bool:
     return {"email": "@" in piece and "." in piece, "ip": piece.count(".") == 3 and 4 <= n <= 12, "card": 12 <= n <= 19, "phone": 7 <= n <= 15}[kind]
 
 
-def _runs(text: str, longest: int) -> list[list[tuple[int, int]]]:
-    """Token spans in runs of tokens that may be personal data. Tokens around each trigger sign only are looked at."""
-    runs: list[list[tuple[int, int]]] = []
+@dataclass
+class Run:
+    """Tokens side by side that may be personal data, and the tokens before and after them."""
+
+    spans: list[tuple[int, int]]
+    before: str
+    after: str
+
+
+def _near_token(text: str, at: int, step: int) -> str:
+    """The token that ends before at (step -1) or starts after it (step 1)."""
+    if step > 0:
+        m = TOKEN.search(text, at)
+        return m[0] if m else ""
+    end = at
+    while end > 0 and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start > 0 and not text[start - 1].isspace():
+        start -= 1
+    return text[start:end]
+
+
+def runs_of(text: str) -> list[Run]:
+    """The runs of a text. Only the tokens around each trigger sign, and their neighbours, are looked at."""
+    runs: list[Run] = []
     at, edge = 0, -1
     while m := TRIGGER.search(text, at):
         start = m.start()
         while start > at and not text[start - 1].isspace():
             start -= 1
-        t = TOKEN.match(text, start)
-        at = t.end()
-        if at - start > longest:
+        at = TOKEN.match(text, start).end()
+        if at - start > LONG and SEPARATOR.search(text, start, at):
+            parts = [(x.start(), x.end()) for x in PART.finditer(text, start, at)]
+            for k, (a, b) in enumerate(parts):
+                if TRIGGER.search(text, a, b):
+                    beside = [text[slice(*parts[j])] if 0 <= j < len(parts) else "" for j in (k - 1, k + 1)]
+                    runs.append(Run([(a, b)], *beside))
+            edge = -1
             continue
-        if runs and edge >= 0 and text[edge:start].isspace():
-            runs[-1].append((start, at))
+        if edge >= 0 and text[edge:start].isspace():
+            runs[-1].spans.append((start, at))
         else:
-            runs.append([(start, at)])
+            runs.append(Run([(start, at)], _near_token(text, start, -1), ""))
+        runs[-1].after = ""
         edge = at
+        if not (n := TOKEN.search(text, at)) or not TRIGGER.search(n[0]):
+            runs[-1].after = n[0] if n else ""
     return runs
 
 
@@ -245,9 +281,9 @@ def find_batch(texts: list[str], crf: Crf, p: PiiParams) -> list[tuple[list[Span
     base = [base_spans(t) for t in texts]
     where, feats = [], []
     for k, text in enumerate(texts):
-        for run in _runs(text, p.longest):
-            where.append((k, run))
-            feats.append(features([text[a:b] for a, b in run]))
+        for run in runs_of(text):
+            where.append((k, run.spans))
+            feats.append(features([text[a:b] for a, b in run.spans], run.before, run.after))
     added: list[list[Span]] = [[] for _ in texts]
     for (k, run), labels in zip(where, crf.viterbi(feats), strict=True):
         j = 0

@@ -5,8 +5,9 @@ Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). Short d
 few words is no evidence, so each test applies from a minimum length only. Everything is one projection over the
 scan: no shuffle, no Python, and no state that grows with the data.
 
-Defined results: a null text counts as no words (n_words 0, so base_failed). A null or unknown lang has no common-word
-reference; only the character classes are judged. Repeated rows are judged one by one. Extra columns are passed over by
+Defined results: a null text counts as no words (n_words 0, so base_failed). A null or unknown lang has no reference and
+is judged by the base rules alone. Windows of three words are compared by 64-bit hashes: two that differ count as equal
+with odds of 5e-20 a pair. Repeated rows are judged one by one. Extra columns are passed over by
 score() and kept by keep(); no name of docs clashes with a working column.
 """
 
@@ -18,7 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Shares of lower-case letters, capitals, digits, white space, sentence punctuation, other signs in prose.
-CLASS_SHARES = (0.79, 0.03, 0.01, 0.145, 0.02, 0.005)
+CLASS_SHARES = {
+    "en": (0.785, 0.030, 0.010, 0.150, 0.020, 0.005),
+    "fr": (0.780, 0.028, 0.010, 0.150, 0.027, 0.005),
+    "de": (0.780, 0.055, 0.010, 0.130, 0.020, 0.005),
+    "es": (0.785, 0.027, 0.010, 0.155, 0.018, 0.005),
+}
 
 #: Frequent words of each language with their rough share of running text.
 COMMON_WORDS = {
@@ -39,7 +45,7 @@ class QualityParams:
     class_min_words: int = 50
     word_limit: float = 0.31
     word_min_words: int = 200
-    class_shares: tuple = CLASS_SHARES
+    class_shares: dict = field(default_factory=lambda: CLASS_SHARES)
     common_words: dict = field(default_factory=lambda: COMMON_WORDS)
 
 
@@ -113,7 +119,7 @@ def with_quality(docs: DataFrame, params: QualityParams = QualityParams()) -> Da
             long(gone("[#*$%&|<>]+")).alias("n_symbols"),
             long(F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).alias("n_dup_lines"),
             long(repeat).alias("n_repeat_words"),
-            js_distance(_with_rest(F.col("_q_shares")), F.array(*map(F.lit, params.class_shares))).alias("class_distance"),
+            js_distance(_with_rest(F.col("_q_shares")), _by_language(F.col("lang"), {k: list(v) for k, v in params.class_shares.items()})).alias("class_distance"),
             js_distance(_with_rest(F.col("_q_common")), reference).alias("word_distance"),
         ),
     )
@@ -122,7 +128,7 @@ def with_quality(docs: DataFrame, params: QualityParams = QualityParams()) -> Da
     # A test that is always true but not deterministic keeps the optimiser from moving later filters below the projections
     # and so from computing the word arrays anew inside each of their expressions.
     fence = F.monotonically_increasing_id() >= 0
-    kept = fence & ~failed & ~((q["n_words"] >= params.class_min_words) & (q["class_distance"] > params.class_limit)) & (F.coalesce(q["word_distance"], F.lit(0.0)) <= params.word_limit)
+    kept = fence & ~failed & ~((q["n_words"] >= params.class_min_words) & (F.coalesce(q["class_distance"], F.lit(0.0)) > params.class_limit)) & (F.coalesce(q["word_distance"], F.lit(0.0)) <= params.word_limit)
     a = a.withColumn("_q_", q.withField("base_failed", failed).withField("kept", kept))
     return a.drop("_q_words", "_q_windows", "_q_sorted", "_q_at", "_q_lines", "_q_joined", "_q_rest", "_q_class", "_q_low", "_q_hits", "_q_shares", "_q_common")
 

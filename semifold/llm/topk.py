@@ -1,20 +1,21 @@
 """Exact top-k inner products by norm-sorted candidates and SVD-rotated partial sums.
 
-Vectors become integers, floor(scale * x). Candidates are range-partitioned by descending length, so a block holds
-vectors of similar length, and lengths that more rows share than a block holds are dealt to several blocks by a hash of
-id and vector (only rows equal in both stay together); queries, a stated subset, are cut into blocks, and each task
-meets one block of queries with one block of candidates. In a task the candidates pass by descending length in chunks: a query is done once its k-th
-score exceeds |q| |c| (Cauchy-Schwarz). Vectors are rotated to the eigenvectors of the candidates' second moments, so
-the first few coordinates carry most of the length: partial sum + |q rest| |c rest| bounds the score, and only
-candidates that may still reach the k-th score are scored exactly, in integers. Each task returns k rows a query at
-most, and a window over the query merges them.
-
-The first block of candidates (the longest) runs first and gives every query a k-th score that later blocks start from.
+Vectors become integers, floor(scale * x). Candidates are range-sorted by descending length (ties by a hash of id and
+vector) and numbered, so blocks have one size, whatever lengths tie, and hold vectors of similar length. Queries, a stated
+subset, are cut into blocks, too, and a task meets one block of queries with one block of candidates. In a task the
+candidates pass by descending length in chunks: a query is done once its k-th score exceeds |q| |c| (Cauchy-Schwarz).
+Vectors are rotated to the eigenvectors of the candidates' second moments, so the first few coordinates carry most of the
+length: partial sum + |q rest| |c rest| bounds the score, and only candidates that may still reach the k-th score are
+scored, exactly, in integers. Each task returns k rows a query at most, and a window over the query merges them.
+
+The first block of candidates (the longest) meets every query first. The k-th score there says how long a candidate must
+be to matter to a query. Queries are then blocked by that need, and a block of candidates goes only to the blocks of
+queries that it may matter to: what the bound excludes is not shuffled. The driver holds one number for each block.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; nor do rows with a
-null id. Shorter vectors count as padded with zeros. Ties go to the smaller id. Rows that repeat an id stay separate
-candidates, but a row is never a candidate of a query with its own id; repeated query rows are one query (the largest
-integer vector wins). Extra columns are not read.
+null id. Shorter vectors count as padded with zeros; a task's memory goes by the shorter of its two blocks' longest
+vectors. Ties go to the smaller id. Rows that repeat an id stay separate candidates, but a row is never a candidate of a
+query with its own id; repeated query rows are one query (the largest integer vector wins). Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from semifold.llm.lineage import stored
 
 @dataclass(frozen=True)
 class TopKParams:
-    """query_block and candidate_block: rows of a block; head: rotated coordinates of the partial sum."""
+    """query_block and candidate_block: rows of a block; chunk: candidates that pass at once; rotated: leading components
+    that are rotated (the others count to the rest); head: rotated coordinates of the partial sum."""
 
     k: int = 20
     scale: int = 64
@@ -40,6 +42,7 @@ class TopKParams:
     query_block: int = 2048
     candidate_block: int = 8192
     chunk: int = 1024
+    rotated: int = 256
     head: int = 16
 
 
@@ -58,7 +61,7 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> Dat
 
 
 def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Right singular vectors of the candidates, by the eigenvectors of their second moments (dim x dim numbers)."""
+    """Right singular vectors of the candidates' first dim components, by the eigenvectors of their second moments."""
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((dim, dim))
@@ -77,105 +80,126 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 def _matrix(values: pd.Series, dim: int) -> np.ndarray:
+    """The first dim components, zeros behind shorter vectors."""
     x = np.zeros((len(values), dim))
     for k, v in enumerate(values):
-        x[k, : len(v)] = v
+        x[k, : min(len(v), dim)] = v[:dim]
     return x
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best by descending score, then ascending id."""
-    return np.lexsort((ids, -scores))[:k]
-
-
 def _exact(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    if np.abs(c).max(initial=0.0) * np.abs(q).max(initial=0.0) * len(q) < EXACT:
-        return (c @ q).astype(np.int64)
-    whole = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in c]
+    """Inner products of rows of c with those of q of the same place."""
+    if np.abs(c).max(initial=0.0) * np.abs(q).max(initial=0.0) * c.shape[1] < EXACT:
+        return np.einsum("ij,ij->i", c, q).astype(np.int64)
+    whole = [sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(c, q, strict=True)]
     return np.array([min(max(s, -(2**63) + 1), 2**63 - 1) for s in whole], dtype=np.int64)
 
 
+def _rotated(x: np.ndarray, norm: np.ndarray, rot: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first coordinates of the rotated vectors, and the length of all that is left of them."""
+    r = x[:, : len(rot)] @ rot[: x.shape[1], :head]
+    return r, np.sqrt(np.maximum(0.0, norm**2 - (r**2).sum(axis=1)) + 1e-9 * norm**2)
+
+
 def search_block(q: pd.DataFrame, c: pd.DataFrame, rot: np.ndarray, p: TopKParams) -> pd.DataFrame:
     """The k best candidates of each query within one block pair, without those that cannot reach the query's floor."""
-    dim = len(rot)
+    longest = lambda t: max(map(len, t["v"]), default=1)
+    dim = max(min(longest(q), longest(c)), 1)  # what lies beyond the shorter vector is multiplied by zero
     order = np.argsort(-c["norm"].to_numpy(), kind="stable")
     cid, cv, cn = c["vec_id"].to_numpy()[order], _matrix(c["v"].iloc[order], dim), c["norm"].to_numpy()[order]
     qid, qv, qn = q["vec_id"].to_numpy(), _matrix(q["v"], dim), q["norm"].to_numpy()
     floor = q["floor"].to_numpy().astype(float)  # a score that k others are known to reach; -inf if unknown
-    cr, qr = cv @ rot, qv @ rot
-    h = min(p.head, dim)
-    rest = lambda x: np.sqrt(np.maximum(0.0, (x[:, h:] ** 2).sum(axis=1)))
-    c_rest, q_rest = rest(cr), rest(qr)
-    best_s, best_i = [np.empty(0, np.int64)] * len(qid), [np.empty(0, np.int64)] * len(qid)
+    head = min(p.head, len(rot))
+    (cr, c_rest), (qr, q_rest) = _rotated(cv, cn, rot, head), _rotated(qv, qn, rot, head)
+    top_q, top_i, top_s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     live = np.arange(len(qid))
+    whole = np.abs(cv).max(initial=0.0) * np.abs(qv).max(initial=0.0) * dim < EXACT
     for lo in range(0, len(cid), p.chunk):
-        hi = min(lo + p.chunk, len(cid))
+        at = slice(lo, min(lo + p.chunk, len(cid)))
         # Bounds are in floating point: a relative slack keeps every candidate that might tie.
         live = live[qn[live] * cn[lo] * (1 + 1e-9) + 1e-6 >= floor[live]]
         if not len(live):
             break
-        bound = qr[live, :h] @ cr[lo:hi, :h].T + np.outer(q_rest[live], c_rest[lo:hi])
-        slack = 1e-9 * np.outer(qn[live], cn[lo:hi]) + 1e-6
-        for row, j in enumerate(live):
-            at = np.flatnonzero((bound[row] + slack[row] >= floor[j]) & (cid[lo:hi] != qid[j]))
-            if not len(at):
-                continue
-            s = np.concatenate([best_s[j], _exact(cv[lo + at], qv[j])])
-            i = np.concatenate([best_i[j], cid[lo + at]])
-            top = _best(s, i, p.k)
-            best_s[j], best_i[j] = s[top], i[top]
-            if len(top) == p.k:
-                floor[j] = max(floor[j], float(s[top[-1]]))
-    return pd.DataFrame({"query_id": np.repeat(qid, [len(x) for x in best_i]), "vec_id": np.concatenate([*best_i, np.empty(0, np.int64)]), "score": np.concatenate([*best_s, np.empty(0, np.int64)])})
-
-
-def _meet(queries: DataFrame, candidates: DataFrame, c_blocks: list[int], n_q_blocks: int, rot, p: TopKParams) -> DataFrame:
-    """Every block of queries with every block of candidates in c_blocks: one group for each pair."""
-    if not c_blocks:
-        return candidates.sparkSession.createDataFrame([], RESULT)
-    q = queries.select(*(F.col(x).alias(x) for x in queries.columns)).withColumn("cb", F.explode(F.sequence(F.lit(min(c_blocks)), F.lit(max(c_blocks)))))
-    c = candidates.where(F.col("cb").between(min(c_blocks), max(c_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q_blocks - 1))))
+        bound = qr[live] @ cr[at].T + np.outer(q_rest[live], c_rest[at]) + 1e-8 * np.outer(qn[live], cn[at]) + 1e-6
+        may = (bound >= floor[live, None]) & (cid[at] != qid[live, None])
+        if whole and may.mean() > 0.02:
+            score = np.where(may, qv[live] @ cv[at].T, -np.inf)
+            reach = np.partition(score, -p.k, axis=1)[:, -p.k] if score.shape[1] > p.k else np.full(len(live), -np.inf)
+            i, j = np.nonzero(may & (score >= np.maximum(reach, floor[live])[:, None]))
+            got = score[i, j].astype(np.int64)
+        else:
+            i, j = np.nonzero(may)
+            got = _exact(cv[lo + j], qv[live[i]])
+        top_q, top_i, top_s = np.concatenate([top_q, live[i]]), np.concatenate([top_i, cid[lo + j]]), np.concatenate([top_s, got])
+        order = np.lexsort((top_i, -top_s, top_q))
+        top_q, top_i, top_s = top_q[order], top_i[order], top_s[order]
+        place = np.arange(len(top_q)) - np.searchsorted(top_q, top_q)
+        last = place == p.k - 1
+        floor[top_q[last]] = np.maximum(floor[top_q[last]], top_s[last])
+        keep = place < p.k
+        top_q, top_i, top_s = top_q[keep], top_i[keep], top_s[keep]
+    return pd.DataFrame({"query_id": qid[top_q], "vec_id": top_i, "score": top_s})
+
+
+def numbered(df: DataFrame, by: str, block: int, what: str) -> tuple[DataFrame, int]:
+    """df as a table in descending order of by, with b, the number of its block of so many rows, and how many there are.
+
+    Rows are range-sorted and counted within their partitions; the driver adds up one count for each partition."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = 0
+        for pdf in batches:
+            yield pdf.assign(local=before + np.arange(len(pdf)))
+            before += len(pdf)
+
+    tie = F.xxhash64(F.lit("block"), "vec_id", "v")
+    in_order = df.withColumn("tie", tie).repartitionByRange(F.desc(by), "tie").sortWithinPartitions(F.desc(by), "tie").drop("tie").withColumn("part", F.spark_partition_id())
+    fields = ", ".join(f"{name} {kind}" for name, kind in in_order.dtypes)
+    table = stored(in_order.mapInPandas(count, f"{fields}, local long"), what)
+    counts = sorted((r["part"], r["count"]) for r in table.groupBy("part").count().collect())
+    starts = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    base = table.sparkSession.createDataFrame([(k, s) for (k, _), s in zip(counts, starts[:-1], strict=True)] or [(0, 0)], "part int, base long")
+    return table.join(base, "part").withColumn("b", F.floor((F.col("base") + F.col("local")) / block).cast("int")).drop("part", "base", "local"), -(-starts[-1] // block)
+
+
+def _meet(q: DataFrame, c: DataFrame, rot: np.ndarray, p: TopKParams) -> DataFrame:
+    """One group for each pair of a block of queries (qb) and a block of candidates (cb)."""
+    q = q.select(*(F.col(x).alias(x) for x in q.columns))  # both come from one table: new names keep them apart
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(lambda a, b: search_block(a, b, rot, p), RESULT)
 
 
-def in_blocks(v: DataFrame, n: int, p: TopKParams) -> tuple[DataFrame, int]:
-    """v (of n rows) with cb, the number of its block, and how many blocks there are. Block 0 holds the longest vectors."""
-    # Quantiles of the length, few numbers, aim below the largest size, as they are not exact.
-    n_cuts = -(-n // max(int(0.8 * p.candidate_block), 1)) if n > p.candidate_block else 1
-    cuts = sorted(set(v.approxQuantile("norm", [k / n_cuts for k in range(1, n_cuts)], 0.1 / n_cuts)), reverse=True) if n_cuts > 1 else []
-    if not cuts:
-        return v.withColumn("cb", F.lit(0)), 1
-    c = v.withColumn("cb", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.col("norm") < cut)))
-    # A length that many share fills one block: what is too large is dealt by hash, six deviations below the limit.
-    rows = {r["cb"]: r["count"] for r in c.groupBy("cb").count().collect()}
-    aim = max(p.candidate_block / 2, p.candidate_block - 6 * p.candidate_block**0.5)
-    parts = [1 if rows.get(k, 0) <= p.candidate_block else -int(-rows[k] // aim) for k in range(len(cuts) + 1)]
-    starts = [sum(parts[:k]) for k in range(len(parts))]
-    at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cb") + 1)
-    own = F.when(at(parts) > 1, F.pmod(F.xxhash64(F.lit("block"), "vec_id", "v"), at(parts))).otherwise(0)
-    return c.withColumn("cb", (at(starts) + own).cast("int")), sum(parts)
-
-
 def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", params: TopKParams = TopKParams()) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by query_every, its k best others."""
-    p = params
-    v = integer_vectors(df, id_col, vec_col, p.scale)
-    size = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.sum((F.col("vec_id") % p.query_every == 0).cast("long")).alias("q")).first()
-    spark = df.sparkSession
-    if not size["n"] or not size["q"]:
+    p, spark = params, df.sparkSession
+    c, n_c = numbered(integer_vectors(df, id_col, vec_col, p.scale), "norm", p.candidate_block, "candidates")
+    c = c.withColumnRenamed("b", "cb")
+    size = c.agg(F.max(F.size("v")).alias("dim"), F.sum((F.col("vec_id") % p.query_every == 0).cast("long")).alias("q")).first()
+    if not size["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rot = rotation(v, size["dim"])
+    rot = rotation(c, min(size["dim"], p.rotated))
+    queries = c.where(F.col("vec_id") % p.query_every == 0).groupBy("vec_id").agg(F.max(F.struct("v", "norm")).alias("x")).select("vec_id", "x.*")
     n_q = -(-size["q"] // p.query_block)
-    c, n_c = in_blocks(v, size["n"], p)
-    salt = F.abs(F.xxhash64("vec_id"))
-    q = v.where(F.col("vec_id") % p.query_every == 0).groupBy("vec_id").agg(F.max(F.struct("v", "norm")).alias("x")).select("vec_id", "x.*")
-    q = q.withColumn("qb", (salt % n_q).cast("int"))
-    first = _meet(q.withColumn("floor", F.lit(float("-inf"))), c, [0], n_q, rot, p)
+    all_q = F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))
+    to_first = queries.select("vec_id", "v", "norm", F.lit(float("-inf")).alias("floor"), F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int").alias("qb"), F.lit(0).alias("cb"))
+    found = _meet(to_first, c.where(F.col("cb") == 0).withColumn("qb", all_q), rot, p)
     if n_c > 1:
-        first = stored(first, "longest")
-        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= p.k, F.min("score")).alias("f"))
-        seeded = q.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", "norm", "qb", F.coalesce(F.col("f").cast("double"), F.lit(float("-inf"))).alias("floor"))
-        first = first.union(_meet(seeded, c, list(range(1, n_c)), n_q, rot, p))
+        found = stored(found, "longest")
+        floors = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= p.k, F.min("score")).cast("double").alias("floor"))
+        seeded = queries.join(floors, "vec_id", "left").select("vec_id", "v", "norm", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+        # The length that a candidate needs, with the slack of search_block; a query of length 0 reaches nothing above 0.
+        need = F.when(F.col("norm") > 0, (F.col("floor") - 1e-6) / F.col("norm") / (1 + 1e-9)).when(F.col("floor") > 0, float("inf")).otherwise(float("-inf"))
+        q, _ = numbered(seeded.withColumn("need", need), "need", p.query_block, "queries")
+        q = q.withColumnRenamed("b", "qb")
+        tops = dict(map(tuple, c.groupBy("cb").agg(F.max("norm")).collect()))
+        needs = dict(map(tuple, q.groupBy("qb").agg(F.min("need")).collect()))
+        # Blocks of queries go by falling need: a block of candidates matters from some block of queries on.
+        least = np.array([needs[k] for k in range(len(needs))])
+        spans = [(cb, int(np.searchsorted(-least, -top, "left"))) for cb, top in tops.items() if cb]
+        reach = spark.createDataFrame([(cb, k) for cb, k in spans if k < len(least)], "cb int, from_q int")
+        sent = c.join(reach, "cb").withColumn("qb", F.explode(F.sequence("from_q", F.lit(len(least) - 1)))).drop("from_q")
+        to_c = np.searchsorted([k for _, k in sorted(spans)], np.arange(len(least)), "right").tolist()
+        asked = q.join(spark.createDataFrame(list(enumerate(to_c)), "qb int, to_c int"), "qb")
+        asked = asked.where(F.col("to_c") > 0).withColumn("cb", F.explode(F.sequence(F.lit(1), "to_c"))).select("vec_id", "v", "norm", "floor", "qb", "cb")
+        found = found.union(_meet(asked, sent, rot, p))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
-
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")

@@ -1,9 +1,9 @@
 """URL filters: allow and block rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
-The trees are trained from a small labelled table of URLs (labelled_urls(), a few hundred rows made by rule; pass another
+The trees are trained from a small labelled table of URLs (labelled_urls(), some thousand rows made by rule; pass another
 table of url and spam to replace it) and applied as columns. Features: length, depth, digit ratio, entropy of the host's
-characters, parameter counts, hyphens, and suffix statistics (the share of spam among the labelled URLs of a host suffix,
-smoothed). Work per URL is one projection; nothing is shuffled but the labelled table.
+characters, parameter counts, hyphens, and two statistics of the labelled URLs, both smoothed: the share of spam among
+those of a host's suffix, and the largest such share of a word in the host. Work per URL is one projection; nothing is shuffled but the labelled table.
 
 Defined results: a null URL or one without :// has empty host and path, fits no rule and is judged by the trees on its
 (empty) parts; a rule fits only if the path starts with the rule's path, so an empty path fits none; ties between rules
@@ -13,6 +13,7 @@ not read. If the labelled table has one class only, that class is the verdict of
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 #: Fixed values: (verdict, rule); a rule is a host and a path prefix.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-FEATURES = ("url_length", "host_length", "path_depth", "host_labels", "digit_ratio", "host_entropy", "n_params", "query_length", "n_hyphens", "has_fragment", "suffix_spam")
+FEATURES = ("url_length", "host_length", "path_depth", "host_labels", "digit_ratio", "host_entropy", "n_params", "query_length", "n_hyphens", "has_fragment", "suffix_spam", "word_spam")
 
 
 @dataclass(frozen=True)
@@ -36,19 +37,30 @@ class UrlParams:
     seed: int = 7
 
 
+#: Words of the labelled hosts: of plain sites, and of sites that stuff keywords or farm links.
+PLAIN_FIRST = ("river", "oak", "north", "stone", "green", "lake", "hill", "city", "open", "royal", "first", "old")
+PLAIN_LAST = ("museum", "library", "school", "press", "news", "journal", "weather", "garden", "clinic", "college", "theatre", "council", "farm")
+SPAM_FIRST = ("cheap", "best", "free", "win", "fast", "easy", "hot", "spam", "first", "open")
+SPAM_LAST = ("pills", "casino", "loans", "bonus", "prize", "replica", "watches", "deals", "diet", "links", "farm", "offers")
+PLAIN_SUFFIXES = ("com", "org", "net", "edu", "gov", "co.uk", "ac.uk", "de", "fr", "es", "io", "com", "org")
+SPAM_SUFFIXES = ("com", "net", "org", "xyz", "top", "click", "biz", "info", "com", "net", "co.uk")
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """A small labelled table (url, spam) made by rule: plain site pages against keyword-stuffed and link-farm hosts."""
-    plain = ("therin", "notes", "archive", "library", "weather", "garden", "ththen", "tionble", "report", "museum")
-    spam = ("cheap-pills", "spam-farm", "best-casino-bonus", "free-loans-now", "win-prize-4u", "replica-watches-88", "hot-deals-24-7", "miracle-diet-pills")
+    """A labelled table (host, url, spam) made by rule: plain hosts with and without hyphens against keyword hosts, over many
+    suffixes, with paths and queries of either kind on both."""
     each = lambda values: F.explode(F.array(*map(F.lit, values)))
-    hosts = F.explode(F.array(*(F.struct(F.lit(h).alias("host"), F.lit(label).alias("spam")) for label, names in ((0, plain), (1, spam)) for h in names)))
-    rows = spark.range(1).select(hosts.alias("h")).select("h.*", each(("", "www.", "m.", "blog.")).alias("pre"))
-    rows = rows.select("host", "spam", "pre", each(("com", "net", "org")).alias("tld"))
-    k = F.abs(F.xxhash64("host", "pre", "tld"))
-    pick = lambda values, k: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
-    tail = pick(("", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed"), k)
-    url = F.concat(pick(("http://", "https://"), k), "pre", "host", F.lit(".example."), "tld", F.lit("/"), pick(("en", "de", "fr", "es"), F.floor(k / 7)), F.lit("/"), (k % 100000).cast("string"), tail)
-    return rows.select(url.alias("url"), "spam")
+    made = lambda first, last, suffixes, spam: spark.range(1).select(each(first).alias("a"), each(last).alias("b"), F.lit(spam).alias("spam"), F.array(*map(F.lit, suffixes)).alias("suffixes"))
+    hosts = made(PLAIN_FIRST, PLAIN_LAST, PLAIN_SUFFIXES, 0).unionByName(made(SPAM_FIRST, SPAM_LAST, SPAM_SUFFIXES, 1))
+    k = F.abs(F.xxhash64("a", "b", "spam"))
+    pick = lambda values, k: F.get(values if isinstance(values, Column) else F.array(*map(F.lit, values)), (k % (F.size(values) if isinstance(values, Column) else len(values))).cast("int"))
+    tail = F.when(F.col("spam") == 1, pick(("", "-4u", "-247", "-88", "-online", ""), F.floor(k / 3))).otherwise(pick(("", "", "", "2", "-online"), F.floor(k / 3)))
+    name = F.concat("a", pick(("-", "", "-"), k), "b", tail)
+    rows = hosts.select("spam", "suffixes", name.alias("name"), each(range(6)).alias("page"))
+    k = F.abs(F.xxhash64("name", "page"))
+    rows = rows.withColumn("host", F.concat(pick(("", "www.", "m.", "shop.", "en."), k), "name", F.lit("."), pick(F.col("suffixes"), F.floor(k / 5))))
+    path = pick(("/", "", "/articles/2021/05/on-rain-and-rivers", "/wiki/Valley", "/list?sort=up&page=3", "/item.php?id=88412", "/a/b/c/d.html", "/en/about", "/de/7731", "/go?to=home&utm_source=mail&utm_medium=a#b", "/view/20391.html#top"), F.floor(k / 64))
+    return rows.select("host", F.concat(pick(("http://", "https://"), F.floor(k / 2)), "host", path).alias("url"), "spam")
 
 
 def with_parts(df: DataFrame) -> DataFrame:
@@ -76,20 +88,23 @@ def rule_of(host: Column, path: Column, rules: tuple) -> Column:
 
 
 def _suffix(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+    """What a host ends in: its last label, or the last two where a country's second level comes before it."""
+    return F.when(host.rlike(r"\.(co|com|org|net|ac|gov|edu)\.[a-z]{2}$"), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
+
 
+def _words(host: Column) -> Column:
+    return F.array_distinct(F.split(host, "[^a-z]+"))
 
-def with_features(df: DataFrame, suffixes: dict[str, float], default: float) -> DataFrame:
+
+def with_features(df: DataFrame, suffixes: dict[str, float], words: dict[str, float], default: float) -> DataFrame:
     """df (with its parts) with one column for each of FEATURES."""
     url, host, path, query = F.coalesce(F.col("url"), F.lit("")), F.col("_u_host"), F.col("_u_path"), F.col("_u_query")
     n = F.greatest(F.length(host), F.lit(1))
     letters = F.array_sort(F.split(host, ""))
     counts = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / n)
     count = lambda c, pattern: F.regexp_count(c, F.lit(pattern)).cast("double")
-    known = F.lit(default)
-    for k, v in sorted(suffixes.items()):
-        known = F.when(_suffix(host) == k, v).otherwise(known)
+    shares = lambda of: F.from_json(F.lit(json.dumps(of)), "map<string,double>")
+    of_words = F.array_max(F.transform(_words(host), lambda w: F.element_at(shares(words), w)))
     return df.withColumns(
         {
             "url_length": F.length(url).cast("double"),
@@ -102,22 +117,27 @@ def with_features(df: DataFrame, suffixes: dict[str, float], default: float) ->
             "query_length": F.length(query).cast("double"),
             "n_hyphens": count(host, "-"),
             "has_fragment": url.contains("#").cast("double"),
-            "suffix_spam": known,
+            "suffix_spam": F.coalesce(F.element_at(shares(suffixes), _suffix(host)), F.lit(default)),
+            "word_spam": F.coalesce(of_words, F.lit(default)),
         }
     )
 
 
 class UrlModel:
-    """Boosted trees and suffix statistics fitted on labelled URLs. The labelled table is small by contract: its suffix
-    statistics, at most max_suffixes of them, become part of the plan."""
+    """Boosted trees and statistics fitted on labelled URLs. The labelled table is small by contract: the statistics of its
+    most frequent suffixes and host words, at most max_values of either, become part of the plan."""
 
-    def __init__(self, labelled: DataFrame, params: UrlParams = UrlParams(), max_suffixes: int = 200):
+    def __init__(self, labelled: DataFrame, params: UrlParams = UrlParams(), max_values: int = 200):
         self.params = params
         data = with_parts(labelled.where(F.col("url").isNotNull() & F.col("spam").isNotNull()).select("url", F.col("spam").cast("double")))
-        stats = data.groupBy(_suffix(F.col("_u_host")).alias("suffix")).agg(F.sum("spam").alias("bad"), F.count("*").alias("n")).orderBy(F.desc("n"), "suffix").limit(max_suffixes).collect()
-        n, bad = sum(r["n"] for r in stats), sum(r["bad"] for r in stats)
+        n, bad = data.agg(F.count("*"), F.coalesce(F.sum("spam"), F.lit(0.0))).first()
         self.default = (bad + 1) / (n + 2)
-        self.suffixes = {r["suffix"]: (r["bad"] + 4 * self.default) / (r["n"] + 4) for r in stats}
+
+        def shares(value: Column) -> dict[str, float]:
+            stats = data.select(value.alias("value"), "spam").groupBy("value").agg(F.sum("spam").alias("bad"), F.count("*").alias("n")).where("value <> ''").orderBy(F.desc("n"), "value").limit(max_values).collect()
+            return {r["value"]: (r["bad"] + 4 * self.default) / (r["n"] + 4) for r in stats}
+
+        self.suffixes, self.words = shares(_suffix(F.col("_u_host"))), shares(F.explode(_words(F.col("_u_host"))))
         self.assembler = VectorAssembler(inputCols=[f"_f_{x}" for x in FEATURES], outputCol="_u_features")
         self.only = None if 0 < bad < n else float(bad > 0)
         if self.only is None:
@@ -125,7 +145,7 @@ class UrlModel:
             self.model = gbt.fit(self._assembled(data).coalesce(1))
 
     def _assembled(self, df: DataFrame) -> DataFrame:
-        f = with_features(df, self.suffixes, self.default)
+        f = with_features(df, self.suffixes, self.words, self.default)
         return self.assembler.transform(f.withColumnsRenamed({x: f"_f_{x}" for x in FEATURES}))
 
     def spam_score(self, df: DataFrame) -> DataFrame:

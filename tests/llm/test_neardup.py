@@ -54,12 +54,12 @@ def planted() -> list[tuple]:
     return [(int(i), t) for i, t in zip(order, texts, strict=True)]
 
 
-@pytest.mark.parametrize("block", [8, 256])
-def test_finds_planted_edits(spark, block):
+@pytest.mark.parametrize("block, texts", [(8, 16), (4096, 512)])
+def test_finds_planted_edits(spark, block, texts):
     rows = planted()
     want = plain_kept(rows)
     assert len(want) < len(rows) - 100
-    got = neardup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearParams(block=block))
+    got = neardup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearParams(block=block, texts=texts))
     assert {r["doc_id"] for r in got.collect()} == want
 
 

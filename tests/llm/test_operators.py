@@ -129,14 +129,56 @@ def test_base_patterns_on_hard_texts(text):
     assert pii.base_spans(text) == plain_base(text)
 
 
-def test_field_finds_what_patterns_miss():
-    held = pii.labelled_tokens(200, seed=99)
-    crf = pii.default_model()
-    labels = [crf.viterbi([pii.features(t)])[0] for t, _ in held]
-    right = sum(int((a == np.array(b)).sum()) for a, (_, b) in zip(labels, held, strict=True))
-    assert right / sum(len(b) for _, b in held) > 0.97
-    found = pii.find_batch(["call (555) 123-4567 now"], crf, pii.PiiParams())[0]
-    assert found[0] == [] and [s[2] for s in found[1]] == ["phone"]
+def test_runs_are_decoded_as_the_whole_sentence():
+    """Decoding the runs between their true neighbours gives what decoding all tokens gives."""
+    crf, same, n = pii.default_model(), 0, 0
+    for tokens, _ in pii.labelled_tokens(150, seed=99):
+        text = " ".join(tokens)
+        (whole,) = crf.viterbi([pii.features(tokens)])
+        starts = np.cumsum([0, *(len(t) + 1 for t in tokens)])
+        of = {int(a): k for k, a in enumerate(starts)}
+        for run in pii.runs_of(text):
+            (got,) = crf.viterbi([pii.features([text[a:b] for a, b in run.spans], run.before, run.after)])
+            same += int((got == whole[[of[a] for a, _ in run.spans]]).sum())
+            n += len(got)
+    assert same >= 0.99 * n
+
+
+#: Sentences by hand, not by the rule of the labelled table: text, and the personal data in it that base patterns miss.
+HELD_OUT = (
+    ("You can reach our office at (212) 555-0187 on weekdays.", ["(212) 555-0187"]),
+    ("Fax: 415-555-0123 or ask for Dana.", ["415-555-0123"]),
+    ("Please ring 020.7946.0958 before noon", ["020.7946.0958"]),
+    ("My number is 646-555-0199, leave a message.", ["646-555-0199"]),
+    ("call me (503) 555-0142", ["(503) 555-0142"]),
+    ("Tel. 303.555.0177 (evenings)", ["303.555.0177"]),
+    ("the desk answers at 917-555-0163;", ["917-555-0163"]),
+    ("In 1998 the town had 12,450 people and 3 schools.", []),
+    ("Version 2.14.3 fixed bug #4521 on 2023-05-17 at 10:45.", []),
+    ("The bridge is 1,280 metres long and cost $35.50 per ton.", []),
+    ("Chapter 12, pages 145-160, shows a fall of 7.5% in 2009.", []),
+    ("Order 66 was given 3 times in 4 days.", []),
+    ("token=9f8e7d6c5b4a39281706f5e4d3c2b1a098765432 was found", []),
+    ("The ratio is 16/9 or 4:3 as in 1080p and 720p.", []),
+    ("Scores were 3-2, 1-0 and 4-4 after 90 minutes.", []),
+    ("ISBN 0-306-40615-2 is on shelf 14B.", []),
+)
+
+
+def test_field_on_held_out_sentences():
+    """Precision and recall of the added spans, by find_batch itself."""
+    found = pii.find_batch([t for t, _ in HELD_OUT], pii.default_model(), pii.PiiParams())
+    hit = added = wanted = 0
+    for (text, want), (base, spans) in zip(HELD_OUT, found, strict=True):
+        got = [text[a:b] for a, b, kind in spans if (a, b, kind) not in base]
+        hit, added, wanted = hit + len(set(got) & set(want)), added + len(got), wanted + len(want)
+    assert hit >= 0.8 * wanted and hit >= 0.7 * added
+
+
+def test_long_lists_without_spaces_are_searched():
+    text = "x" * 50 + ",".join(["(555)123-4567", "555-123-9999", "word"] * 10) + " " + "9" * 5000 + " 1" * 3000
+    (_, spans), = pii.find_batch([text], pii.default_model(), pii.PiiParams())
+    assert {text[a:b] for a, b, _ in spans} >= {"555-123-9999"}
 
 
 def plain_passages(rows: list[tuple], length: int = 50) -> list[tuple]:
@@ -231,10 +273,43 @@ def test_license_scan(docs):
     assert got == sorted(want, key=repr)
 
 
+def plain_licenses(text: str, p: licenses.LicenseParams) -> set[tuple]:
+    """(label, start) of every template at every place whose agreeing words weigh enough and whose key phrase stands."""
+    notices = [(label, licenses.words_of(t), licenses.words_of(key)) for label, t, key in p.templates]
+    df = Counter(w for _, t, _ in notices for w in set(t))
+    words, out = licenses.words_of(text), set()
+    for label, t, key in notices:
+        idf = [math.log(1 + len(notices) / df[w]) for w in t]
+        k = next(i for i in range(len(t)) if t[i : i + len(key)] == key)
+        for start in range(-len(t), len(words)):
+            same = sum(x for j, x in enumerate(idf) if 0 <= start + j < len(words) and words[start + j] == t[j])
+            if same >= (p.limit - 1e-9) * sum(idf) and start + k >= 0 and words[start + k : start + k + len(key)] == key:
+                out.add((label, start))
+    return out
+
+
 def test_license_templates(spark):
-    text = "x Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
-    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert (r["n_base"], r["base_labels"], r["labels"]) == (0, "", "mit") and r["score"] > 0.9
+    """Every template in other words' company, some with a word changed or lost at an end, against all places."""
+    rng, texts = np.random.default_rng(8), []
+    for k, (_, text, _) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        other = [f"word{x}" for x in rng.integers(0, 40, 30)]
+        texts.append(" ".join([*other[: k % 7], *words, *other[9:]]))
+        words[len(words) // 3] = "changed"
+        texts.append(" ".join([*other, *words]))
+        texts.append(" ".join(words[1:]).upper())
+        texts.append(" ".join(rng.permutation(words)))
+    texts += ["the license of the software and the terms of use", "permission to go home is hereby granted", ""]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    full = 0
+    for r in got:
+        want = plain_licenses(texts[r["doc_id"]], licenses.LicenseParams())
+        assert {(h["label"], h["start"]) for h in r["hits"]} == want, texts[r["doc_id"]]
+        assert set(r["labels"].split(",")) - {""} == {x for x, _ in want} | (set(r["base_labels"].split(",")) - {""})
+        if r["doc_id"] % 4 == 0 and r["doc_id"] < 4 * len(licenses.TEMPLATES):
+            full += licenses.TEMPLATES[r["doc_id"] // 4][0] in r["labels"].split(",")
+    assert full == len(licenses.TEMPLATES)
+    assert [r["labels"] for r in sorted(got)[-3:]] == ["", "", ""]
 
 
 def test_packing(docs):
@@ -312,6 +387,15 @@ def test_url_rules(spark):
     assert got[11][3] == "block"
 
 
+def test_url_trees_on_held_out_hosts(spark):
+    """Hosts are dealt to training and test: no host is in both. Hyphens alone do not tell: many plain hosts have one."""
+    table = urls.labelled_urls(spark).withColumn("held", F.pmod(F.xxhash64(F.substring_index("host", ".", -2)), F.lit(3)) == 0).cache()
+    r = urls.UrlModel(table.where("not held")).spam_score(table.where("held")).select("spam", (F.col("_u_score") > 0.5).alias("found")).collect()
+    hit = sum(x["spam"] and x["found"] for x in r)
+    assert hit >= 0.9 * sum(x["spam"] for x in r) and hit >= 0.9 * sum(x["found"] for x in r)
+    assert table.where("spam = 0 and host like '%-%'").count() > 200 and table.select(urls._suffix(F.col("host"))).distinct().count() > 12
+
+
 @pytest.mark.parametrize("kind", ["table", "odd", "empty"])
 @pytest.mark.parametrize("block", [16, 8192])
 def test_top_k(spark, kind, block):
