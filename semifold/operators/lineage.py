@@ -5,21 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The session's folder under spark.checkpoint.dir. A local session without that setting gets a folder of its own; on a
+    cluster the setting is required."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def fresh(spark: SparkSession, what: str) -> str:
+    """A path in that folder that nothing else uses."""
+    return f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the folder in spark.checkpoint.dir. A local session without that setting gets
-    a folder of its own; on a cluster the setting is required.
+    """df computed once and read back from the session's folder.
 
     A table, not a checkpoint: a checkpoint computes df twice and carries its plan's constraints on, which in an
     iteration grow from round to round until planning no longer ends."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{sc.getCheckpointDir().rstrip('/')}/round-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, "round")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -85,12 +85,26 @@ class SymbolicFormat:
 
 
 def load(spark: SparkSession, path: str, form: SymbolicFormat) -> DataFrame:
-    """The rows of text files under path: typed columns and weight. Skipped rows are the first of each file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("_line", "value"))
-    lines = lines.where((F.col("_line") >= form.skip_rows) & (F.trim("value") != ""))
+    """The rows of text files under path: typed columns and weight. Skipped rows are the first of each file.
+
+    Files are read by splits. Rows are numbered as they are read; within a file's first split, a row's number less the
+    least one there is its line."""
+    lines = spark.read.text(path)
+    if form.skip_rows:
+        lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"))
+        first = lines.where(F.col("_block") == 0).groupBy("_file").agg(F.min("_n").alias("_first"))
+        early = (F.col("_block") == 0) & (F.col("_n") - F.col("_first") < form.skip_rows)
+        lines = lines.join(first, "_file", "left").where(~F.coalesce(early, F.lit(False)))
+    lines = lines.where(F.trim("value") != "")
     return lines.select(*form.columns(split_any(F.col("value"), form.separator)))
 
 
+def legacy_format(arities: list[int], prefix: str = "", index_base: int = 0, names: list[str] | None = None, **options) -> SymbolicFormat:
+    """A format whose values are prefix and number, counted from index_base: labels in that order."""
+    labels = [[f"{prefix}{k + index_base}" for k in range(n)] for n in arities]
+    return SymbolicFormat(list(zip(names or [f"v{k}" for k in range(len(arities))], labels, strict=True)), **options)
+
+
 def load_sequences(spark: SparkSession, path: str, form: SymbolicFormat) -> DataFrame:
     """One sequence for each file: seq_id (its path), t from 0, the columns, and weight 1."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("seq_id"), F.posexplode(F.split("value", r"\r?\n")).alias("_line", "value"))
