@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from semifold.operators.dataset import uniform
 from semifold.operators.lineage import kept as _kept
 
 
@@ -21,8 +22,9 @@ def _normalised(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.withColumn(value, F.col(value) / F.sum(value).over(Window.partitionBy(*keys)))
 
 
-def _messages(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float, maximise: bool, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """Both directions of the edges, and the messages (u, v, sv, m) after the rounds."""
+def _messages(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float, maximise: bool, tolerance: float, skip: float = 0.0, share: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Both directions of the edges, and the messages (u, v, sv, m) after the rounds. skip and share say which messages a
+    round leaves as they are: each with odds skip, and those that would move by less than share of the largest move."""
     both = _kept(_directed(edges))
     messages = both.select("u", "v", "sv").distinct().withColumn("m", F.lit(1.0))
     messages = _kept(_normalised(messages, ["u", "v"], "m"))
@@ -34,7 +36,15 @@ def _messages(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float, m
         top = F.max(F.col("log_belief") - F.col("log_back")).over(Window.partitionBy("u", "v"))
         sent = cavity.withColumn("x", F.exp(F.col("log_belief") - F.col("log_back") - top) * F.col("value")).groupBy("u", "v", "sv").agg(fold("x").alias("new"))
         sent = _normalised(sent, ["u", "v"], "new")
-        stepped = _kept(sent.join(messages, ["u", "v", "sv"]).select("u", "v", "sv", ((1 - damping) * F.col("new") + damping * F.col("m")).alias("m"), F.abs(F.col("new") - F.col("m")).alias("moved")))
+        stepped = sent.join(messages, ["u", "v", "sv"]).select("u", "v", "sv", F.col("m").alias("old"), ((1 - damping) * F.col("new") + damping * F.col("m")).alias("m"), F.abs(F.col("new") - F.col("m")).alias("moved"))
+        if share:
+            stepped = stepped.withColumn("_own", F.max("moved").over(Window.partitionBy("u", "v")))  # a message moves whole
+            stepped = _kept(stepped)
+            top = stepped.agg(F.max("moved").alias("_top"))
+            stepped = stepped.crossJoin(top).withColumn("m", F.when(F.col("_own") >= share * F.col("_top"), F.col("m")).otherwise(F.col("old"))).drop("_own", "_top")
+        if skip:
+            stepped = stepped.withColumn("m", F.when(uniform("u", "v", seed=step) < skip, F.col("old")).otherwise(F.col("m")))
+        stepped = _kept(stepped.drop("old"))
         messages = stepped.drop("moved")
         if step % 2 and (stepped.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:  # looked at in every other round
             break
@@ -47,12 +57,14 @@ def _log_beliefs(nodes: DataFrame, messages: DataFrame) -> DataFrame:
     return nodes.join(total, ["v", "s"], "left").withColumn("log_belief", F.ln("value") + F.coalesce("_in", F.lit(0.0))).drop("_in")
 
 
-def belief_propagation(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.0, maximise: bool = False, tolerance: float = 0.0) -> DataFrame:
+def belief_propagation(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.0, maximise: bool = False, tolerance: float = 0.0, skip: float = 0.0, share: float = 0.0) -> DataFrame:
     """Node beliefs (v, s, belief) after the given rounds of synchronous updates, fewer if no message moves by tolerance.
 
-    maximise: max-product messages. damping: share of the old message that is kept. Exact on trees of smaller diameter.
+    maximise: max-product messages. damping: share of the old message that is kept. skip: odds of leaving a message out of a
+    round (an asynchronous schedule). share: only messages that would move by this share of the largest move are sent (a
+    residual schedule, many messages at a time). Exact on trees of smaller diameter once nothing moves.
     """
-    joined = _log_beliefs(nodes, _messages(nodes, edges, rounds, damping, maximise, tolerance)[1])
+    joined = _log_beliefs(nodes, _messages(nodes, edges, rounds, damping, maximise, tolerance, skip, share)[1])
     top = F.max("log_belief").over(Window.partitionBy("v"))
     return _normalised(joined.withColumn("belief", F.exp(F.col("log_belief") - top)), ["v"], "belief").select("v", "s", "belief")
 

@@ -160,13 +160,30 @@ def tree(spark, d):
     return nodes, edges
 
 
-@query(f"{TREE} SELECT 'r' || reg AS v, s, round(exp(l - max(l) OVER (PARTITION BY reg)) / sum(exp(l - mx)) OVER (PARTITION BY reg), 5) AS belief FROM (SELECT *, max(l) OVER (PARTITION BY reg) AS mx FROM rl)")
+@query(f"{TREE} SELECT 'r' || reg AS v, s, round(exp(l - mx) / sum(exp(l - mx)) OVER (PARTITION BY reg), 5) AS belief FROM (SELECT *, max(l) OVER (PARTITION BY reg) AS mx FROM rl)")
 def tree_beliefs_of_regions(spark, d):
     """Exact on a tree: customers' messages reach the regions in two rounds, and all beliefs are final after four."""
     b = belief_propagation(*tree(spark, d), rounds=6, tolerance=1e-12)
     return r(b.where(F.col("v").startswith("r")), "belief", places=5)
 
 
+REGIONS = f"{TREE} SELECT 'r' || reg AS v, s, round(exp(l - mx) / sum(exp(l - mx)) OVER (PARTITION BY reg), 5) AS belief FROM (SELECT *, max(l) OVER (PARTITION BY reg) AS mx FROM rl)"
+
+
+@query(REGIONS)
+def residual_beliefs_of_regions(spark, d):
+    """Only the messages that would move by a tenth of the largest move are sent in a round."""
+    b = belief_propagation(*tree(spark, d), rounds=12, tolerance=1e-12, share=0.1)
+    return r(b.where(F.col("v").startswith("r")), "belief", places=5)
+
+
+@query(REGIONS)
+def asynchronous_beliefs_of_regions(spark, d):
+    """Each message sits out a round with odds of a quarter."""
+    b = belief_propagation(*tree(spark, d), rounds=20, tolerance=-1.0, skip=0.25)
+    return r(b.where(F.col("v").startswith("r")), "belief", places=5)
+
+
 @query(f"{TREE}, e AS (SELECT nl.n, nl.reg, a.s AS sr, nl.s AS sn, nl.l + ln(1 + (a.s = nl.s)::INT) + rl.l - nm.l AS l FROM nl CROSS JOIN w a JOIN rl ON rl.reg = nl.reg AND rl.s = a.s JOIN nm ON nm.n = nl.n AND nm.s = a.s), x AS (SELECT *, max(l) OVER (PARTITION BY n) AS mx FROM e) SELECT 'n' || n AS u, 'r' || reg AS v, sn AS su, sr AS sv, round(exp(l - mx) / sum(exp(l - mx)) OVER (PARTITION BY n), 5) AS belief FROM x")
 def tree_beliefs_of_edges(spark, d):
     b = edge_beliefs(*tree(spark, d), rounds=6, tolerance=1e-12)
