@@ -172,3 +172,43 @@ def fixed_steps(df: DataFrame, seq: str, t: str, columns: list[str], first: int,
     steps = df.withColumn("_step", F.row_number().over(w) - 1).where(F.col("_step").between(first, last - 1))
     wide = steps.groupBy(seq).agg(F.count("*").alias("_n"), *(F.max(F.when(F.col("_step") == k, F.col(c))).alias(f"{c}__{k - first}") for c in columns for k in range(first, last)))
     return wide.where(F.col("_n") == last - first).drop("_n")
+
+
+def cycled(df: DataFrame, limit: int, *order: str) -> DataFrame:
+    """A finite dataset as an endless source cut at limit: position from 0, rows in order, again from the first when all have
+    passed."""
+    indexed = kept(with_row_index(df, *order))
+    n = indexed.agg(F.count("*").alias("_n"))
+    places = df.sparkSession.range(limit).crossJoin(n).where(F.col("_n") > 0).select(F.col("id").alias("position"), (F.col("id") % F.col("_n")).alias("row_idx"))
+    return places.join(indexed, "row_idx").drop("row_idx")
+
+
+def taken(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows of a source as a dataset."""
+    return df.orderBy(*order).limit(n)
+
+
+def permuted(df: DataFrame, permutation: DataFrame, index: str = "row_idx") -> DataFrame:
+    """Rows at new places by a permutation table (row_idx, place)."""
+    return df.join(permutation, index).drop(index).withColumnRenamed("place", index)
+
+
+def printed(df: DataFrame, columns: list[str], mode: str = "default", missing: str = "?") -> DataFrame:
+    """line: records as text. default: values between spaces; tabbed: between tabs; vars: name=value; tabbed_weighted: the
+    weight last."""
+    show = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(missing))
+    cells = [F.concat(F.lit(f"{c}="), show(c)) if mode == "vars" else show(c) for c in columns]
+    if mode == "tabbed_weighted":
+        cells.append(show("weight"))
+    return df.withColumn("line", F.concat_ws("\t" if mode.startswith("tabbed") else " ", *cells))
+
+
+def find_first(df: DataFrame, seq: str, t: str, condition: Column) -> DataFrame:
+    """For each sequence the first t where the condition holds, and how often it does: combined before the shuffle."""
+    return df.groupBy(seq).agg(F.min(F.when(condition, F.col(t))).alias("first"), F.sum(condition.cast("long")).alias("n"))
+
+
+def search_sequence(df: DataFrame, seq: str, t: str, column: str, pattern: list) -> DataFrame:
+    """Places (seq, t) where the values of pattern stand one after another."""
+    wide = sliding(df, seq, t, [column], len(pattern) - 1)
+    return reduce(lambda x, kv: x.where(F.col(f"{column}__{kv[0]}") == F.lit(kv[1])), enumerate(pattern), wide).select(seq, t)

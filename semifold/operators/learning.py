@@ -301,10 +301,16 @@ def gaussian_mixture_1d(df: DataFrame, column: str, means: list[float], rounds:
     return parts
 
 
-def proportional_fitting(joint: Factor, targets: list[Factor], rounds: int) -> Factor:
-    """Iterative proportional fitting: joint times target over marginal, for each target in turn."""
+def proportional_fitting(joint: Factor, targets: list[Factor], rounds: int, tolerance: float = 0.0) -> Factor:
+    """Iterative proportional fitting: joint times target over marginal, for each target in turn, until no marginal is
+    further from its target than tolerance. Each round is stored, so plans do not grow with the rounds."""
     fitted = joint
     for _ in range(rounds):
         for target in targets:
             fitted = (fitted * (target / fitted.marginal(*target.args))).reorder(*joint.args)
+        if rounds == 1:
+            return fitted
+        fitted = Factor(kept(fitted.df), fitted.args)
+        if max((t.norm_inf(fitted.marginal(*t.args)).first()["value"] or 0.0) for t in targets) <= tolerance:
+            break
     return fitted

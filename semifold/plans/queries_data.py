@@ -204,3 +204,41 @@ def factor_ordered_fold(spark, d):
 @query(f"{WITH}, l AS (SELECT status, line, ln(value) AS v FROM g), d AS (SELECT x.status AS a, y.status AS b, x.v - y.v AS d FROM l x JOIN l y ON x.line = y.line AND x.status < y.status), s AS (SELECT max(d) - min(d) AS s FROM d GROUP BY a, b) SELECT round((exp(max(s) / 2) - 1) / (exp(max(s) / 2) + 1), 6) AS value FROM s")
 def factor_message_bound(spark, d):
     return r(g_line(spark, d).message_derivative_bound("status", "line"), "value")
+
+
+# Endless sources, permutations, text forms and ranges.
+
+
+@query("WITH r AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS k, count(*) OVER () AS n FROM region) SELECT p AS position, r_name FROM range(17) x(p) JOIN r ON k = p % n")
+def cycled_source(spark, d):
+    return dataset.cycled(t(spark, d, "region").select("r_regionkey", "r_name"), 17, "r_regionkey").select("position", "r_name")
+
+
+@query("SELECT event_id FROM events ORDER BY event_id LIMIT 25")
+def taken_rows(spark, d):
+    return dataset.taken(t(spark, d, "events").select("event_id"), 25, "event_id")
+
+
+@query("WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS k, count(*) OVER () AS n FROM supplier) SELECT n - 1 - k AS row_idx, s_suppkey FROM s")
+def permute_rows(spark, d):
+    s = dataset.with_row_index(t(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
+    n = s.count()
+    return dataset.permuted(s, spark.range(n).select(F.col("id").alias("row_idx"), (n - 1 - F.col("id")).alias("place"))).select("row_idx", "s_suppkey")
+
+
+@query("SELECT concat_ws(' ', 'n_nationkey=' || n_nationkey, 'n_name=' || n_name) AS line FROM nation UNION ALL SELECT concat_ws(chr(9), CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)) FROM nation UNION ALL SELECT n_nationkey || ' ' || coalesce(nullif(n_name, 'FRANCE'), '?') FROM nation")
+def printed_records(spark, d):
+    n = t(spark, d, "nation").withColumn("weight", F.col("n_regionkey"))
+    lost = n.withColumn("n_name", F.expr("nullif(n_name, 'FRANCE')"))
+    parts = [dataset.printed(x, ["n_nationkey", "n_name"], mode) for x, mode in ((n, "vars"), (n, "tabbed_weighted"), (lost, "default"))]
+    return parts[0].select("line").unionByName(parts[1].select("line")).unionByName(parts[2].select("line"))
+
+
+@query("SELECT user_id, min(ts) FILTER (value > 200) AS first, CAST(count(*) FILTER (value > 200) AS BIGINT) AS n FROM events GROUP BY user_id")
+def find_and_count(spark, d):
+    return dataset.find_first(t(spark, d, "events"), "user_id", "ts", F.col("value") > 200)
+
+
+@query("WITH e AS (SELECT user_id, ts, event_type AS a, lead(event_type) OVER w AS b, lead(event_type, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT user_id, ts FROM e WHERE a = 'click' AND b = 'view' AND c = 'click'")
+def search_subsequence(spark, d):
+    return dataset.search_sequence(t(spark, d, "events"), "user_id", "ts", "event_type", ["click", "view", "click"])

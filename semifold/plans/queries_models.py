@@ -324,6 +324,17 @@ def markov_log_likelihood(spark, d):
     return r(learning.markov_log_likelihood(e, "user_id", "ts", "event_type", initial, step), "value", places=3)
 
 
+@query("WITH c AS (SELECT p_brand, p_type, p_retailprice AS w FROM part) SELECT 'p_brand' AS of, p_brand AS value, round(sum(w) / sum(sum(w)) OVER (), 5) AS share FROM c GROUP BY p_brand UNION ALL SELECT 'p_type', p_type, round(sum(w) / sum(sum(w)) OVER (), 5) FROM c GROUP BY p_type")
+def proportional_fitting_to_marginals(spark, d):
+    """Counts fitted to the marginals by price: at the end both marginals are the targets."""
+    p = t(spark, d, "part")
+    counts = Factor(p.groupBy("p_brand", "p_type").agg(F.count("*").alias("value")), ("p_brand", "p_type")).normalize()
+    priced = Factor(p.groupBy("p_brand", "p_type").agg(F.sum("p_retailprice").alias("value")), ("p_brand", "p_type")).normalize()
+    fitted = learning.proportional_fitting(counts, [priced.marginal("p_brand"), priced.marginal("p_type")], 20, 1e-7)
+    parts = [fitted.marginal(a).df.select(F.lit(a).alias("of"), F.col(a).alias("value"), F.round("value", 5).alias("share")) for a in ("p_brand", "p_type")]
+    return parts[0].unionByName(parts[1])
+
+
 PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CAST({a} AS VARCHAR) AS x, CAST({b} AS VARCHAR) AS y FROM lineitem" for a, b in (("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linenumber"), ("l_returnflag", "l_tax"), ("l_linestatus", "l_linenumber"), ("l_linestatus", "l_tax"), ("l_linenumber", "l_tax")))
 
 
