@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from semifold.llm import html_extract, licenses, mixing, packing, pii, quality, simhash, substrings, topk, urls
+from semifold.llm import exactdup, html_extract, licenses, mixing, packing, pii, quality, simhash, substrings, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,17 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_personal_data, op3_repeated_passages, op4_source_mixture, op5_license_scan, op6_packing, op7_main_text, op8_url_filter, op9_quality_rules, op10_exact_top_k)}
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdup.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_personal_data, op3_repeated_passages, op4_source_mixture, op5_license_scan, op6_packing, op7_main_text, op8_url_filter, op9_quality_rules, op10_exact_top_k, op13_exact_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+}
