@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from semifold.llm import exactdup, html_extract, licenses, merkle, mixing, packing, pii, quality, simhash, substrings, topk, urls
+from semifold.llm import exactdup, html_extract, licenses, merkle, mixing, packing, pii, quality, simhash, substrings, topk, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     found = merkle.verify(table(spark, sf_dir, "documents"), F.replace("text", F.lit("\n"), F.lit("")), F.coalesce(even, F.lit(False)))
@@ -67,7 +71,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_personal_data, op3_repeated_passages, op4_source_mixture, op5_license_scan, op6_packing, op7_main_text, op8_url_filter, op9_quality_rules, op10_exact_top_k, op12_merkle_manifest, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_personal_data, op3_repeated_passages, op4_source_mixture, op5_license_scan, op6_packing, op7_main_text, op8_url_filter, op9_quality_rules, op10_exact_top_k, op11_ranked_search, op12_merkle_manifest, op13_exact_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 #: The trees and the proofs in SQL; crc32 byte by byte from its table (polynomial 0xEDB88320).
 MERKLE_SQL = """
@@ -124,7 +128,28 @@ MERKLE_SQL = """
     SELECT doc_id, leaf, s.h AS subroot, root, proof_sha256, folded_root, folded_root = root AS verified
     FROM leaves l JOIN folded f ON f.g = coalesce('+' || l.source, ' ') AND f.leaf_idx = l.idx JOIN subroots s ON s.g = f.g, root"""
 
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED_SQL = f"""
+    WITH terms AS (
+        SELECT doc_id, rid, unnest({TERMS}) AS term
+        FROM (SELECT *, row_number() OVER () AS rid FROM documents)),
+    asked AS (
+        SELECT item_id, term, count(*) AS qtf
+        FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark)
+        GROUP BY ALL),
+    sizes AS (SELECT rid, count(*) AS n FROM terms GROUP BY rid),
+    whole AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+    postings AS (SELECT doc_id, rid, term, count(*) AS tf FROM terms GROUP BY ALL),
+    weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, whole GROUP BY term, big_n),
+    scored AS (
+        SELECT item_id, rid, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * big_n) // big_l))))::BIGINT AS score
+        FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (rid), whole GROUP BY item_id, rid, doc_id)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
 ORACLES: dict[str, str] = {
+    "op11_ranked_search": RANKED_SQL,
     "op12_merkle_manifest": MERKLE_SQL,
     "op13_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
