@@ -83,7 +83,8 @@ def exact_groups(docs: DataFrame, p: ExactParams = ExactParams(), digest_all: bo
     marked = digested.withColumn("row", F.monotonically_increasing_id())
     read = marked.where("read")
     best = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row")).alias("best")
-    groups = read.groupBy("n_bytes", "sha").agg(best, F.count("*").alias("group_size")).where("group_size > 1")
+    # Stored, so that the join deals its two sides itself and can split the rows of a hot group.
+    groups = stored(read.groupBy("n_bytes", "sha").agg(best, F.count("*").alias("group_size")).where("group_size > 1"), "groups")
     found = read.join(groups, ["n_bytes", "sha"], "left")
     alone = F.col("group_size").isNull()
     in_groups = found.select(
