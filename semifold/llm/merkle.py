@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semifold.llm.lineage import stored
+from semifold.llm.lineage import release, stored
 
 
 @dataclass(frozen=True)
@@ -164,8 +164,8 @@ def forest(items: DataFrame, order: list[str], p: MerkleParams = MerkleParams())
         most += 1
     sizes = stored(counted.withColumn("depth", _depth(F.col("n"), p.fanout, most)), "sizes")
     made = stored(stacked(placed, p), "nodes")
-    waiting = made.where("pending").select("g", "level", "idx", "h").join(sizes, "g")
-    records, roots, carried = [made.where("not pending").select("g", "level", "idx", "h")], [], None
+    waiting = stored(made.where("pending").select("g", "level", "idx", "h").join(sizes.select("g", "depth"), "g"), "pending")
+    records, roots, carried, rounds = [made.where("not pending").select("g", "level", "idx", "h")], [], None, []
     for level in range(most + 1):
         now = waiting.where(F.col("level") == level).select("g", "idx", "h", "depth")
         now = now if carried is None else now.unionByName(carried)
@@ -174,14 +174,16 @@ def forest(items: DataFrame, order: list[str], p: MerkleParams = MerkleParams())
             break
         run = F.array_sort(F.collect_list(F.struct("idx", "h")))
         runs = now.where(F.col("depth") > level).groupBy("g", "depth", F.expr(f"idx div {p.fanout}").alias("parent")).agg(run.alias("run"))
-        carried = stored(runs.select("g", F.col("parent").alias("idx"), F.sha2(F.concat_ws("", F.col("run.h")), 256).alias("h"), "depth"), "merged")
+        rounds.append(carried := stored(runs.select("g", F.col("parent").alias("idx"), F.sha2(F.concat_ws("", F.col("run.h")), 256).alias("h"), "depth"), "merged"))
         records.append(carried.select("g", F.lit(level + 1).alias("level"), "idx", "h"))
     nodes, all_roots = records[0], roots[0]
     for x in records[1:]:
         nodes = nodes.unionByName(x)
     for x in roots[1:]:
         all_roots = all_roots.unionByName(x)
-    return Forest(placed, sizes, nodes, stored(all_roots, "roots"))
+    made_of = Forest(placed, sizes, stored(nodes, "manifest"), stored(all_roots, "roots"))
+    release(made, waiting, *rounds)
+    return made_of
 
 
 def paths(f: Forest, cell_levels: int, p: MerkleParams) -> DataFrame:
@@ -212,14 +214,14 @@ def proofs(groups: Forest, tops: Forest, p: MerkleParams = MerkleParams()) -> Da
     """Of each leaf: id, h, subroot, root, siblings (the hashes beside it, from its own level up to the root) and folded, the
     root that the leaf presented (h where that is null) gives with these siblings."""
     top_path = paths(tops, 0, p).join(tops.ranked.select("g", F.col("idx").alias("cell"), "name"), ["g", "cell"]).join(tops.roots.select("g", F.col("h").alias("root")), "g")
-    top_path = top_path.select(F.col("name").alias("g"), F.col("path").alias("above"), "root")
+    top_path = stored(top_path.select(F.col("name").alias("g"), F.col("path").alias("above"), "root"), "top_paths")
     size = p.fanout**p.cell_levels
-    cells = paths(groups, p.cell_levels, p).join(groups.sizes, "g").join(groups.roots.withColumnRenamed("h", "subroot"), "g").join(top_path, "g")
+    cells = stored(paths(groups, p.cell_levels, p), "cells").join(groups.sizes, "g").join(groups.roots.withColumnRenamed("h", "subroot"), "g").join(top_path, "g")
     step = lambda s: F.struct(s["pos"].alias("pos"), s["run"].alias("run"))
-    first = cells.select(
+    first = stored(cells.select(
         "g", "cell", F.lit(-1).cast("long").alias("idx"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("h"), F.lit(None).cast("string").alias("presented"),
         F.least(F.col("depth"), F.lit(p.cell_levels)).alias("levels"), F.transform(F.concat("path", "above"), step).alias("path"), "subroot", "root",
-    )
+    ), "paths")
     null = {"levels": "int", "path": "array<struct<pos:int,run:array<string>>>", "subroot": "string", "root": "string"}
     leaves = groups.ranked.select("g", F.expr(f"idx div {size}").alias("cell"), "idx", "id", "h", "presented", *(F.lit(None).cast(t).alias(c) for c, t in null.items()))
     both = first.unionByName(leaves).repartition("g", "cell").sortWithinPartitions("g", "cell", "idx")
