@@ -7,7 +7,8 @@ pages (labelled_pages(), made by rule). Sum-product messages pass upward and dow
 whole batch of pages, and give each node's marginal of being content. Text under a node of marginal above the limit is
 kept, block by block in page order.
 
-Pages are independent: one mapInPandas over the scan, no shuffle; the time is linear in a page's length. Broken markup is
+Pages are independent: one pass of Arrow batches over the scan, no shuffle; the time is linear in a page's
+length, however deep its elements are nested. Broken markup is
 tolerated: stray end tags are ignored, p, li and table cells close their open namesakes, and everything open ends with the
 page; an element whose content is not text is empty if it ends in a slash, and skips only its own tag if no end tag follows
 (but script, style, textarea and title run to the page's end). Formulas (math) are part of their block's text, drawings
@@ -15,7 +16,7 @@ page; an element whose content is not text is empty if it ends in a slash, and s
 
 Defined results: null or empty html gives an empty text; a page without any tag is one text block and is judged at its
 root; a header element is no content, also inside an article, but a heading outside of one is; a tag that never ends is
-text if no > follows it, and else ends at the next >; elements nested below max_depth share their ancestor's node;
+text if no > follows it, and else ends at the next >; elements may be nested to any depth; ids are passed on as they are;
 repeated rows are extracted one by one; extra columns are not read.
 """
 
@@ -26,10 +27,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, log1p
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: In a tag: a value in quotes begins, or the tag ends.
@@ -111,15 +114,12 @@ def markup(source: str) -> Iterator[tuple[int, int, str, str, str]]:
 class Tree:
     """Nodes of many pages as flat lists: parent (-1 for a root), tag group bits, text pieces in page order."""
 
-    def __init__(self, max_depth: int = 512):
-        self.max_depth = max_depth
+    def __init__(self):
         self.page, self.parent, self.depth, self.features = [], [], [], []
         self.text_len, self.link_len = [], []
         self.pieces: list[tuple[int, int, str | None]] = []  # (page, node, text; None: a block's edge)
 
     def node(self, page: int, parent: int, tag: str, attrs: str) -> int:
-        if parent >= 0 and self.depth[parent] >= self.max_depth:
-            return parent
         f = [float(tag in group) for group in TAG_GROUPS]
         words = {w for m in ATTR.finditer(attrs) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())} if attrs else ()
         f += [float(any(w in words for w in BAD_WORDS)), float(any(w in words for w in GOOD_WORDS))]
@@ -228,22 +228,45 @@ class TreeModel:
     weights: np.ndarray
     pair: np.ndarray
 
-    def marginals(self, parent: np.ndarray, depth: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Each node's probability of being content, by sum-product messages upward and downward, level by level."""
+    def marginals(self, parent: np.ndarray, depth: np.ndarray, x: np.ndarray, narrow: int = 24) -> np.ndarray:
+        """Each node's probability of being content, by sum-product messages upward and downward, level by level.
+
+        Levels of narrow nodes or fewer (deep pages have very many of them) go node by node, the others as arrays: the
+        same messages either way, and time linear in the nodes at any depth.
+        """
         n = len(parent)
         score = x @ self.weights
-        node = np.column_stack([np.zeros(n), score])
+        inside, up, outside = np.column_stack([np.zeros(n), score]), np.zeros((n, 2)), np.zeros((n, 2))
         order = np.argsort(depth, kind="stable")
-        by_level = np.split(order, np.searchsorted(depth[order], np.arange(1, depth.max(initial=0) + 1)))
-        inside, up = node.copy(), np.zeros((n, 2))
-        for at in reversed(by_level[1:]):
-            both = self.pair[None] + inside[at][:, None, :]  # node, parent label, own label
-            up[at] = np.logaddexp(both[:, :, 0], both[:, :, 1])
-            np.add.at(inside, parent[at], up[at])
-        outside = np.zeros((n, 2))
-        for at in by_level[1:]:
-            above = (inside[parent[at]] - up[at] + outside[parent[at]])[:, :, None] + self.pair[None]
-            outside[at] = np.logaddexp(above[:, 0], above[:, 1])
+        cuts = np.searchsorted(depth[order], np.arange(depth.max(initial=0) + 2)).tolist()
+        levels = list(zip(cuts[1:-1], cuts[2:], strict=True))  # below the roots
+        (aa, ab), (ba, bb) = self.pair.tolist()
+
+        def add(a: float, b: float) -> float:
+            return a + log1p(exp(b - a)) if a > b else b + log1p(exp(a - b))
+
+        for lo, hi in reversed(levels):
+            at = order[lo:hi]
+            if hi - lo > narrow:
+                both = self.pair[None] + inside[at][:, None, :]  # node, parent label, own label
+                up[at] = np.logaddexp(both[:, :, 0], both[:, :, 1])
+                np.add.at(inside, parent[at], up[at])
+                continue
+            for i in at.tolist():
+                zero, one = inside[i].tolist()
+                above, now = parent[i], (add(aa + zero, ab + one), add(ba + zero, bb + one))
+                up[i, 0], up[i, 1] = now
+                inside[above, 0] += now[0]
+                inside[above, 1] += now[1]
+        for lo, hi in levels:
+            at = order[lo:hi]
+            if hi - lo > narrow:
+                above = (inside[parent[at]] - up[at] + outside[parent[at]])[:, :, None] + self.pair[None]
+                outside[at] = np.logaddexp(above[:, 0], above[:, 1])
+                continue
+            for i in at.tolist():
+                zero, one = (inside[parent[i]] - up[i] + outside[parent[i]]).tolist()
+                outside[i, 0], outside[i, 1] = add(zero + aa, one + ba), add(zero + ab, one + bb)
         total = inside + outside
         return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -700, 700)))
 
@@ -362,13 +385,14 @@ def extract(pages: DataFrame, model: TreeModel | None = None, params: HtmlParams
     """page_id, url, text and n_chars (code points): one row for each row of pages."""
     model = model or train(labelled_pages())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), params.batch_pages):
-                part = pdf.iloc[lo : lo + params.batch_pages]
-                text = extract_batch([x or "" for x in part["html"]], model, params.limit)
-                yield part[["page_id", "url"]].assign(text=text, n_chars=[len(t) for t in text])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, params.batch_pages):
+                part = b.slice(lo, params.batch_pages)
+                text = extract_batch([x or "" for x in part.column("html").to_pylist()], model, params.limit)
+                columns = [part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    chosen = pages.select("page_id", "url", "html")
+    chosen = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"))
     kinds = dict(chosen.dtypes)
-    return chosen.mapInPandas(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    return chosen.mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
