@@ -16,12 +16,14 @@ each for itself; extra columns are not read; an empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,10 @@ from semifold.llm.lineage import stored
 #: The byte-level pattern that the vocabulary was made with, and its one special token.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = {"<|endoftext|>": 50256}
+#: What the pattern's \s stands for (Unicode White_Space).
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space that the pattern's lookahead would go through step by step.
+LONG_SPACE = re.compile(f"[{SPACES}]{{4096,}}")
 
 
 @dataclass(frozen=True)
@@ -60,10 +66,28 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def encode_plain(enc, text: str) -> list[int]:
+    """The ids of a text without special strings.
+
+    A long run of white space is taken out of the pattern's hands, whose lookahead keeps a step of each sign: all of the
+    run but its last sign (all, at the end) is one piece of the pattern, and what follows starts a new one.
+    """
+    at, ids = 0, []
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        ids += enc.encode_ordinary(text[at : m.start()])
+        ids += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return ids + enc.encode_ordinary(text[at:])
+
+
 def encode(enc, text: str) -> list[int]:
-    if any(s in text for s in SPECIAL):
-        return enc.encode(text, allowed_special="all")
-    return enc.encode_ordinary(text)
+    ((special, special_id),) = SPECIAL.items()
+    first, *rest = text.split(special)
+    ids = encode_plain(enc, first)
+    for part in rest:
+        ids += [special_id, *encode_plain(enc, part)]
+    return ids
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -115,21 +139,21 @@ def curve_keys(ids: list[np.ndarray], p: PackParams) -> np.ndarray:
 def tokenised(docs: DataFrame, p: PackParams) -> DataFrame:
     """row, doc_id, n (ids with the end id), key and ids (compressed 16- or 32-bit little-endian numbers)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
         enc, pack = encoder(p.ranks), zstandard.ZstdCompressor(level=p.level)
         row = TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            for lo in range(0, len(pdf), 128):
-                part = pdf.iloc[lo : lo + 128]
-                ids = [np.array([*encode(enc, t or ""), p.end_id], dtype="<u2" if enc.max_token_value < 65536 else "<u4") for t in part["text"]]
-                keys = curve_keys(ids, p)
-                yield pd.DataFrame({"row": row + np.arange(len(part)), "doc_id": part["doc_id"].to_numpy(), "n": [len(x) for x in ids], "key": keys, "ids": [pack.compress(x.tobytes()) for x in ids]})
-                row += len(part)
+        for b in batches:
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                ids = [np.array([*encode(enc, t.as_py() or ""), p.end_id], dtype="<u2" if enc.max_token_value < 65536 else "<u4") for t in part.column("text")]
+                columns = [pa.array(row + np.arange(len(ids))), part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(curve_keys(ids, p)), pa.array([pack.compress(x.tobytes()) for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n", "key", "ids"])
+                row += len(ids)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "row long, doc_id long, n long, key long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, n long, key long, ids binary")
 
 
 def placed(tokens: DataFrame) -> DataFrame:
@@ -160,13 +184,15 @@ def pack(docs: DataFrame, p: PackParams) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
     tokens = stored(tokenised(docs, p), "tokens")
 
-    def cut_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for pdf in batches:
+        for b in batches:
             out = []
-            for doc, n, packed, at in zip(pdf["doc_id"], pdf["n"], pdf["ids"], pdf["at"], strict=True):
+            for doc, n, packed, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "at")), strict=True):
                 raw = unpack.decompress(packed)
                 ids = np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype("<u4")
                 lo = 0
@@ -175,7 +201,7 @@ def pack(docs: DataFrame, p: PackParams) -> DataFrame:
                     size = min(n - lo, p.length - offset)
                     out.append((doc, lo, size, zlib.crc32(ids[lo : lo + size].tobytes()), n, (at + lo) // p.length, offset))
                     lo += size
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * len(names))], names=names)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return tokens.select("row", "doc_id", "n", "ids").join(placed(tokens), "row").select("doc_id", "n", "ids", "at").mapInPandas(cut_pieces, schema)
+    schema = ", ".join(f"{c} long" for c in names)
+    return tokens.select("row", "doc_id", "n", "ids").join(placed(tokens), "row").select("doc_id", "n", "ids", "at").mapInArrow(cut_pieces, schema)
