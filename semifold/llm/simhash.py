@@ -23,6 +23,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +68,12 @@ def fingerprint(text: str | None, p: SimHashParams) -> int:
 def fingerprints(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long), one row for each row of docs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([fingerprint(t, p) for t in pdf["text"]], dtype=np.uint64).astype(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py(), p) for t in b.column("text")], dtype=np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
