@@ -5,10 +5,11 @@ white-space tokens with O or a kind, from features of the token's shape and of i
 from a small labelled table (labelled_tokens(), made by rule) by gradient ascent on the penalised likelihood, and decoded
 by Viterbi in numpy over many runs of tokens at once. A token without digit, @ or + can only be O, so a text falls into
 runs of tokens that may be personal data, each decoded exactly between its O neighbours, whose shapes count as they do in
-training. Tokens of over 40 characters are cut at commas, semicolons and bars; no token is left out. Spans of the field
-that touch no base span are added; base spans stay.
+training. Tokens also end at commas, semicolons and bars, so lists without spaces are tokens side by side; no token is left
+out, and no added span goes over a separator. Spans of the field that touch no base span are added; base spans stay.
 
-Texts are independent: one mapInPandas over the scan, no shuffle. Defined results: a null text is empty (no spans, the
+Texts are independent: one pass of Arrow batches over the scan, no shuffle. Time is linear in a text. Runs are decoded in
+groups of bounded size; of a run beyond that only five numbers a token are held, its label scores. Defined results: a null text is empty (no spans, the
 hash of the empty string); repeated rows are searched one by one; redact() keeps all columns, find() passes over extra
 ones. Offsets are code points, ends exclusive.
 """
@@ -17,12 +18,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +39,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@+]")
-TOKEN = re.compile(r"\S+")
-#: Tokens longer than this are cut at separators: lists written without spaces.
-LONG = 40
+#: Tokens end at white space and at the separators of lists.
+TOKEN = re.compile(r"[^\s,;|]+")
+BETWEEN = re.compile(r"[\s,;|]+")
 SEPARATOR = re.compile(r"[,;|]")
-PART = re.compile(r"[^,;|]+")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 Span = tuple[int, int, str]
@@ -124,16 +126,26 @@ class Crf:
     w: np.ndarray
     t: np.ndarray
 
-    def viterbi(self, runs: list[np.ndarray]) -> list[np.ndarray]:
-        """Best labels of each run of token features; runs of like length go step by step together."""
+    def scores(self, tokens: list[str], before: str = "", after: str = "", chunk: int = 4096) -> np.ndarray:
+        """Label scores of each token, by chunks of tokens between their true neighbours."""
+        at = range(0, len(tokens), chunk)
+        sides = [(tokens[lo - 1] if lo else before, tokens[lo + chunk] if lo + chunk < len(tokens) else after) for lo in at]
+        return np.vstack([features(tokens[lo : lo + chunk], *side) @ self.w for lo, side in zip(at, sides, strict=True)])
+
+    def viterbi(self, runs: list[np.ndarray], cells: int = 1 << 16) -> list[np.ndarray]:
+        """Best labels of each run of label scores; runs of like length go step by step together, as many as fill cells."""
         out: list[np.ndarray] = [np.empty(0, int)] * len(runs)
         order = sorted(range(len(runs)), key=lambda k: len(runs[k]))
-        for lo in range(0, len(order), 512):
-            part = order[lo : lo + 512]
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi + 1 - lo) * len(runs[order[hi]]) <= cells:
+                hi += 1
+            part, lo = order[lo:hi], hi
             size = np.array([len(runs[k]) for k in part])
             e = np.zeros((len(part), size.max(), len(LABELS)))
             for j, k in enumerate(part):
-                e[j, : size[j]] = runs[k] @ self.w
+                e[j, : size[j]] = runs[k]
             score = e[:, 0] + self.t[0]  # a run follows an O
             back = np.zeros(e.shape, np.int8)
             for i in range(1, e.shape[1]):
@@ -141,7 +153,7 @@ class Crf:
                 back[:, i] = step.argmax(axis=1)
                 score = np.where((i < size)[:, None], step.max(axis=1) + e[:, i], score)
             label = (score + self.t[:, 0]).argmax(axis=1)  # and an O follows it
-            path = np.zeros(e.shape[:2], int)
+            path = np.zeros(e.shape[:2], np.int8)
             for i in range(e.shape[1] - 1, -1, -1):
                 path[:, i] = np.where(i < size, label, 0)
                 label = np.where((i < size) & (i > 0), back[np.arange(len(part)), i, label], label)
@@ -234,16 +246,17 @@ class Run:
     after: str
 
 
-def _near_token(text: str, at: int, step: int) -> str:
-    """The token that ends before at (step -1) or starts after it (step 1)."""
-    if step > 0:
-        m = TOKEN.search(text, at)
-        return m[0] if m else ""
+def _ends(c: str) -> bool:
+    return c.isspace() or c in ",;|"
+
+
+def _token_before(text: str, at: int) -> str:
+    """The token that ends before at."""
     end = at
-    while end > 0 and text[end - 1].isspace():
+    while end > 0 and _ends(text[end - 1]):
         end -= 1
     start = end
-    while start > 0 and not text[start - 1].isspace():
+    while start > 0 and not _ends(text[start - 1]):
         start -= 1
     return text[start:end]
 
@@ -254,21 +267,13 @@ def runs_of(text: str) -> list[Run]:
     at, edge = 0, -1
     while m := TRIGGER.search(text, at):
         start = m.start()
-        while start > at and not text[start - 1].isspace():
+        while start > at and not _ends(text[start - 1]):
             start -= 1
         at = TOKEN.match(text, start).end()
-        if at - start > LONG and SEPARATOR.search(text, start, at):
-            parts = [(x.start(), x.end()) for x in PART.finditer(text, start, at)]
-            for k, (a, b) in enumerate(parts):
-                if TRIGGER.search(text, a, b):
-                    beside = [text[slice(*parts[j])] if 0 <= j < len(parts) else "" for j in (k - 1, k + 1)]
-                    runs.append(Run([(a, b)], *beside))
-            edge = -1
-            continue
-        if edge >= 0 and text[edge:start].isspace():
+        if edge >= 0 and BETWEEN.fullmatch(text, edge, start):
             runs[-1].spans.append((start, at))
         else:
-            runs.append(Run([(start, at)], _near_token(text, start, -1), ""))
+            runs.append(Run([(start, at)], _token_before(text, start), ""))
         runs[-1].after = ""
         edge = at
         if not (n := TOKEN.search(text, at)) or not TRIGGER.search(n[0]):
@@ -276,26 +281,44 @@ def runs_of(text: str) -> list[Run]:
     return runs
 
 
+class _Free:
+    """What spans (by start) leave free: the stretches that they cover are joined and searched by halving."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts, self.ends = [], []
+        for a, b, _ in spans:
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def has(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)  # the last stretch that starts before b
+        return i == 0 or self.ends[i - 1] <= a
+
+
 def find_batch(texts: list[str], crf: Crf, p: PiiParams) -> list[tuple[list[Span], list[Span]]]:
     """For each text its base spans and all its spans."""
     base = [base_spans(t) for t in texts]
-    where, feats = [], []
+    where, scores = [], []
     for k, text in enumerate(texts):
         for run in runs_of(text):
             where.append((k, run.spans))
-            feats.append(features([text[a:b] for a, b in run.spans], run.before, run.after))
+            scores.append(crf.scores([text[a:b] for a, b in run.spans], run.before, run.after))
     added: list[list[Span]] = [[] for _ in texts]
-    for (k, run), labels in zip(where, crf.viterbi(feats), strict=True):
+    free = [_Free(b) for b in base]
+    for (k, run), labels in zip(where, crf.viterbi(scores), strict=True):
         j = 0
         while j < len(run):
             e = j
-            while e + 1 < len(run) and labels[e + 1] == labels[j]:
+            while e + 1 < len(run) and labels[e + 1] == labels[j] and not SEPARATOR.search(texts[k], run[e][1], run[e + 1][0]):
                 e += 1
             if labels[j]:
                 piece = texts[k][run[j][0] : run[e][1]]
                 cut = len(piece) - len(piece.lstrip("<[{\"'.,;:"))
                 a, b = run[j][0] + cut, run[j][0] + len(piece.rstrip(">]}\"'.,;:!?"))
-                if a < b and _plausible(LABELS[labels[j]], texts[k][a:b]) and all(b <= s or a >= f for s, f, _ in base[k]):
+                if a < b and _plausible(LABELS[labels[j]], texts[k][a:b]) and free[k].has(a, b):
                     added[k].append((a, b, LABELS[labels[j]]))
             j = e + 1
     return [(b, sorted([*b, *x], key=lambda s: (s[0], KINDS.index(s[2])))) for b, x in zip(base, added, strict=True)]
@@ -310,17 +333,18 @@ def find(docs: DataFrame, crf: Crf | None = None, p: PiiParams = PiiParams()) ->
 
     crf = crf or default_model()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
-                found = find_batch([t if isinstance(t, str) else "" for t in part["text"]], crf, p)
-                count = {f"n_{kind}": [sum(s[2] == kind for s in b) for b, _ in found] for kind in KINDS}
-                digest = [hashlib.sha256(_told(b).encode()).hexdigest() for b, _ in found]
-                yield pd.DataFrame({"doc_id": part["doc_id"], **count, "base_sha256": digest, "spans": [_told(s) for _, s in found]}, index=part.index)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                found = find_batch([t or "" for t in part.column("text").to_pylist()], crf, p)
+                counts = [pa.array([sum(s[2] == kind for s in base) for base, _ in found], pa.int64()) for kind in KINDS]
+                digests = pa.array([hashlib.sha256(_told(base).encode()).hexdigest() for base, _ in found], pa.string())
+                columns = [part.column("doc_id"), *counts, digests, pa.array([_told(s) for _, s in found], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{kind}" for kind in KINDS), "base_sha256", "spans"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def masked(text: str, spans: list[Span], mask: str) -> str:
@@ -340,8 +364,8 @@ def redact(docs: DataFrame, crf: Crf | None = None, p: PiiParams = PiiParams())
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
         out = []
-        for lo in range(0, len(texts), 256):
-            part = [t if isinstance(t, str) else "" for t in texts.iloc[lo : lo + 256]]
+        for lo in range(0, len(texts), 64):
+            part = [t if isinstance(t, str) else "" for t in texts.iloc[lo : lo + 64]]
             out += [masked(t, s, p.mask) for t, (_, s) in zip(part, find_batch(part, crf, p), strict=True)]
         return pd.Series(out, dtype=object)
 

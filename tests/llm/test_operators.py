@@ -134,11 +134,11 @@ def test_runs_are_decoded_as_the_whole_sentence():
     crf, same, n = pii.default_model(), 0, 0
     for tokens, _ in pii.labelled_tokens(150, seed=99):
         text = " ".join(tokens)
-        (whole,) = crf.viterbi([pii.features(tokens)])
+        (whole,) = crf.viterbi([crf.scores(tokens)])
         starts = np.cumsum([0, *(len(t) + 1 for t in tokens)])
         of = {int(a): k for k, a in enumerate(starts)}
         for run in pii.runs_of(text):
-            (got,) = crf.viterbi([pii.features([text[a:b] for a, b in run.spans], run.before, run.after)])
+            (got,) = crf.viterbi([crf.scores([text[a:b] for a, b in run.spans], run.before, run.after)])
             same += int((got == whole[[of[a] for a, _ in run.spans]]).sum())
             n += len(got)
     assert same >= 0.99 * n
