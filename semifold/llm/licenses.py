@@ -139,8 +139,12 @@ def scan(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
 
     postings = _constant(index.postings and {w: [{"t": t, "q": q} for t, q in x] for w, x in index.postings.items()}, "map<string,array<struct<t:int,q:int>>>")
     templates = _constant(index.templates, "array<struct<label:string,words:array<string>,weights:array<double>,key:array<string>,key_at:int>>")
-    found = F.filter(F.transform(at, lambda x: F.transform(F.element_at(postings, x["w"]), lambda y: F.struct(y["t"].alias("t"), (x["i"] - y["q"]).alias("start")))), lambda x: x.isNotNull())
-    proposed = F.array_distinct(F.flatten(found))
+    # A template and where it would start, as one number: distinct numbers are found by hashing, distinct structs by pairs.
+    span = 1 << 32
+    place = lambda x: lambda y: y["t"].cast("long") * span + (x["i"] - y["q"]).cast("long") + span // 2
+    found = F.filter(F.transform(at, lambda x: F.transform(F.element_at(postings, x["w"]), place(x))), lambda x: x.isNotNull())
+    unpacked = lambda n: F.struct(F.shiftright(n, 32).cast("int").alias("t"), (n.bitwiseAND(F.lit(span - 1)) - span // 2).cast("int").alias("start"))
+    proposed = F.transform(F.array_distinct(F.flatten(found)), unpacked)
 
     def verified(x: Column) -> Column:
         of = lambda name: F.get(templates, x["t"])[name]
