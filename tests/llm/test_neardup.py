@@ -54,13 +54,15 @@ def planted() -> list[tuple]:
     return [(int(i), t) for i, t in zip(order, texts, strict=True)]
 
 
-@pytest.mark.parametrize("block, texts", [(8, 16), (4096, 512)])
-def test_finds_planted_edits(spark, block, texts):
+@pytest.mark.parametrize("block, texts, layouts", [(8, 16, (5, 4)), (4096, 512, ())])
+def test_finds_planted_edits(spark, block, texts, layouts):
     rows = planted()
     want = plain_kept(rows)
     assert len(want) < len(rows) - 100
-    got = neardup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearParams(block=block, texts=texts))
-    assert {r["doc_id"] for r in got.collect()} == want
+    got = neardup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearParams(block=block, texts=texts, layouts=layouts))
+    kept = {r["doc_id"] for r in got.collect()}
+    # Pairs of parts, meant for larger corpora, miss a pair at the limit itself with odds of a few in a hundred.
+    assert kept == want if layouts else want <= kept and len(kept - want) <= 1
 
 
 def test_stage_of_the_pipeline(spark):
@@ -86,11 +88,13 @@ def test_plan_keeps_the_pigeonhole_sum():
         m = np.full((16, 65, 65), n / 4.0)
         m[:, range(64), range(64)] = m[:, 64, :64] = m[:, :64, 64] = n / 2 * (1 + 0.01 * rng.standard_normal((16, 64)))
         m[:, 64, 64] = n
-        parts = neardup.plan_parts(m, neardup.NearParams())
-        assert sum(e for _, _, e in parts) == 80
-        assert all(len(set(bits)) == len(bits) for _, bits, _ in parts)
-        longest = max(len(bits) for _, bits, _ in parts)
+        parts = neardup.plan_parts(m, neardup.NearParams(arrangements=0))
+        assert sum(e for _, e in parts) == 80
+        assert all(len(set(bits)) == len(bits) for ((_, bits),), _ in parts)
+        longest = max(len(bits) for ((_, bits),), _ in parts)
         assert longest == 13 if n <= 10**5 else longest > 13
+        paired = neardup.plan_parts(m, neardup.NearParams())
+        assert paired == parts if n <= 10**5 else all(len(x) == 2 and e == 1 for x, e in paired)
 
 
 @pytest.mark.parametrize("share, most", [(0.8, 0.001), (0.9, 0.0)])
