@@ -32,4 +32,13 @@ def kept(df: DataFrame) -> DataFrame:
     iteration grow from round to round until planning no longer ends."""
     path = fresh(df.sparkSession, "round")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._kept_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that kept() made, once nothing to come reads them: what was made from them must be kept itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

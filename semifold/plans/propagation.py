@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semifold.operators.dataset import uniform
+from semifold.operators.lineage import dropped
 from semifold.operators.lineage import kept as _kept
 
 
@@ -88,8 +89,9 @@ def map_states(beliefs: DataFrame) -> DataFrame:
     return beliefs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1).select("v", "s")
 
 
-def mean_field(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """Fully factorised approximation (v, s, q); all nodes are updated together in each round with half damping."""
+def mean_field(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.5, tolerance: float = 0.0) -> DataFrame:
+    """Fully factorised approximation (v, s, q): all nodes are updated together in each round, keeping a share of the old
+    value (damping), until none moves by tolerance or the rounds are over. Values must be positive."""
     both = _kept(_directed(edges))
     q = _kept(_normalised(nodes.select("v", "s", F.col("value").alias("q")), ["v"], "q"))
     for _ in range(rounds):
@@ -97,5 +99,9 @@ def mean_field(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
         raw = nodes.join(pull, ["v", "s"], "left").withColumn("l", F.ln("value") + F.coalesce("pull", F.lit(0.0)))
         raw = raw.withColumn("new", F.exp(F.col("l") - F.max("l").over(Window.partitionBy("v"))))
         new = _normalised(raw.select("v", "s", "new"), ["v"], "new")
-        q = _kept(new.join(q, ["v", "s"]).select("v", "s", ((F.col("new") + F.col("q")) / 2).alias("q")))
-    return q
+        step = _kept(new.join(q, ["v", "s"]).select("v", "s", ((1 - damping) * F.col("new") + damping * F.col("q")).alias("q"), F.abs(F.col("new") - F.col("q")).alias("moved")))
+        dropped(q)
+        q = step
+        if tolerance and (q.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            break
+    return q.select("v", "s", "q")
