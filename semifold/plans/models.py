@@ -179,6 +179,39 @@ class Decomposable:
         parts = [f.entropy() for f in self.cliques] + [f.entropy().select((-F.col("value")).alias("value")) for f in self.separators()]
         return reduce(DataFrame.unionAll, parts).agg(F.sum("value").alias("value"))
 
+    def conditionals(self) -> list[tuple[tuple[str, ...], tuple[str, ...], Factor]]:
+        """(new arguments, arguments known before, their conditional factor) of the cliques, along the tree."""
+        out, done = [], set()
+        for root in range(len(self.cliques)):
+            queue = [] if root in done else [root]
+            for k in queue:
+                if k in done:
+                    continue
+                done.add(k)
+                known = {a for new, _, _ in out for a in new} & set(self.cliques[k].args)
+                new = tuple(a for a in self.cliques[k].args if a not in known)
+                out.append((new, tuple(sorted(known)), self.cliques[k].conditional(*sorted(known)) if known else self.cliques[k]))
+                queue += [n for n in self.tree.near(k) if n not in done]
+        return out
+
+    def map_assignment(self, evidence: dict[str, object] | None = None) -> DataFrame:
+        """The most probable assignment of what evidence leaves open: one row."""
+        return max_product_assignment([g for _, _, f in self.conditionals() if (g := f.restrict(evidence or {})).args])
+
+    def given(self, evidence: dict[str, object], *query: str) -> Factor:
+        """p(query | evidence), by elimination over the cliques' conditionals."""
+        return eliminate([f for _, _, f in self.conditionals()], query, evidence=evidence).normalize()
+
+    def sample(self, ids: DataFrame, key: str, seed: int = 0) -> DataFrame:
+        """One joint sample for each row of ids: cliques along the tree, a clique's new arguments one after the other."""
+        out = ids
+        for new, known, f in self.conditionals():
+            for k, v in enumerate(new):
+                before = (*known, *new[:k])
+                joint = f.marginal(*before, v)
+                out = draw(out, joint.conditional(*before) if before else joint, v, before, uniform(F.lit(v), key, seed=seed))
+        return out
+
     def log_likelihood(self, df: DataFrame) -> DataFrame:
         parts = [f.log_likelihood(df) for f in self.cliques] + [f.log_likelihood(df).select((-F.col("value")).alias("value")) for f in self.separators()]
         return reduce(DataFrame.unionAll, parts).agg(F.sum("value").alias("value"))

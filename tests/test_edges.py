@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from semifold.functions import scalar
 from semifold.operators import dataset, gaussian, graph, learning, optimize, statistics
 from semifold.operators.factor import Factor
-from semifold.plans import junction, models
+from semifold.plans import junction, models, registry, sampling
 
 
 def test_numbers_are_consecutive_with_ties_and_one_key(spark):
@@ -97,6 +97,33 @@ def test_spanning_forest_is_kruskals(spark):
     assert len(got) == 29 and sum(r["weight"] for r in got) == total
 
 
+def test_spanning_forest_of_order_lines_is_kruskals(spark):
+    edges = [tuple(r) for r in registry.price_graph(spark, "/root/testdata/sf0.001").select("weight", "src", "dst").collect()]
+    root: dict = {x: x for _, a, b in edges for x in (a, b)}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    want = set()
+    for w, a, b in sorted(edges):
+        if top(a) != top(b):
+            root[top(a)] = top(b)
+            want.add((w, a, b))
+    got = {(r["weight"], r["src"], r["dst"]) for r in registry.QUERIES["graph_spanning_tree"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
+
+
+def test_colours_differ_along_edges(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 40, (160, 2))] + [(99, k) for k in range(40)]
+    nodes = spark.createDataFrame([(k,) for k in [*range(40), 99, 100]], "v long")
+    got = {r["v"]: r["colour"] for r in sampling.colours(nodes, spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert len(got) == 42 and all(got[a] != got[b] for a, b in edges if a != b)
+
+
 @pytest.mark.parametrize("method", ["gradient", "conjugate", "lbfgs"])
 def test_minimisers(method):
     a = np.diag([1.0, 4.0, 9.0])
