@@ -72,7 +72,9 @@ class Mixture:
     def density(self, rows: DataFrame) -> DataFrame:
         """rows (keys and a column for each argument, distinct) with value, the mixture's logarithm there."""
         columns = rows.columns
-        each = self.parts.log_value(rows).withColumn("_t", F.max("value").over(Window.partitionBy(*columns)))
+        names = self.parts.df.select(*self.parts.keys)
+        asked = rows.join(names, list(self.keys)) if self.keys else rows.crossJoin(names)  # a row for each component
+        each = self.parts.log_value(asked).withColumn("_t", F.max("value").over(Window.partitionBy(*columns)))
         return each.groupBy(*columns).agg((F.ln(F.sum(F.exp(F.col("value") - F.col("_t")))) + F.first("_t")).alias("value"))
 
     def collapsed(self) -> Gaussians:

@@ -9,7 +9,8 @@ model may have millions of factors, and a round of messages is a fixed number of
   counting numbers of any depth (Kikuchi); the base regions' pairwise intersections alone give Bethe's numbers.
 - `generalised_beliefs`: parent-to-child messages over a region graph. A region's belief is its factors times all messages
   that enter the region or a region inside of it from outside; a message is corrected by the ratio of the parent's marginal
-  to the child's belief. What enters where does not change, so it is found once and stored.
+  to the child's belief, larger children first: corrected all together, several parents of a child overshoot in turns.
+  What enters where does not change, so it is found once and stored.
 
 Values must not be negative; cells of value 0 may be left out. Each round is a table in the session's shared folder, and the
 table of the round before is deleted.
@@ -209,19 +210,22 @@ def generalised_beliefs(base: DataFrame, cells: DataFrame, rounds: int, damping:
     messages = kept(links.select("a", "b", "at").distinct().withColumn("m", F.lit(0.0)))
 
     def held() -> DataFrame:
-        came = uses.join(messages, ["a", "b", "at"]).groupBy("r", "states").agg(F.sum("m").alias("x"))
+        came = uses.join(messages.select("a", "b", "at", "m"), ["a", "b", "at"]).groupBy("r", "states").agg(F.sum("m").alias("x"))
         x = table.select(F.col("vars").alias("r"), "states", "own").join(came, ["r", "states"], "left").select("r", "states", (F.col("own") + F.coalesce("x", F.lit(0.0))).alias("x"))
         return _shares(x, ["r"], "x").select("r", "states", "belief")
 
+    sizes = [r[0] for r in edges.select(F.size("b")).distinct().orderBy(F.desc(F.size("b"))).collect()]  # few: regions are small
     for _ in range(rounds):
-        now = kept(held())
-        parent = links.join(now.select(F.col("r").alias("a"), "states", "belief"), ["a", "states"]).groupBy("a", "b", "at").agg(F.sum("belief").alias("above"))
-        child = now.select(F.col("r").alias("b"), F.col("states").alias("at"), "belief")
-        ratio = parent.join(child, ["b", "at"]).withColumn("move", F.ln(F.greatest("above", F.lit(1e-300))) - F.ln(F.greatest("belief", F.lit(1e-300))))
-        moved = messages.select("a", "b", "at", "m").join(ratio.select("a", "b", "at", "move"), ["a", "b", "at"], "left")
-        before, messages = messages, kept(moved.select("a", "b", "at", (F.col("m") + (1 - damping) * F.coalesce("move", F.lit(0.0))).alias("m"), F.abs("move").alias("moved")))
-        most = messages.agg(F.max("moved")).first()[0] or 0.0
-        dropped(before, now)
+        most = 0.0
+        for size in sizes:
+            now = kept(held())
+            parent = links.where(F.size("b") == size).join(now.select(F.col("r").alias("a"), "states", "belief"), ["a", "states"]).groupBy("a", "b", "at").agg(F.sum("belief").alias("above"))
+            child = now.select(F.col("r").alias("b"), F.col("states").alias("at"), "belief")
+            ratio = parent.join(child, ["b", "at"]).withColumn("move", F.ln(F.greatest("above", F.lit(1e-300))) - F.ln(F.greatest("belief", F.lit(1e-300))))
+            moved = messages.select("a", "b", "at", "m").join(ratio.select("a", "b", "at", "move"), ["a", "b", "at"], "left")
+            before, messages = messages, kept(moved.select("a", "b", "at", (F.col("m") + (1 - damping) * F.coalesce("move", F.lit(0.0))).alias("m"), F.abs("move").alias("moved")))
+            most = max(most, messages.agg(F.max("moved")).first()[0] or 0.0)
+            dropped(before, now)
         if most <= tolerance:
             break
     return held().select(F.col("r").alias("vars"), "states", "belief")
