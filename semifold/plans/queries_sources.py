@@ -111,10 +111,13 @@ def _is_folder(spark, path: str) -> bool:
 
 
 def finished(df, spark, mode: str):
-    """The stream's result once all its input is read: a table in memory, for results of a few rows."""
-    name = fresh(spark, "stream").rsplit("/", 1)[-1].replace("-", "_")
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", fresh(spark, "progress")).start().awaitTermination()
-    return spark.table(name)
+    """The stream's result once all its input is read: a table in the session's folder, which micro-batches append to, or
+    write anew in the mode complete."""
+    path, schema = fresh(spark, "stream"), df.schema
+    spark.createDataFrame([], schema).write.parquet(path)
+    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    df.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", fresh(spark, "progress")).start().awaitTermination()
+    return spark.read.schema(schema).parquet(path)
 
 
 @query("SELECT event_type, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1")
