@@ -212,3 +212,29 @@ def search_sequence(df: DataFrame, seq: str, t: str, column: str, pattern: list)
     """Places (seq, t) where the values of pattern stand one after another."""
     wide = sliding(df, seq, t, [column], len(pattern) - 1)
     return reduce(lambda x, kv: x.where(F.col(f"{column}__{kv[0]}") == F.lit(kv[1])), enumerate(pattern), wide).select(seq, t)
+
+
+# Views of sequences: tables of steps (a sequence's key, t from 0).
+
+
+def numbered_steps(df: DataFrame, sequence: str, *order: str) -> DataFrame:
+    """df with t, the place of each row in its sequence. A window over one sequence: its rows stream through a sorted task."""
+    return df.withColumn("t", (F.row_number().over(Window.partitionBy(sequence).orderBy(*order)) - 1).cast("long"))
+
+
+def sequence_slice(df: DataFrame, t: str, begin: int, end: int) -> DataFrame:
+    """The steps from begin up to end (not included), numbered from 0; sequences without such steps are left out."""
+    return df.where((F.col(t) >= begin) & (F.col(t) < end)).withColumn(t, F.col(t) - begin)
+
+
+def shuffled_sequences(df: DataFrame, sequence: str, seed: int = 0) -> DataFrame:
+    """df with place: whole sequences in a seeded permutation. Only the keys are put in order, not the steps."""
+    keys = shuffled(df.select(sequence).distinct(), sequence, seed)
+    return df.join(keys.select(sequence, F.col("position").alias("place")), sequence)
+
+
+def inserted_sequences(df: DataFrame, more: DataFrame, sequence: str) -> DataFrame:
+    """The sequences of both; an error where a sequence of more is there already."""
+    there = df.select(sequence).distinct().withColumn("_there", F.lit(True))
+    checked = more.join(there, sequence, "left").withColumn(sequence, F.when(F.col("_there").isNull(), F.col(sequence)).otherwise(F.raise_error(F.lit("a sequence is there already"))))
+    return df.unionByName(checked.select(*df.columns))
