@@ -164,3 +164,53 @@ def hill_climb(h: Entropies, start: Attached, width: int, penalty: float = 0.0,
             break
         best, at = m, to
     return best, at
+
+
+# Trees for conditional random fields: which labels to join, given what is seen.
+
+
+def conditional_weights(h: Entropies, labels: list[str], seen: dict[str, list[str]], kind: str = "information") -> dict[tuple[str, str], float]:
+    """A weight of each pair of labels given the columns seen[label] of both (their union):
+
+    information: the conditional mutual information of the labels; piecewise: the mean log of p(both | seen), the pair's own
+    conditional likelihood; influence: what that exceeds the labels' own, each given its own columns alone. All sets of
+    columns are counted together."""
+    pairs = list(combinations(labels, 2))
+    x = {(a, b): frozenset(seen.get(a, ())) | frozenset(seen.get(b, ())) for a, b in pairs}
+    own = {a: frozenset(seen.get(a, ())) for a in labels}
+    needed = [x[p] | extra for p in pairs for extra in ({*p}, {p[0]}, {p[1]}, set())] + [own[a] | extra for a in labels for extra in ({a}, set())]
+    h.ask(needed)
+    given = lambda s, c: h[s | c] - h[c]
+    out = {}
+    for a, b in pairs:
+        both = given(frozenset((a, b)), x[a, b])
+        if kind == "information":
+            out[a, b] = given(frozenset([a]), x[a, b]) + given(frozenset([b]), x[a, b]) - both
+        elif kind == "piecewise":
+            out[a, b] = -both
+        elif kind == "influence":
+            out[a, b] = given(frozenset([a]), own[a]) + given(frozenset([b]), own[b]) - both
+        else:
+            raise ValueError(kind)
+    return out
+
+
+def heaviest_tree(weights: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
+    """The edges of the spanning tree of largest weight (ties by name), each parent before its children."""
+    root = {c: c for pair in weights for c in pair}
+
+    def top(c: str) -> str:
+        return c if root[c] == c else top(root[c])
+
+    picked = []
+    for (a, b), _ in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+        if top(a) != top(b):
+            root[top(a)] = top(b)
+            picked.append((a, b))
+    out, done = [], [min(root)] if root else []
+    for c in done:
+        for a, b in picked:
+            if c in (a, b) and (other := b if c == a else a) not in done:
+                done.append(other)
+                out.append((c, other))
+    return out

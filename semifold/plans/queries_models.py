@@ -240,6 +240,18 @@ def graph_balanced_parts(spark, d):
     return graph.balanced_parts(_dag(spark, d), 4).groupBy("part").agg(F.count("*").alias("n"))
 
 
+@query("WITH c AS (SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(DISTINCT c_nationkey) FROM customer) AS n) SELECT p::INT AS part, ceil((p + 1) * n / 4.0)::BIGINT - ceil(p * n / 4.0)::BIGINT AS n, true AS smaller FROM c, range(4) r(p)")
+def graph_refined_parts(spark, d):
+    """Orders, customers and nations cut into four runs of one size, and refined: sizes stay, the cut falls by two fifths."""
+    o, c = t(spark, d, "orders"), t(spark, d, "customer")
+    edges = o.select((F.col("o_orderkey") * 3).alias("src"), (F.col("o_custkey") * 3 + 1).alias("dst"))
+    edges = edges.unionByName(c.select((F.col("c_custkey") * 3 + 1).alias("src"), (F.col("c_nationkey").cast("long") * 3 + 2).alias("dst")))
+    before = graph.balanced_parts(edges, 4)
+    after = graph.refined_parts(edges, before, rounds=8)
+    cuts = graph.cut_size(edges, before).select(F.col("value").alias("b")).crossJoin(graph.cut_size(edges, after).select(F.col("value").alias("a")))
+    return after.groupBy("part").agg(F.count("*").alias("n")).crossJoin(cuts.select((5 * F.col("a") < 3 * F.col("b")).alias("smaller")))
+
+
 # Learning and validation.
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from semifold.operators import gaussian
 from semifold.operators.mixture import Mixture
-from semifold.operators.structure import Entropies, empty_model, hill_climb
+from semifold.operators.structure import Entropies, conditional_weights, empty_model, heaviest_tree, hill_climb
 from semifold.plans import models
 from semifold.plans.registry import query, r, t
 
@@ -60,6 +60,22 @@ def decomposable_sample(spark, d):
     return r(both.select("flag", "status", (F.col("n") / total).alias("value"), (F.abs(F.coalesce("m", F.lit(0)) - F.col("n")) / total < 0.02).alias("near")), "value", places=5)
 
 
+@query(f"""WITH b AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, c_mktsegment AS segment, CAST(floor(o_totalprice / 100000) AS INT) AS price FROM orders JOIN customer ON o_custkey = c_custkey),
+h AS (SELECT {_entropy(["price"])} AS x), w AS (
+SELECT 'priority' AS a, 'segment' AS b, {_entropy(["priority", "price"])} + {_entropy(["segment", "price"])} - h.x - {_entropy(["priority", "segment", "price"])} AS w FROM h
+UNION ALL SELECT 'priority', 'status', {_entropy(["priority", "price"])} + {_entropy(["status", "price"])} - h.x - {_entropy(["priority", "status", "price"])} FROM h
+UNION ALL SELECT 'segment', 'status', {_entropy(["segment", "price"])} + {_entropy(["status", "price"])} - h.x - {_entropy(["segment", "status", "price"])} FROM h)
+SELECT a, b, round(w, 6) AS weight, row_number() OVER (ORDER BY w DESC) <= 2 AS joined FROM w""")
+def conditional_tree(spark, d):
+    """Conditional information of the labels of an order given its price, and the tree of largest weight over them."""
+    rows = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    labels = ["priority", "segment", "status"]
+    rows = rows.select(F.col("o_orderpriority").alias("priority"), F.col("c_mktsegment").alias("segment"), F.col("o_orderstatus").alias("status"), F.floor(F.col("o_totalprice") / 100000).cast("int").alias("price"))
+    weights = conditional_weights(Entropies(rows, [*labels, "price"]), labels, {c: ["price"] for c in labels})
+    tree = {frozenset(e) for e in heaviest_tree(weights)}
+    return r(spark.createDataFrame([(a, b, w, frozenset((a, b)) in tree) for (a, b), w in weights.items()], "a string, b string, weight double, joined boolean"), "weight")
+
+
 # A mixture over quantity and discount with a component for each flag.
 
 MIX = """WITH m AS (SELECT l_returnflag AS component, count(*)::DOUBLE AS n, avg(l_quantity) AS mq, avg(l_discount) AS md, var_pop(l_quantity) AS vq, var_pop(l_discount) AS vd, covar_pop(l_quantity, l_discount) AS c FROM lineitem GROUP BY 1),

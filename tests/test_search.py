@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from semifold.operators import graph
 from semifold.operators.gaussian import Gaussians
 from semifold.operators.mixture import Mixture
-from semifold.operators.structure import Entropies, empty_model, hill_climb, leaf_moves, push_moves, star_model, swap_moves
+from semifold.operators.structure import Entropies, conditional_weights, empty_model, heaviest_tree, hill_climb, leaf_moves, push_moves, star_model, swap_moves
 from semifold.plans.models import Decomposable
 
 NAMES = list("abcde")
@@ -114,3 +115,33 @@ def test_mixture_algebra(spark):
         assert x["mean"] == pytest.approx(y["mean"]) and x["cov"] == pytest.approx(y["cov"]) and x["log_norm"] == pytest.approx(y["log_norm"])
     with pytest.raises(ValueError):
         Mixture(Gaussians.from_moments(spark.createDataFrame([([0.0], [1.0])], "mean array<double>, cov array<double>"), (), ("x",)))
+
+
+def test_conditional_weights_find_the_planted_tree(spark):
+    """Labels that follow each other along a path, and a feature that makes all of them alike."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(4000):
+        x = int(rng.integers(0, 2))
+        b = int(rng.random() < 0.5)
+        a, c = (int(b ^ (rng.random() < 0.15)) for _ in range(2))
+        d = int(c ^ (rng.random() < 0.15))
+        rows.append((*(v + 2 * x for v in (a, b, c, d)), x))
+    h = Entropies(spark.createDataFrame(rows, "a int, b int, c int, d int, x int"), list("abcdx"))
+    seen = {c: ["x"] for c in "abcd"}
+    for kind in ("information", "influence"):
+        assert heaviest_tree(conditional_weights(h, list("abcd"), seen, kind)) == [("a", "b"), ("b", "c"), ("c", "d")]
+    assert h.passes == 1
+    p = conditional_weights(h, list("abcd"), seen, "piecewise")
+    n = Counter((r[0], r[1], r[4]) for r in rows)
+    m = Counter(r[4] for r in rows)
+    assert p["a", "b"] == pytest.approx(sum(k * np.log(k / m[x]) for (_, _, x), k in n.items()) / len(rows))
+
+
+def test_refined_parts_separate_cliques(spark):
+    edges = [(10 * g + i, 10 * g + j) for g in range(2) for i in range(8) for j in range(i)] + [(0, 10)]
+    parts = [(10 * g + i, (g + (i > 4)) % 2) for g in range(2) for i in range(8)]
+    e, p = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(parts, "id long, part int")
+    after = graph.refined_parts(e, p)
+    assert Counter(r["part"] for r in after.collect()) == Counter(k for _, k in parts)
+    assert graph.cut_size(e, p).first()[0] > 30 and graph.cut_size(e, after).first()[0] == 1
