@@ -126,7 +126,8 @@ def window_runs(s: Shard, gone: np.ndarray, p: SubstringParams) -> tuple[np.ndar
     new |= (np.arange(len(at)) - head) % 64 == 0
     heads = np.flatnonzero(new)
     first = at[heads]
-    where = np.concatenate([(h[part[:, None] + np.arange(span)] == low[heads[k : k + 65536], None]).argmax(axis=1) for k in range(0, len(first), 65536) for part in [first[k : k + 65536]]])
+    strings = np.lib.stride_tricks.sliding_window_view(h, span)  # a row for each window: its strings' hashes
+    where = np.concatenate([(strings[first[k : k + 8192]] == low[heads[k : k + 8192], None]).argmax(axis=1) for k in range(0, len(first), 8192)])
     return first, np.diff(np.concatenate([heads, [len(at)]])), where
 
 

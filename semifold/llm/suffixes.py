@@ -19,10 +19,13 @@ def _ordered(*parts: np.ndarray, bits: int) -> np.ndarray:
     """
     n = len(parts[0])
     if bits * (len(parts) + 1) <= 63:
-        key = parts[0]
+        key = parts[0].astype(np.int64)
         for x in (*parts[1:], np.arange(n)):
-            key = (key << bits) | x
-        return np.sort(key) & ((1 << bits) - 1)
+            key <<= bits
+            key |= x
+        key.sort()
+        key &= (1 << bits) - 1
+        return key
     return np.lexsort(parts[::-1])
 
 
@@ -37,22 +40,29 @@ def suffix_array(data: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarr
     n = len(data)
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    place = np.int32 if n < 2**31 - 1 else np.int64  # half the bytes to fetch from places all over the text
     bits = int(n + 1).bit_length()
     present = np.bincount(data, minlength=256) > 0
     symbol = np.cumsum(present)  # 0 is left for what lies beyond the end
     width = max(int(symbol[-1]).bit_length(), 1)
     h = min((63 - bits) // width, depth or 64)
     code = np.concatenate([symbol[data], np.zeros(h, np.int64)])
-    key = code[:n].copy()
+    sorted_key = code[:n].copy()
     for k in range(1, h):
-        key = (key << width) | code[k : n + k]
-    sorted_key = np.sort((key << bits) | np.arange(n))
-    sa = sorted_key & ((1 << bits) - 1)
+        sorted_key <<= width
+        sorted_key |= code[k : n + k]
+    sorted_key <<= bits
+    sorted_key |= np.arange(n)
+    sorted_key.sort()
+    sa = (sorted_key & ((1 << bits) - 1)).astype(place)
     sorted_key >>= bits
-    rank = np.full(n + 1, -1, np.int64)  # beyond the end: below all others
     head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    places, group, started = np.arange(n), rank[sa], False
+    del code, sorted_key
+    places = np.arange(n, dtype=place)
+    group = np.maximum.accumulate(np.where(head, places, place(0)))
+    rank = np.full(n + 1, -1, place)  # beyond the end: below all others
+    rank[sa] = group
+    started = False
     while True:
         same = group[1:] == group[:-1]
         left = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
@@ -64,12 +74,12 @@ def suffix_array(data: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarr
             return sa, rank[:n], tied
         places, group = places[left], group[left]
         at = sa[places]
-        after = rank[np.minimum(at + h, n)] + 1
+        after = rank[np.minimum(at.astype(np.int64) + h, n)] + place(1)
         order = _ordered(group, after, bits=bits)
-        at, group, after = at[order], group[order], after[order]
+        at, after = at[order], after[order]  # groups lie one after the other: their column stays as it is
         sa[places] = at
         first = np.concatenate([[True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])])
-        group = places[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+        group = places[np.maximum.accumulate(np.where(first, np.arange(len(at), dtype=place), place(0)))]
         rank[at] = group
         h *= 2
 
