@@ -4,7 +4,8 @@ A model is a table of factor cells: f (the factor), vars (its variables, sorted)
 model may have millions of factors, and a round of messages is a fixed number of joins and group-bys over all of them:
 
 - `Bethe`: messages between variables and factors, in logarithms. A variable's messages combine before the shuffle, and in
-  the join that returns them a hub is the one-row side.
+  the join that returns them a hub is the one-row side. Rounds may be synchronous, by residual, or splashes on local trees.
+- `pairwise`: wide factors as pairs with a hidden variable.
 - `regions_closed`, `counting_numbers`: a region graph closed under intersection by a fixpoint of self-joins, and its
   counting numbers of any depth (Kikuchi); the base regions' pairwise intersections alone give Bethe's numbers.
 - `generalised_beliefs`: parent-to-child messages over a region graph. A region's belief is its factors times all messages
@@ -59,10 +60,15 @@ class Bethe:
         self.messages = kept(self.args.select("f", "v", "s").distinct().withColumn("m", F.lit(0.0)))
         self.rounds = self.sent = 0
 
-    def _to_factors(self) -> DataFrame:
-        """f, v, s and n: what the variable says without the factor's own message, its largest number 0."""
-        total = self.messages.groupBy("v", "s").agg(F.sum("m").alias("all"))
-        said = self.messages.join(total, ["v", "s"]).withColumn("n", F.col("all") - F.col("m"))
+    def _to_factors(self, active: DataFrame | None = None) -> DataFrame:
+        """f, v, s and n: what the variable says without the factor's own message, its largest number 0. active: only to
+        these factors (f)."""
+        own = near = self.messages
+        if active is not None:
+            own = self.messages.join(active, "f", "left_semi")
+            near = self.messages.join(own.select("v").distinct(), "v", "left_semi")
+        total = near.groupBy("v", "s").agg(F.sum("m").alias("all"))
+        said = own.join(total, ["v", "s"]).withColumn("n", F.col("all") - F.col("m"))
         return said.withColumn("n", F.col("n") - F.max("n").over(Window.partitionBy("f", "v"))).select("f", "v", "s", "n", "m")
 
     def _weighed(self, said: DataFrame) -> DataFrame:
@@ -71,12 +77,16 @@ class Bethe:
         weight = held.groupBy("f", "cell").agg(F.sum("n").alias("w")).join(self.cells, ["f", "cell"]).select("f", "cell", (F.col("w") + F.col("own")).alias("w"))
         return held.join(weight, ["f", "cell"]).withColumn("w", F.col("w") - F.max("w").over(Window.partitionBy("f")))
 
+    def proposed(self, active: DataFrame | None = None, damping: float = 0.0, maximise: bool = False) -> DataFrame:
+        """f, v, s, m, new and moved: the messages that factors (those of active, f) would send now."""
+        fold = F.max("w") if maximise else F.ln(F.sum(F.exp("w")))
+        new = self._weighed(self._to_factors(active)).groupBy("f", "v", "s").agg((fold - F.first("n")).alias("new"), F.first("m").alias("m"))
+        new = new.withColumn("new", F.greatest(F.col("new") - F.max("new").over(Window.partitionBy("f", "v")), F.lit(-700.0)))
+        return new.withColumns({"moved": F.abs(F.col("new") - F.col("m")), "new": (1 - damping) * F.col("new") + damping * F.col("m")})
+
     def run(self, rounds: int, damping: float = 0.0, tolerance: float = 1e-9, share: float = 0.0, maximise: bool = False) -> Bethe:
         for _ in range(rounds):
-            fold = F.max("w") if maximise else F.ln(F.sum(F.exp("w")))
-            new = self._weighed(self._to_factors()).groupBy("f", "v", "s").agg((fold - F.first("n")).alias("new"), F.first("m").alias("m"))
-            new = new.withColumn("new", F.greatest(F.col("new") - F.max("new").over(Window.partitionBy("f", "v")), F.lit(-700.0)))
-            new = new.withColumns({"moved": F.abs(F.col("new") - F.col("m")), "new": (1 - damping) * F.col("new") + damping * F.col("m")})
+            new = self.proposed(None, damping, maximise)
             if share:
                 new = new.withColumn("own", F.max("moved").over(Window.partitionBy("f", "v")))
             stepped = kept(new)
@@ -90,6 +100,54 @@ class Bethe:
                 break
         return self
 
+    def splash(self, rounds: int, depth: int, tolerance: float = 1e-9, maximise: bool = False) -> Bethe:
+        """Rounds of residual splashes. Roots are the factors whose messages would move by more than those of any factor
+        beside them, so many trees grow at once, none of them into another. A tree takes in the factors up to depth steps
+        from its root; its messages go to the root from the outermost level on and back to the outermost, each computed
+        from those just sent. Only messages that move by more than tolerance are sent and counted in sent.
+
+        Trees grow through variables (a group-by, then a join), so a hub's factors never meet in pairs. A level's messages
+        are computed from the neighbourhood of its factors only; what a level sends is one more table of the messages."""
+        for _ in range(rounds):
+            stepped = kept(self.proposed(None, 0.0, maximise).groupBy("f", "v").agg(F.max("moved").alias("moved")))
+            top = stepped.agg(F.max("moved")).first()[0] or 0.0
+            if top <= tolerance:
+                dropped(stepped)
+                break
+            self.rounds += 1
+            own = stepped.groupBy("f").agg(F.max("moved").alias("moved"))
+            links = stepped.select("f", "v").join(own, "f").withColumn("rank", F.struct("moved", "f"))
+            beside = links.groupBy("v").agg(F.max("rank").alias("most"))
+            roots = links.join(beside, "v").groupBy("f", "moved").agg(F.every(F.col("rank") == F.col("most")).alias("root")).where(F.col("root") & (F.col("moved") > tolerance))
+            trees = kept(roots.select("f", F.lit(None).cast("string").alias("up"), F.lit(0).alias("level"), "moved", F.col("f").alias("root")))
+            for k in range(depth):
+                reached = stepped.select("f", "v").join(trees, "f").groupBy("v").agg(F.max(F.struct("moved", "root")).alias("by"))
+                free = stepped.select("f", "v").join(trees, "f", "left_anti").join(reached, "v").groupBy("f").agg(F.max(F.struct("by", "v")).alias("x"))
+                more = free.select("f", F.col("x.v").alias("up"), F.lit(k + 1).alias("level"), F.col("x.by.moved").alias("moved"), F.col("x.by.root").alias("root"))
+                before, trees = trees, kept(trees.unionByName(more))
+                dropped(before)
+            levels = trees.agg(F.max("level")).first()[0] or 0
+            for level in reversed(range(1, levels + 1)):
+                self._send(trees.where(F.col("level") == level), F.col("v") == F.col("up"), tolerance, maximise)
+            for level in range(levels + 1):
+                self._send(trees.where(F.col("level") == level), F.col("up").isNull() | (F.col("v") != F.col("up")), tolerance, maximise)
+            dropped(stepped, trees)
+        return self
+
+    def _send(self, members: DataFrame, to: Column, tolerance: float, maximise: bool) -> None:
+        """The messages of members (f, up) to the variables that `to` picks, where they move."""
+        own = self.proposed(members.select("f"), 0.0, maximise).join(members.select("f", "up"), "f").where(to)
+        moved = own.withColumn("most", F.max("moved").over(Window.partitionBy("f", "v"))).where(F.col("most") > tolerance)
+        one = F.row_number().over(Window.partitionBy("f", "v").orderBy("s")) == 1
+        sent = kept(moved.select("f", "v", "s", "new", one.alias("one")))
+        count = sent.where("one").count()
+        if count:
+            self.sent += count
+            before = self.messages
+            self.messages = kept(before.join(sent, ["f", "v", "s"], "left").select("f", "v", "s", F.coalesce("new", "m").alias("m")))
+            dropped(before)
+        dropped(sent)
+
     def beliefs(self) -> DataFrame:
         """v, s, belief."""
         total = self.messages.groupBy("v", "s").agg(F.sum("m").alias("x"))
@@ -114,6 +172,24 @@ def _shares(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return df.withColumn("belief", p).withColumn("belief", F.col("belief") / F.sum("belief").over(w))
 
 
+def pairwise(cells: DataFrame, prefix: str = "of:") -> DataFrame:
+    """The same distribution with factors of two variables at most.
+
+    A factor of three or more gets a hidden variable (prefix and its name) whose states are the factor's cells: a factor of
+    the hidden variable alone holds the values, and a factor with each of the old variables, one row a cell, says which of
+    its states the cell has. The old variables keep their marginals; the hidden one's are the factor's beliefs. Cells of
+    value 0 are no states. prefix must not begin the name of a variable."""
+    positive = cells.where("value > 0")
+    hidden = F.concat(F.lit(prefix), F.col("f"))
+    wide = positive.where(F.size("vars") > 2).withColumns({"_hidden": hidden, "_cell": F.to_json("states")})
+    alone = wide.select("f", F.array("_hidden").alias("vars"), F.array("_cell").alias("states"), "value")
+    one = wide.select("f", "_hidden", "_cell", F.posexplode(F.arrays_zip(F.col("vars").alias("v"), F.col("states").alias("s"))).alias("k", "x"))
+    ahead = F.col("_hidden") < F.col("x.v")
+    both = lambda a, b: F.when(ahead, F.array(a, b)).otherwise(F.array(b, a))
+    linked = one.select(F.concat_ws(":", "f", "k").alias("f"), both(F.col("_hidden"), F.col("x.v")).alias("vars"), both(F.col("_cell"), F.col("x.s")).alias("states"), F.lit(1.0).alias("value"))
+    return positive.where(F.size("vars") <= 2).select("f", "vars", "states", "value").unionByName(alone).unionByName(linked)
+
+
 # Region graphs. A region is the sorted array of its variables.
 
 

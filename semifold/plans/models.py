@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from semifold.functions import scalar
 from semifold.operators.dataset import uniform
 from semifold.operators.factor import Factor, product
+from semifold.operators.lineage import kept
 from semifold.operators.statistics import mle_conditional, mle_marginal
+from semifold.operators.structure import heaviest_tree
 from semifold.plans.elimination import eliminate
 from semifold.plans.junction import Calibrated, JunctionTree, shafer_shenoy
 
@@ -217,6 +220,28 @@ class Decomposable:
         return reduce(DataFrame.unionAll, parts).agg(F.sum("value").alias("value"))
 
 
+def thin_projection(model: Calibrated, *args: str) -> tuple[DataFrame, Decomposable]:
+    """The model of a tree over args that is nearest to a calibrated model, by relative entropy: its edges carry the largest
+    total mutual information, and each has the model's own belief of its two arguments.
+
+    Returns the pairs (a, b, information, joined) and the tree's model. Beliefs of pairs are stored, one table each; the driver
+    holds a number a pair."""
+    if len(args) < 2:
+        return _pairs_table(model, {}, set()), Decomposable(JunctionTree([frozenset(args)], []), [model.belief(*args).normalize()] if args else [])
+    beliefs = {(a, b): Factor(kept(model.belief(a, b).normalize().df), (a, b)) for a, b in combinations(sorted(args), 2)}
+    rows = [f.mutual_information((a,), (b,)).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "value") for (a, b), f in beliefs.items()]
+    weights = {(x["a"], x["b"]): x["value"] for x in reduce(DataFrame.unionAll, rows).collect()}  # a row a pair of arguments
+    edges = {frozenset(e) for e in heaviest_tree(weights)}
+    by_scope = {frozenset(e): f for e, f in beliefs.items()}
+    tree = JunctionTree.build([tuple(sorted(e)) for e in sorted(edges, key=sorted)])
+    return _pairs_table(model, weights, edges), Decomposable(tree, [by_scope[c] for c in tree.cliques])
+
+
+def _pairs_table(model: Calibrated, weights: dict[tuple[str, str], float], edges: set[frozenset[str]]) -> DataFrame:
+    rows = [(a, b, w, frozenset((a, b)) in edges) for (a, b), w in weights.items()]
+    return model.beliefs[0].df.sparkSession.createDataFrame(rows, "a string, b string, information double, joined boolean")
+
+
 def max_product_assignment(factors: list[Factor]) -> DataFrame:
     """The assignment of largest product, by max-product elimination and back-tracking: one row.
 

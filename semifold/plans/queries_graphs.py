@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from semifold.plans.factor_graphs import Bethe, cells_of, counting_numbers, generalised_beliefs, regions_closed
+from semifold.plans.factor_graphs import Bethe, cells_of, counting_numbers, generalised_beliefs, pairwise, regions_closed
 from semifold.plans.queries_models import LOOP, loop
 from semifold.plans.registry import query, r, t
 
@@ -47,6 +47,24 @@ def factor_graph_beliefs(spark, d):
     return r(Bethe(pair_cells(spark, d)).run(12).beliefs().where(F.col("v").startswith("r")), "belief", places=5)
 
 
+REGION_BELIEFS = "SELECT 'r' || lpad(reg::VARCHAR, 12, '0') AS v, s::VARCHAR AS s, round(exp(l - m) / sum(exp(l - m)) OVER (PARTITION BY reg), 5) AS belief"
+
+
+@query(f"{PAIRS} {REGION_BELIEFS}, true AS fewer FROM rt")
+def splash_beliefs(spark, d):
+    """Residual splashes on local trees reach the beliefs of synchronous rounds with fewer messages."""
+    cells = pair_cells(spark, d)
+    together, splashed = Bethe(cells).run(12), Bethe(cells).splash(12, 2)
+    b = splashed.beliefs().where(F.col("v").startswith("r")).withColumn("fewer", F.lit(splashed.sent < together.sent))
+    return r(b, "belief", places=5)
+
+
+@query(f"{PAIRS} {REGION_BELIEFS} FROM rt")
+def pairwise_conversion_beliefs(spark, d):
+    """Factors of three as pairs with a hidden variable: the old variables keep their beliefs."""
+    return r(Bethe(pairwise(pair_cells(spark, d))).run(24).beliefs().where(F.col("v").startswith("r")), "belief", places=5)
+
+
 @query(f"{PAIRS} SELECT round(sum(z), 3) AS value FROM (SELECT max(m) + ln(sum(exp(l - m))) AS z FROM rt GROUP BY reg)")
 def factor_graph_log_normaliser(spark, d):
     """The Bethe estimate of the log normaliser, exact on a tree."""

@@ -28,6 +28,18 @@ def shares(spark, f: Factor):
     return r(f.normalize().df, "value")
 
 
+_INFORMATION = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, sum(p * ln(p / (x * y))) AS i FROM (SELECT p, sum(p) OVER (PARTITION BY {a}) AS x, sum(p) OVER (PARTITION BY {b}) AS y FROM (SELECT {a}, {b}, sum(v) / sum(sum(v)) OVER () AS p FROM m GROUP BY {a}, {b})) WHERE p > 0"
+    for a, b in (("priority", "segment"), ("priority", "status"), ("segment", "status"))
+)
+
+
+@query(f"{LOOP}, w AS ({_INFORMATION}) SELECT a, b, round(i, 6) AS information, row_number() OVER (ORDER BY i DESC) <= 2 AS joined FROM w")
+def thin_projection(spark, d):
+    """The tree over three arguments of a model with a loop that keeps most of their information."""
+    return r(models.thin_projection(junction.shafer_shenoy(loop(spark, d)), "priority", "segment", "status")[0], "information")
+
+
 @query(f"{LOOP} SELECT priority, status, round(sum(v) / sum(sum(v)) OVER (), 6) AS value FROM m GROUP BY priority, status")
 def junction_tree_beliefs(spark, d):
     return shares(spark, junction.shafer_shenoy(loop(spark, d)).belief("priority", "status"))

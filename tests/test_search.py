@@ -10,10 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from semifold.operators import graph
+from semifold.operators.factor import Factor
 from semifold.operators.gaussian import Gaussians
 from semifold.operators.mixture import Mixture
 from semifold.operators.structure import Entropies, conditional_weights, empty_model, heaviest_tree, hill_climb, leaf_moves, push_moves, star_model, swap_moves
-from semifold.plans.models import Decomposable
+from semifold.plans.junction import shafer_shenoy
+from semifold.plans.models import Decomposable, thin_projection
 
 NAMES = list("abcde")
 
@@ -145,3 +147,25 @@ def test_refined_parts_separate_cliques(spark):
     after = graph.refined_parts(e, p)
     assert Counter(r["part"] for r in after.collect()) == Counter(k for _, k in parts)
     assert graph.cut_size(e, p).first()[0] > 30 and graph.cut_size(e, after).first()[0] == 1
+
+
+def test_thin_projection(spark):
+    rng = np.random.default_rng(4)
+    joint = np.exp(rng.normal(size=(2, 2, 3)))
+    joint /= joint.sum()
+    cells = [(a, b, c, float(joint[a, b, c])) for a in range(2) for b in range(2) for c in range(3)]
+    model = shafer_shenoy([Factor(spark.createDataFrame(cells, "a int, b int, c int, value double"), ("a", "b", "c"))])
+    pairs, tree = thin_projection(model, "a", "b", "c")
+    told = {(x["a"], x["b"]): (x["information"], x["joined"]) for x in pairs.collect()}
+    for (x, y), gone in {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 0}.items():
+        p = joint.sum(axis=gone)
+        assert told[x, y][0] == pytest.approx(float((p * np.log(p / p.sum(1, keepdims=True) / p.sum(0, keepdims=True))).sum()))
+    assert sorted(t for _, t in told.values()) == [False, True, True] and not told[min(told, key=lambda k: told[k][0])][1]
+    # The tree's joint: product of the two pairs over the argument between them.
+    (u, v), (w, x) = (k for k, t in told.items() if t[1])
+    middle = ({u, v} & {w, x}).pop()
+    axes = {"a": 0, "b": 1, "c": 2}
+    over = lambda keep: joint.sum(axis=tuple(k for n, k in axes.items() if n not in keep), keepdims=True)
+    want = over({u, v}) * over({w, x}) / over({middle})
+    got = {(r["a"], r["b"], r["c"]): r["value"] for r in tree.joint().df.collect()}
+    assert got == pytest.approx({k: float(want[k]) for k in product(range(2), range(2), range(3))})
