@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from semifold.functions.scalar import logistic
 from semifold.operators.dataset import sliding
 from semifold.operators.factor import Factor
-from semifold.operators.lineage import kept
+from semifold.operators.lineage import dropped, kept
 from semifold.operators.optimize import Options, minimise
 from semifold.operators.statistics import mle_conditional, mle_marginal, pairwise_information
 
@@ -229,11 +229,13 @@ def zoomed(axes: dict[str, tuple[float, float]], best: dict[str, float], steps:
 
 def cross_validated(df: DataFrame, folds: int, points: list[dict[str, float]], fit, score, column: str = "fold") -> list[dict[str, float]]:
     """For each parameter point the mean and the deviation of score(model, held-out rows) over the folds of a column. fit
-    takes (rows, **point); score returns a one-row DataFrame with value, larger being better."""
-    out = []
+    takes (rows, **point); score returns a one-row DataFrame with value, larger being better. Rows are computed once, not
+    for every point and fold."""
+    out, df = [], kept(df)
     for point in points:
         values = [score(fit(df.where(F.col(column) != k), **point), df.where(F.col(column) == k)).first()["value"] for k in range(folds)]
         out.append({**point, "mean": float(np.mean(values)), "dev": float(np.std(values))})
+    dropped(df)
     return out
 
 
