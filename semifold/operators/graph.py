@@ -44,15 +44,17 @@ def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and component (the least id reachable): neighbours' least label, then the label's own label, until stable."""
+    """id and component (the least id reachable): neighbours' least label, then the label's own label, until stable.
+
+    Sides grow with the graph, so none is broadcast, however small its file: the driver would hold it in every round."""
     both = _kept(undirected(edges).distinct())
     labels = _kept(both.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id")))
     while True:
-        near = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("least"))
-        stepped = labels.join(near, labels["id"] == near["src"]).select("id", F.least("component", "least").alias("component"))
+        near = both.join(labels.hint("merge"), both["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("least"))
+        stepped = labels.join(near.hint("merge"), labels["id"] == near["src"]).select("id", F.least("component", "least").alias("component"))
         jump = stepped.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        after = _kept(stepped.join(jump, "component").select("id", F.col("further").alias("component")))
-        if after.join(labels.withColumnRenamed("component", "was"), "id").where(F.col("component") != F.col("was")).isEmpty():
+        after = _kept(stepped.join(jump.hint("merge"), "component").select("id", F.col("further").alias("component")))
+        if after.join(labels.withColumnRenamed("component", "was").hint("merge"), "id").where(F.col("component") != F.col("was")).isEmpty():
             return after
         labels = after
 
@@ -81,13 +83,13 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     done, level = None, 0
     left, rest = _kept(ids), e
     while not left.isEmpty():
-        ready = _kept(left.join(rest, left["id"] == rest["dst"], "left_anti"))
+        ready = _kept(left.join(rest.hint("merge"), left["id"] == rest["dst"], "left_anti"))
         if ready.isEmpty():
             raise ValueError("the graph has a cycle")
         now = ready.withColumn("level", F.lit(level))
         done = now if done is None else done.unionByName(now)
-        left = _kept(left.join(ready, "id", "left_anti"))
-        rest = _kept(rest.join(ready, rest["src"] == ready["id"], "left_anti"))
+        left = _kept(left.join(ready.hint("merge"), "id", "left_anti"))
+        rest = _kept(rest.join(ready.hint("merge"), rest["src"] == ready["id"], "left_anti"))
         level += 1
     return done if done is not None else ids.withColumn("level", F.lit(0))
 
@@ -155,7 +157,7 @@ def acyclic_part(edges: DataFrame) -> DataFrame:
     directed cycle."""
     left = _kept(edges.select("src", "dst").distinct())
     while True:
-        more = left.join(left.select(F.col("dst").alias("_d")).distinct(), F.col("src") == F.col("_d"), "left_semi")
+        more = left.join(left.select(F.col("dst").alias("_d")).distinct().hint("merge"), F.col("src") == F.col("_d"), "left_semi")
         after = _kept(more)
         if after.count() == left.count():
             return after

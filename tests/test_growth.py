@@ -28,3 +28,17 @@ def test_cross_validation_reads_rows_once(spark):
     score = lambda guess, rows: rows.agg((-F.avg((F.col("x") - guess) ** 2)).alias("value"))
     found = learning.cross_validated(df, 4, [{"shrink": 0.9}, {"shrink": 1.0}], fit, score)
     assert [p["shrink"] for p in found] == [0.9, 1.0] and seen.value == 100
+
+
+@pytest.mark.parametrize("of", [graph.components, graph.topological_levels, graph.acyclic_part])
+def test_graph_rounds_broadcast_nothing(spark, monkeypatch, of):
+    plans, keep = [], graph._kept
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(graph, "_kept", watched)
+    edges = spark.range(1, 20).select(F.floor(F.col("id") / 2).alias("src"), F.col("id").alias("dst"))
+    assert of(edges).count() in (0, 20)
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
