@@ -53,8 +53,8 @@ REGION_BELIEFS = "SELECT 'r' || lpad(reg::VARCHAR, 12, '0') AS v, s::VARCHAR AS
 @query(f"{PAIRS} {REGION_BELIEFS}, true AS fewer FROM rt")
 def splash_beliefs(spark, d):
     """Residual splashes on local trees reach the beliefs of synchronous rounds with fewer messages."""
-    cells = pair_cells(spark, d)
-    together, splashed = Bethe(cells).run(12), Bethe(cells).splash(12, 2)
+    together = Bethe(pair_cells(spark, d)).run(12)
+    splashed = together.restarted().splash(12, 2)
     b = splashed.beliefs().where(F.col("v").startswith("r")).withColumn("fewer", F.lit(splashed.sent < together.sent))
     return r(b, "belief", places=5)
 
