@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semifold.operators.dataset import uniform
 from semifold.operators.lineage import dropped
 from semifold.operators.lineage import kept as _kept
+from semifold.plans.factor_graphs import Bethe
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -19,13 +19,20 @@ def _directed(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v", "su", "sv", "value").unionByName(back)
 
 
+def _cells(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The model as a table of factor cells: a factor for each node's potential and one for each edge."""
+    text = lambda *c: F.array(*(F.col(x).cast("string") for x in c))
+    part = lambda df, vs, ss: df.select(F.to_json(text(*vs)).alias("f"), text(*vs).alias("vars"), text(*ss).alias("states"), F.col("value").cast("double").alias("value"))
+    return part(nodes, ["v"], ["s"]).unionByName(part(edges, ["u", "v"], ["su", "sv"]))
+
+
 def _normalised(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.withColumn(value, F.col(value) / F.sum(value).over(Window.partitionBy(*keys)))
 
 
-def _messages(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float, maximise: bool, tolerance: float, skip: float = 0.0, share: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Both directions of the edges, and the messages (u, v, sv, m) after the rounds. skip and share say which messages a
-    round leaves as they are: each with odds skip, and those that would move by less than share of the largest move."""
+def _messages(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float, maximise: bool, tolerance: float, share: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Both directions of the edges, and the messages (u, v, sv, m) after the rounds. share: a round
+    leaves messages as they are that would move by less than share of the largest move."""
     both = _kept(_directed(edges))
     messages = both.select("u", "v", "sv").distinct().withColumn("m", F.lit(1.0))
     messages = _kept(_normalised(messages, ["u", "v"], "m"))
@@ -43,8 +50,6 @@ def _messages(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float, m
             stepped = _kept(stepped)
             top = stepped.agg(F.max("moved").alias("_top"))
             stepped = stepped.crossJoin(top).withColumn("m", F.when(F.col("_own") >= share * F.col("_top"), F.col("m")).otherwise(F.col("old"))).drop("_own", "_top")
-        if skip:
-            stepped = stepped.withColumn("m", F.when(uniform("u", "v", seed=step) < skip, F.col("old")).otherwise(F.col("m")))
         stepped = _kept(stepped.drop("old"))
         messages = stepped.drop("moved")
         if step % 2 and (stepped.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:  # looked at in every other round
@@ -62,10 +67,15 @@ def belief_propagation(nodes: DataFrame, edges: DataFrame, rounds: int, damping:
     """Node beliefs (v, s, belief) after the given rounds of synchronous updates, fewer if no message moves by tolerance.
 
     maximise: max-product messages. damping: share of the old message that is kept. skip: odds of leaving a message out of a
-    round (an asynchronous schedule). share: only messages that would move by this share of the largest move are sent (a
+    round (an asynchronous schedule; it has no rounds of its own, so it runs on the factor graph, where only messages that can
+    change are passed, and tolerance and damping hold for their logarithms). share: only messages that would move by this share of the largest move are sent (a
     residual schedule, many messages at a time). Exact on trees of smaller diameter once nothing moves.
     """
-    joined = _log_beliefs(nodes, _messages(nodes, edges, rounds, damping, maximise, tolerance, skip, share)[1])
+    if skip:
+        run = Bethe(_cells(nodes, edges)).run(rounds, damping, tolerance, share, maximise, skip)
+        kinds = dict(nodes.dtypes)
+        return run.beliefs().select(F.col("v").cast(kinds["v"]).alias("v"), F.col("s").cast(kinds["s"]).alias("s"), "belief")
+    joined = _log_beliefs(nodes, _messages(nodes, edges, rounds, damping, maximise, tolerance, share)[1])
     top = F.max("log_belief").over(Window.partitionBy("v"))
     return _normalised(joined.withColumn("belief", F.exp(F.col("log_belief") - top)), ["v"], "belief").select("v", "s", "belief")
 
